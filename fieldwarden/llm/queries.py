@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwarden.llm import toxicity
+from fieldwarden.llm import mpeg, toxicity
 from fieldwarden.session import table
 
 
@@ -23,5 +23,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_toxicity": op3_toxicity}
+def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg.store(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op3_toxicity": op3_toxicity,
+    "op10_mpeg_audio": op10_mpeg_audio,
+}
 ORACLE_SQL: dict[str, str] = {}
