@@ -24,6 +24,8 @@ from fieldwarden.llm.hashing import chunks, mix, word_hashes
 
 #: Rows that the model is fitted on at most.
 MAX_ROWS = 20_000
+#: Of those, the rows with label 1 that give the vocabulary.
+MAX_POSITIVE = 3_000
 #: Score from which a text is called toxic.
 THRESHOLD = 0.7
 _FLAG_BITS = 22
@@ -47,22 +49,24 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(owner)
 
 
-def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        labels = batch.column("label").to_pylist()
-        at = 0
-        for run in chunks(batch.column("text").to_pylist()):
-            h, doc = features(run)
-            for i in range(len(run)):
-                own = np.unique(h[doc == i])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([labels[at + i]], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["label", "features"]
-                )
-            at += len(run)
+def _feature_rows(vocabulary: np.ndarray | None):
+    """mapInArrow function from (label, text) to (label, distinct features), those of a sorted vocabulary only if there is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in chunks(batch.column("text").to_pylist(), 1):
+                own = np.unique(features(text)[0])
+                if vocabulary is not None:
+                    own = own[np.isin(own, vocabulary, assume_unique=True)]
+                found.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.binary())], ["label", "features"])
+
+    return run
 
 
 def fit_ftrl(
-    rows: list[tuple[int, np.ndarray]], alpha: float = 1.0, beta: float = 1.0, l1: float = 20.0, l2: float = 0.1, epochs: int = 4, least: int = 10, up: float = 10.0
+    rows: list[tuple[int, np.ndarray]], alpha: float = 1.0, beta: float = 1.0, l1: float = 20.0, l2: float = 0.1, epochs: int = 4, least: int = 6, up: float = 10.0
 ) -> Model:
     """Per-coordinate FTRL-proximal over rows of (label, distinct feature hashes).
 
@@ -100,18 +104,27 @@ def fit_ftrl(
     return Model(keys[kept], w[kept].astype(np.float32), float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Fits on at most `max_rows` labelled documents. labels: doc_id, label (0 or 1)."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_positive: int = MAX_POSITIVE, least: int = 4) -> Model:
+    """Fits on at most `max_rows` labelled documents. labels: doc_id, label (0 or 1).
+
+    The vocabulary is what at least `least` of the first `max_positive` documents with label 1 hold, so that
+    the driver gets a few hundred features of each row and not all of them.
+    """
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = (
         labels.where("doc_id is not null and label is not null")
         .groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+        .orderBy(*order).limit(max_rows)
     )
-    rows = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-        .select("label", "text").mapInArrow(_feature_rows, "label int, features binary").collect()
-    )
-    return fit_ftrl(_ordered(rows))
+    toxic = chosen.where("label = 1").orderBy(*order).limit(max_positive)
+    of = lambda ids: docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "text")
+    schema = "label int, features binary"
+    positive = [np.frombuffer(r.features, np.uint64) for r in of(toxic).mapInArrow(_feature_rows(None), schema).collect()]
+    if not positive:
+        return Model(np.empty(0, np.uint64), np.empty(0, np.float32), 0.0)
+    keys, counts = np.unique(np.concatenate(positive), return_counts=True)
+    vocabulary = keys[counts >= min(least, 1 + len(positive) // 10)]
+    return fit_ftrl(_ordered(of(chosen).mapInArrow(_feature_rows(vocabulary), schema).collect()))
 
 
 def _ordered(rows: list) -> list[tuple[int, np.ndarray]]:
