@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwarden.llm import mpeg, toxicity
+from fieldwarden.llm import bpe, mpeg, toxicity
 from fieldwarden.session import table
 
 
@@ -23,12 +24,22 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The vocabulary of op7; its path is a parameter of the operator.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.load_ranks(public_tokenizers.path(RANKS))
+    return bpe.tokens(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.store(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op3_toxicity": op3_toxicity,
+    "op7_byte_bpe": op7_byte_bpe,
     "op10_mpeg_audio": op10_mpeg_audio,
 }
 ORACLE_SQL: dict[str, str] = {}
