@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwarden.llm import bpe, mpeg, toxicity
+from fieldwarden.llm import bpe, digest, mpeg, toxicity
 from fieldwarden.session import table
 
 
@@ -24,6 +24,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.compare_edited(table(spark, sf_dir, "documents"))
+
+
 #: The vocabulary of op7; its path is a parameter of the operator.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -39,6 +43,7 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_toxicity": op3_toxicity,
+    "op4_quartile_digest": op4_quartile_digest,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_mpeg_audio": op10_mpeg_audio,
 }
