@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwarden.llm import bpe, digest, mpeg, pii, toxicity
+from fieldwarden.llm import bpe, digest, mpeg, pii, simhash, toxicity
 from fieldwarden.session import table
 
 
@@ -28,6 +28,10 @@ def op4_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 #: Stands for the secret that a production job gets from its key store.
 PII_KEY = b"key of the registered queries"
 
@@ -53,6 +57,7 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_quartile_digest": op4_quartile_digest,
+    "op5_simhash": op5_simhash,
     "op6_pii_pseudonyms": op6_pii_pseudonyms,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_mpeg_audio": op10_mpeg_audio,
