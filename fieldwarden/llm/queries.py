@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwarden.llm import bpe, digest, mpeg, pii, simhash, toxicity
+from fieldwarden.llm import bpe, digest, langid, mpeg, pii, simhash, toxicity
 from fieldwarden.session import table
 
 
@@ -50,6 +50,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokens(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(F.coalesce(fold(4), F.lit(0)) != 2).select("doc_id", "text", "lang"))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (F.coalesce(fold(4), F.lit(0)) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.store(table(spark, sf_dir, "documents"))
 
@@ -60,6 +67,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_pii_pseudonyms": op6_pii_pseudonyms,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_language_id": op8_language_id,
     "op10_mpeg_audio": op10_mpeg_audio,
 }
 ORACLE_SQL: dict[str, str] = {}
