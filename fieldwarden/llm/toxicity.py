@@ -25,7 +25,7 @@ from fieldwarden.llm.hashing import chunks, mix, word_hashes
 #: Rows that the model is fitted on at most.
 MAX_ROWS = 20_000
 #: Of those, the rows with label 1 that give the vocabulary.
-MAX_POSITIVE = 3_000
+MAX_POSITIVE = 2_000
 #: Score from which a text is called toxic.
 THRESHOLD = 0.7
 _FLAG_BITS = 22
@@ -38,6 +38,10 @@ class Model:
     bias: float
 
 
+#: What is learned from no labels, or from one kind of them.
+NOTHING = Model(np.empty(0, np.uint64), np.empty(0, np.float32), 0.0)
+
+
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All n-gram and skip-gram hashes of the texts, and the index of the text of each."""
     h, doc = word_hashes(texts)
@@ -50,38 +54,46 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _feature_rows(vocabulary: np.ndarray | None):
-    """mapInArrow function from (label, text) to (label, distinct features), those of a sorted vocabulary only if there is one."""
+    """mapInArrow function from (label, text) to (label, distinct features): hashes, or places (32 bits) in a sorted vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for text in chunks(batch.column("text").to_pylist(), 1):
-                own = np.unique(features(text)[0])
+            for text in batch.column("text").to_pylist():
+                own = np.unique(features([text or ""])[0])
                 if vocabulary is not None:
-                    own = own[np.isin(own, vocabulary, assume_unique=True)]
+                    at = np.minimum(np.searchsorted(vocabulary, own), len(vocabulary) - 1)
+                    own = at[vocabulary[at] == own].astype(np.uint32)
                 found.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.binary())], ["label", "features"])
 
     return run
 
 
+def _telling(keys: np.ndarray, rows: list[tuple[int, np.ndarray]], evidence: float) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Keeps the features that stand with label 1 more often than chance has it: a log-likelihood ratio of `evidence`."""
+    size, ones = len(rows), sum(y for y, _ in rows)
+    both = np.bincount(np.concatenate([x for _, x in rows]).astype(np.int64), minlength=len(keys))
+    with_one = np.bincount(np.concatenate([x for y, x in rows if y]).astype(np.int64), minlength=len(keys))
+    log = lambda k, share: k * np.log(np.maximum(k, 1) / np.maximum(both * share, 1e-9))
+    ratio = 2 * (log(with_one, ones / size) + log(both - with_one, 1 - ones / size))
+    kept = (ratio >= evidence) & (with_one * size > both * ones)
+    place = np.cumsum(kept) - 1
+    return keys[kept], [(y, place[x[kept[x]]]) for y, x in rows]
+
+
 def fit_ftrl(
-    rows: list[tuple[int, np.ndarray]], alpha: float = 1.0, beta: float = 1.0, l1: float = 20.0, l2: float = 0.1, epochs: int = 4, least: int = 6, up: float = 10.0
+    rows: list[tuple[int, np.ndarray]], keys: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 20.0, l2: float = 0.1, epochs: int = 8, up: float = 10.0, evidence: float = 20.0
 ) -> Model:
-    """Per-coordinate FTRL-proximal over rows of (label, distinct feature hashes).
+    """Per-coordinate FTRL-proximal over rows of (label, places of the row's features in keys).
 
-    Features of fewer than `least` rows are left out; a row with label 1 weighs `up` rows with label 0.
-    `l1` is for 14,000 rows or more; fewer rows have smaller gradient sums, so it shrinks with them.
+    A row with label 1 weighs `up` rows with label 0. `l1` is for 14,000 rows or more; fewer rows have smaller
+    gradient sums, so it shrinks with them.
     """
-    if not rows or len({y for y, _ in rows}) < 2:
-        return Model(np.empty(0, np.uint64), np.empty(0, np.float32), 0.0)
-    keys, at, counts = np.unique(np.concatenate([x for _, x in rows]), return_inverse=True, return_counts=True)
-    often = counts >= min(least, 1 + len(rows) // 50)
-    place = np.cumsum(often) - 1
-    keys = keys[often]
-    coded = []
-    for (y, _), x in zip(rows, np.split(at, np.cumsum([len(x) for _, x in rows])[:-1]), strict=True):
-        coded.append((y, np.append(place[x[often[x]]], len(keys))))  # the last coordinate is the bias, without L1
+    if len({y for y, _ in rows}) < 2:
+        return NOTHING
+    keys, rows = _telling(keys, rows, evidence)
+    coded = [(y, np.append(x, len(keys))) for y, x in rows]  # the last coordinate is the bias, without L1
     positive = up * sum(y for y, _ in rows) / (up * sum(y for y, _ in rows) + sum(1 - y for y, _ in rows))
     z, n = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     shrink = np.append(np.full(len(keys), min(l1, 1 + l1 * len(rows) / 14_000)), 0.0)
@@ -120,16 +132,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_posi
     of = lambda ids: docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "text")
     schema = "label int, features binary"
     positive = [np.frombuffer(r.features, np.uint64) for r in of(toxic).mapInArrow(_feature_rows(None), schema).collect()]
-    if not positive:
-        return Model(np.empty(0, np.uint64), np.empty(0, np.float32), 0.0)
-    keys, counts = np.unique(np.concatenate(positive), return_counts=True)
+    keys, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *positive]), return_counts=True)
     vocabulary = keys[counts >= min(least, 1 + len(positive) // 10)]
-    return fit_ftrl(_ordered(of(chosen).mapInArrow(_feature_rows(vocabulary), schema).collect()))
+    if not len(vocabulary):
+        return NOTHING
+    return fit_ftrl(_ordered(of(chosen).mapInArrow(_feature_rows(vocabulary), schema).collect()), vocabulary)
 
 
 def _ordered(rows: list) -> list[tuple[int, np.ndarray]]:
     """The same order in every run, whatever task came first."""
-    return [(int(r.label), np.frombuffer(r.features, np.uint64)) for r in sorted(rows, key=lambda r: (r.label, bytes(r.features)))]
+    return [(int(r.label), np.frombuffer(r.features, np.uint32)) for r in sorted(rows, key=lambda r: (r.label, bytes(r.features)))]
 
 
 def scorer(model: Model):
