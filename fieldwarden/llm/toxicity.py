@@ -83,7 +83,7 @@ def _telling(keys: np.ndarray, rows: list[tuple[int, np.ndarray]], evidence: flo
 
 
 def fit_ftrl(
-    rows: list[tuple[int, np.ndarray]], keys: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 20.0, l2: float = 0.1, epochs: int = 8, up: float = 10.0, evidence: float = 20.0
+    rows: list[tuple[int, np.ndarray]], keys: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 20.0, l2: float = 0.1, epochs: int = 8, up: float = 20.0, evidence: float = 14.0
 ) -> Model:
     """Per-coordinate FTRL-proximal over rows of (label, places of the row's features in keys).
 
@@ -116,7 +116,7 @@ def fit_ftrl(
     return Model(keys[kept], w[kept].astype(np.float32), float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_positive: int = MAX_POSITIVE, least: int = 4) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_positive: int = MAX_POSITIVE, least: int = 3) -> Model:
     """Fits on at most `max_rows` labelled documents. labels: doc_id, label (0 or 1).
 
     The vocabulary is what at least `least` of the first `max_positive` documents with label 1 hold, so that
