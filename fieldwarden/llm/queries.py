@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwarden.llm import bpe, digest, langid, mpeg, pii, simhash, toxicity
+from fieldwarden.llm import bpe, digest, langid, mixing, mpeg, pii, simhash, toxicity
 from fieldwarden.session import table
 
 
@@ -15,6 +15,10 @@ def fold(divisor: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(divisor))
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     learned = labels.where(fold(3) != 1).select("doc_id", F.col("toxic").alias("label"))
@@ -62,6 +66,7 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_source_mix": op2_source_mix,
     "op3_toxicity": op3_toxicity,
     "op4_quartile_digest": op4_quartile_digest,
     "op5_simhash": op5_simhash,
@@ -70,4 +75,4 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op10_mpeg_audio": op10_mpeg_audio,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_source_mix": mixing.SQL}
