@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwarden.llm import bpe, digest, langid, mixing, mpeg, pii, simhash, toxicity
+from fieldwarden.llm import bpe, digest, html, langid, mixing, mpeg, pii, simhash, toxicity
 from fieldwarden.session import table
 
 
@@ -15,6 +15,10 @@ def fold(divisor: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(divisor))
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
@@ -66,6 +70,7 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_source_mix": op2_source_mix,
     "op3_toxicity": op3_toxicity,
     "op4_quartile_digest": op4_quartile_digest,
