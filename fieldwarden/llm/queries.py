@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwarden.llm import bpe, digest, html, langid, mixing, mpeg, pii, simhash, toxicity
+from fieldwarden.llm import bpe, digest, html, langid, lmscore, mixing, mpeg, pii, simhash, toxicity
 from fieldwarden.session import table
 
 
@@ -65,6 +65,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.coalesce(fold(4), F.lit(0)) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return lmscore.score(table(spark, sf_dir, "documents"), good)
+
+
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.store(table(spark, sf_dir, "documents"))
 
@@ -78,6 +83,7 @@ QUERIES = {
     "op6_pii_pseudonyms": op6_pii_pseudonyms,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_language_id": op8_language_id,
+    "op9_lm_cross_entropy": op9_lm_cross_entropy,
     "op10_mpeg_audio": op10_mpeg_audio,
 }
 ORACLE_SQL: dict[str, str] = {"op2_source_mix": mixing.SQL}
