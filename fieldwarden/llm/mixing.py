@@ -117,6 +117,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     return joined.select("doc_id", "source", "size", "source_size", F.col("target").cast("double"), taken.cast("long").alias("taken"), "quotas")
 
 
+def copies(docs: DataFrame, seed: int = SEED, **kinds) -> DataFrame:
+    """docs with each row as often as the mix takes its words; the part of a copy is rounded up or down by a seeded draw.
+
+    Rows without words stay once. All columns are kept. kinds: the parameters of `mix`.
+    """
+    parts = ("_null", "_id", "_text")
+    key = F.struct(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.xxhash64("text"))
+    keyed = docs.withColumns({name: key[f"col{k + 1}"] for k, name in enumerate(parts)})
+    taken = mix(keyed.select(F.struct(*parts).alias("doc_id"), "text", "source"), seed=seed, **kinds)
+    share = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1.0)
+    taken = taken.groupBy("doc_id").agg(F.avg(share).alias("_share")).select("doc_id.*", "_share")  # rows of one doc_id and text share alike
+    draw = F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    joined = keyed.join(taken, list(parts)).withColumn("_copies", F.floor(F.col("_share") + draw).cast("int"))
+    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")).select(*docs.columns)
+
+
 #: The same rows by another way: all seats ranked at once, no shards, one running sum for each source.
 SQL = rf"""
 WITH docs AS (

@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldwarden.session import shuffle_partitions, with_checkpoint_dir
@@ -50,6 +50,11 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes())
 
 
+def row_key() -> Column:
+    """A key of rows by which those of null or equal doc_ids can be told apart: doc_id and a hash of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("_id"), F.xxhash64("text").alias("_text"))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
 
@@ -168,13 +173,34 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(edges.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, most: int = MOST, tile: int = TILE) -> DataFrame:
-    """doc_id, fingerprint, component_id of every row of docs."""
-    with_checkpoint_dir(docs.sparkSession)
-    marked = fingerprints(docs, words).checkpoint()
+def classes(marked: DataFrame, radius: int = RADIUS, most: int = MOST, tile: int = TILE) -> DataFrame:
+    """fp and component_id of each distinct fingerprint of rows doc_id, fp."""
     vertices = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
     roots = components(links(vertices, vertices.count(), radius, most, tile)).checkpoint()
     rooted = vertices.join(roots, vertices.fp == roots.v, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rooted.join(named, "root").select("fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, most: int = MOST, tile: int = TILE) -> DataFrame:
+    """doc_id, fingerprint, component_id of every row of docs."""
+    with_checkpoint_dir(docs.sparkSession)
+    marked = fingerprints(docs, words).checkpoint()
+    found = marked.join(classes(marked, radius, most, tile), "fp")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """One row of docs, with all its columns, for each component: that with the least doc_id (null last); of several the least text hash.
+
+    The texts are dealt by doc_id once, for the join with the rows that stay.
+    """
+    with_checkpoint_dir(docs.sparkSession)
+    keyed = docs.withColumn("_row", row_key())
+    marked = fingerprints(keyed.select(F.col("_row").alias("doc_id"), "text"), words).checkpoint()
+    kept = classes(marked, radius).select(F.col("component_id").alias("_row")).distinct().select("_row.*")
+    parts = [f.name for f in kept.schema.fields]
+    rest = [F.col(f"`{c}`").cast("string") for c in docs.columns if c != "text"]
+    rows = keyed.select(*docs.columns, "_row.*").join(kept, parts, "left_semi")
+    rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy(*parts).orderBy(*rest)))  # rows of one doc_id and text
+    return rows.where("_turn = 1").select(*docs.columns)
