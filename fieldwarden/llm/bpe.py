@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from fieldwarden.llm.hashing import chunks
 
 #: Pieces that a worker keeps encoded; the cache starts anew beyond that, results stay the same.
-CACHE = 800_000
+CACHE = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -215,7 +215,7 @@ def tokens(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: boo
         coder = _encoder(sent.value, pattern)
         for batch in batches:
             at = 0
-            for texts in chunks(batch.column("text").to_pylist(), 1 << 24):
+            for texts in chunks(batch.column("text").to_pylist(), 1 << 22):
                 ids = coder.encode(texts)
                 columns = [
                     batch.column("doc_id").slice(at, len(texts)),
