@@ -1,4 +1,557 @@
-"""Registered queries of the validation engine and the SQL that checks them."""
+"""Registered queries of the validation engine and the SQL that checks them.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The tables stand in for records: an order is a record with its line items as repeat instances, a nation is a group, an event
+number is the offset of a change log.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldwarden.functions import comparison, identifiers, text
+from fieldwarden.operators import contexts, pooled, reports, rollups
+from fieldwarden.operators import rules as R
+from fieldwarden.session import table
+from fieldwarden.streaming import changes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return keep
+
+
+def _rows(frame: DataFrame, record: Column, event: Column | str = "1", dag: Column | None = None, **fields: Column) -> DataFrame:
+    """Contexts of a flat table: each row the base row of a record."""
+    place = [record.cast("string").alias("_record"), (F.lit(event) if isinstance(event, str) else event).cast("string").alias("_event"), F.lit(1).alias("_instance")]
+    group = (F.lit(None) if dag is None else dag).cast("string").alias("_dag")
+    return frame.select(*place, F.lit(None).cast("string").alias("_form"), group, *[c.cast("string").alias(n) for n, c in fields.items()])
+
+
+def _dictionary(frame: DataFrame, **types: str) -> R.Dictionary:
+    return R.Dictionary({c: "text" for c in frame.columns if c not in R.META} | types)
+
+
+def _short(findings: DataFrame) -> DataFrame:
+    return findings.select(F.col("_record").alias("record"), "rule", "type", "field", "reason", "value")
+
+
+# --- check characters: every algorithm over identifiers of eight characters --------------------------------------------
+
+_D = "substr(p, {i}, 1)::INTEGER"
+_A = "(instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr(p, {i}, 1)) - 1)"
+
+
+def _chain(step: str, start: str, order=range(1, 9)) -> str:
+    """The eight steps of a recurrence, one in the other. step has {a} for what came before, {i} the position, {k} the turn."""
+    out = start
+    for k, i in enumerate(order):
+        out = step.replace("{a}", f"({out})").replace("{i}", str(i)).replace("{k}", str(k))
+    return out
+
+
+def _sum(weights) -> str:
+    return "(" + " + ".join(f"{w} * {_D.format(i=i)}" for i, w in enumerate(weights, 1)) + ")"
+
+
+def _hybrid_sql(m: int, digit: str) -> str:
+    last = _chain(f"((({{a}} + {m - 1}) % {m} + 1) * 2 % {m + 1} + {digit} % {m}) % {m}", str(m // 2))
+    return f"((1 - (({last} + {m - 1}) % {m} + 1) * 2 % {m + 1}) % {m} + {m}) % {m}"
+
+
+_VERHOEFF_POWERS = [list(range(10))]
+for _ in range(7):
+    _VERHOEFF_POWERS.append([identifiers.VERHOEFF[x] for x in _VERHOEFF_POWERS[-1]])
+_PRODUCT = "".join(str(identifiers.dihedral(a, b)) for a in range(10) for b in range(10))
+_POWER = "".join(str(x) for row in _VERHOEFF_POWERS for x in row)
+_ALNUM = identifiers.ALNUM
+_DOUBLED = " + ".join(f"(CASE WHEN {_D.format(i=i)} > 4 THEN 2 * {_D.format(i=i)} - 9 ELSE 2 * {_D.format(i=i)} END)" if i % 2 == 0 else _D.format(i=i) for i in range(1, 9))
+CHECK_SQL = {
+    "iso7064_mod11_2": f"substr('0123456789X', ((1 - {_sum([2 ** (9 - i) for i in range(1, 9)])}) % 11 + 11) % 11 + 1, 1)",
+    "iso7064_mod37_2": "substr('" + _ALNUM + "*', ((1 - (" + " + ".join(f"{2 ** (9 - i)} * {_A.format(i=i)}" for i in range(1, 9)) + ")) % 37 + 37) % 37 + 1, 1)",
+    "iso7064_mod97_10": "lpad((98 - p::BIGINT * 100 % 97)::VARCHAR, 2, '0')",
+    "iso7064_mod11_10": f"({_hybrid_sql(10, _D)})::VARCHAR",
+    "iso7064_mod37_36": f"substr('{_ALNUM}', {_hybrid_sql(36, _A)} + 1, 1)",
+    "iso7064_letters1": f"substr('{identifiers.LETTERS}', {_hybrid_sql(26, _A)} + 1, 1)",
+    "iso7064_letters2": f"substr('ABCDEF', ({_hybrid_sql(36, _A)}) // 6 + 1, 1) || substr('ABCDEF', ({_hybrid_sql(36, _A)}) % 6 + 1, 1)",
+    "damm": _chain(f"substr('{''.join(identifiers.DAMM)}', {{a}} * 10 + {_D} + 1, 1)::INTEGER", "0") + "::VARCHAR",
+    "verhoeff": "substr('0432156789', " + _chain(f"substr('{_PRODUCT}', {{a}} * 10 + substr('{_POWER}', ({{k}} + 1) % 8 * 10 + {_D} + 1, 1)::INTEGER + 1, 1)::INTEGER", "0", range(8, 0, -1)) + " + 1, 1)",
+    "luhn": f"((10 - ({_DOUBLED}) % 10) % 10)::VARCHAR",
+    "gs1_mod10": f"((10 - {_sum([1, 3] * 4)} % 10) % 10)::VARCHAR",
+    "aba_mod10": f"((10 - {_sum([3, 7, 1, 3, 7, 1, 3, 7])} % 10) % 10)::VARCHAR",
+    "mrz_mod10": f"({_sum([7, 3, 1, 7, 3, 1, 7, 3])} % 10)::VARCHAR",
+    "weighted_mod11": f"substr('0123456789X', (11 - {_sum(range(9, 1, -1))} % 11) % 11 + 1, 1)",
+    "none": "''",
+}
+_LETTERED = ("iso7064_mod37_2", "iso7064_mod37_36", "iso7064_letters1", "iso7064_letters2")
+
+
+def _payload(algorithm: str) -> Column:
+    key = F.col("o_orderkey").cast("string")
+    return F.concat(F.substr(F.upper("o_orderpriority"), F.lit(3), F.lit(2)), F.lpad(key, 6, "0")) if algorithm in _LETTERED else F.lpad(key, 8, "0")
+
+
+def _payload_sql(algorithm: str) -> str:
+    return "substr(upper(o_orderpriority), 3, 2) || lpad(o_orderkey::VARCHAR, 6, '0')" if algorithm in _LETTERED else "lpad(o_orderkey::VARCHAR, 8, '0')"
+
+
+def _append(algorithm: str) -> None:
+    @query(f"{algorithm}_append", f"SELECT o_orderkey, p || {CHECK_SQL[algorithm]} AS id FROM (SELECT o_orderkey, {_payload_sql(algorithm)} AS p FROM orders)")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return table(spark, sf_dir, "orders").select("o_orderkey", identifiers.append_check(algorithm, _payload(algorithm), strip="").alias("id"))
+
+    @query(f"{algorithm}_validate", f"SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey % 5 <> 0 OR {algorithm == 'none'}) AS valid FROM orders")
+    def check(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # every fifth identifier has a letter in its middle that no algorithm's number stands for
+        whole = identifiers.append_check(algorithm, _payload(algorithm), strip="")
+        broken = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.left(whole, F.lit(4)), F.lit("?"), F.substr(whole, F.lit(5)))).otherwise(whole)
+        valid = identifiers.validate_id(algorithm, broken)
+        return table(spark, sf_dir, "orders").agg(F.count("*").alias("n"), F.count_if(valid).alias("valid"))
+
+
+for _name in identifiers.ALGORITHMS:
+    _append(_name)
+
+
+def _luhn_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with a Luhn identifier; every seventh has the next digit in place of its check digit."""
+    orders = table(spark, sf_dir, "orders")
+    payload = F.lpad(F.col("o_orderkey").cast("string"), 8, "0")
+    check = identifiers.check_characters("luhn", payload)
+    wrong = ((check.cast("int") + 1) % 10).cast("string")
+    ident = F.concat(payload, F.when(F.col("o_orderkey") % 7 == 0, wrong).otherwise(check))
+    return _rows(orders, F.col("o_orderkey"), ident=ident, status=F.col("o_orderstatus"), priority=F.col("o_orderpriority"))
+
+
+_LUHN = CHECK_SQL["luhn"]
+
+
+@query(
+    "luhn_validate_findings",
+    f"""SELECT o_orderkey::VARCHAR AS record, 1 AS rule, 'single' AS type, 'ident' AS field, 'check-character' AS reason,
+        p || (({_LUHN}::INTEGER + 1) % 10)::VARCHAR AS value
+        FROM (SELECT o_orderkey, lpad(o_orderkey::VARCHAR, 8, '0') AS p FROM orders) WHERE o_orderkey % 7 = 0""",
+)
+def luhn_validate_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _luhn_orders(spark, sf_dir)
+    return _short(R.scan(rows, [R.Rule("single", ("ident",), algorithm="luhn")], _dictionary(rows))[0])
+
+
+@query(
+    "suggested_check",
+    f"SELECT o_orderkey::VARCHAR AS record, {_LUHN} AS ends_in FROM (SELECT o_orderkey, lpad(o_orderkey::VARCHAR, 8, '0') AS p FROM orders) WHERE o_orderkey % 7 = 0",
+)
+def suggested_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _luhn_orders(spark, sf_dir)
+    return rows.where(~identifiers.validate_id("luhn", F.col("ident"))).select(F.col("_record").alias("record"), identifiers.suggestion("luhn", F.col("ident")).alias("ends_in"))
+
+
+@query(
+    "normalize_ids",
+    """SELECT c_custkey, replace(replace(upper(c_name), '#', ''), '-', '') AS plain, regexp_replace(c_name, '[^0-9]', '', 'g') AS digits,
+       regexp_extract(c_name, '([0-9]+)[^0-9]*$', 1) AS last_run, regexp_replace(upper(c_name), '[^A-Z]', '', 'g') AS letters FROM customer""",
+)
+def normalize_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("c_name")
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", identifiers.normalize(F.replace(name, F.lit("-"), F.lit("–")), "#-").alias("plain"), identifiers.apply_source(name, "digits_only").alias("digits"),
+        identifiers.apply_source(name, "sequence_only").alias("last_run"), identifiers.normalize(name, "", keep_only=identifiers.LETTERS).alias("letters"),
+    )
+
+
+@query(
+    "single_format",
+    """SELECT c_custkey::VARCHAR AS record, 1 AS rule, 'single' AS type, 'name' AS field, 'format' AS reason, v AS value
+       FROM (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN c_name || 'x' ELSE c_name END AS v FROM customer)
+       WHERE NOT regexp_full_match(upper(trim(v)), 'CUSTOMER#[0-9]+')""",
+)
+def single_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("c_custkey") % 11 == 0, F.concat("c_name", F.lit("x"))).otherwise(F.col("c_name"))
+    rows = _rows(table(spark, sf_dir, "customer"), F.col("c_custkey"), name=name)
+    return _short(R.scan(rows, [R.Rule("single", ("name",), algorithm="none", pattern="^CUSTOMER#[0-9]+$")], _dictionary(rows))[0])
+
+
+# --- pooled identifiers ---------------------------------------------------------------------------------------------
+
+_POOL = pooled.Pool("luhn", strip="", lengths=(9,))
+
+
+def _pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each order, the Luhn identifiers of its line items run together; every fifth ends in junk, every seventh repeats its first."""
+    payload = F.lpad((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string"), 8, "0")
+    ids = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", identifiers.append_check("luhn", payload).alias("id"))
+    grouped = ids.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "id"))).alias("s"))  # seven lines at most
+    joined = F.array_join(F.transform("s", lambda x: x["id"]), " ")
+    value = F.concat(joined, F.when(F.col("l_orderkey") % 5 == 0, "ZZ").otherwise(""), F.when(F.col("l_orderkey") % 7 == 0, F.get("s", 0)["id"]).otherwise(""))
+    return grouped.select(F.col("l_orderkey").alias("o"), value.alias("pool"), F.size("s").alias("lines"))
+
+
+_EXACT = f"""WITH ids AS (SELECT o, n, p || {_LUHN} AS id FROM (SELECT l_orderkey AS o, l_linenumber AS n, lpad((l_orderkey * 10 + l_linenumber)::VARCHAR, 8, '0') AS p FROM lineitem))"""
+
+
+@query(
+    "pooled_counts",
+    """SELECT l_orderkey AS o, (count(*) + CASE WHEN l_orderkey % 7 = 0 THEN 1 ELSE 0 END)::INTEGER AS ids,
+       CASE WHEN l_orderkey % 5 = 0 THEN 'junk' ELSE '' END || CASE WHEN l_orderkey % 35 = 0 THEN ';' ELSE '' END || CASE WHEN l_orderkey % 7 = 0 THEN 'duplicate' ELSE '' END AS reason
+       FROM lineitem GROUP BY l_orderkey""",
+)
+def pooled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = _pools(spark, sf_dir).withColumn("cut", pooled.segments(F.col("pool"), _POOL))
+    return cut.select("o", F.size(F.filter("cut", lambda s: s["type"] == "id")).alias("ids"), pooled.reasons(F.col("cut"), _POOL).alias("reason"))
+
+
+@query("pooled_segments", _EXACT + "SELECT o, string_agg(id, '|' ORDER BY n) AS cut FROM ids WHERE o % 35 <> 0 AND o % 5 <> 0 AND o % 7 <> 0 GROUP BY o")
+def pooled_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = _pools(spark, sf_dir).where("o % 5 <> 0 and o % 7 <> 0")  # the pools that hold nothing but IDs
+    return clean.select("o", F.array_join(F.transform(pooled.segments(F.col("pool"), _POOL), lambda s: s["text"]), "|").alias("cut"))
+
+
+@query(
+    "pooled_findings",
+    """SELECT l_orderkey::VARCHAR AS record, 1 AS rule, 'pooled' AS type, 'pool' AS field,
+       CASE WHEN l_orderkey % 5 = 0 THEN 'junk' ELSE '' END || CASE WHEN l_orderkey % 35 = 0 THEN ';' ELSE '' END || CASE WHEN l_orderkey % 7 = 0 THEN 'duplicate' ELSE '' END AS reason
+       FROM lineitem WHERE l_orderkey % 5 = 0 OR l_orderkey % 7 = 0 GROUP BY l_orderkey""",
+)
+def pooled_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(_pools(spark, sf_dir), F.col("o"), pool=F.col("pool"))
+    return _short(R.scan(rows, [R.Rule("pooled", ("pool",), algorithm="luhn", strip="", lengths=(9,))], _dictionary(rows))[0]).drop("value")
+
+
+# --- conditions -----------------------------------------------------------------------------------------------------
+
+
+def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as contexts, with their order's date: an instance over its record's base row."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    base = orders.select(F.col("o_orderkey").alias("record"), F.lit(1).alias("event_id"), F.lit(None).cast("string").alias("repeat_key"), F.lit(1).alias("instance"), F.lit(None).cast("string").alias("dag"), day("o_orderdate").alias("ordered"), F.lit(None).cast("string").alias("shipped"))
+    line = lines.select(F.col("l_orderkey").alias("record"), F.lit(1).alias("event_id"), F.lit("line").alias("repeat_key"), F.col("l_linenumber").alias("instance"), F.lit(None).cast("string").alias("dag"), F.lit(None).cast("string").alias("ordered"), day("l_shipdate").alias("shipped"))
+    return contexts.contexts(base.unionByName(line), ["ordered", "shipped"])
+
+
+@query(
+    "contexts_merge",
+    """SELECT o_orderkey::VARCHAR AS record, '1' AS event, 1 AS instance, NULL AS form, strftime(o_orderdate, '%Y-%m-%d') AS ordered, NULL AS shipped FROM orders
+       UNION ALL SELECT l_orderkey::VARCHAR, '1', l_linenumber, 'line', strftime(o_orderdate, '%Y-%m-%d'), strftime(l_shipdate, '%Y-%m-%d')
+       FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey""",
+)
+def contexts_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dates(spark, sf_dir).select(F.col("_record").alias("record"), F.col("_event").alias("event"), F.col("_instance").alias("instance"), F.col("_form").alias("form"), "ordered", "shipped")
+
+
+@query(
+    "constraint_dates",
+    """SELECT l_orderkey::VARCHAR AS record, l_linenumber AS instance, 'assert:[shipped]>=[ordered]' AS reason, strftime(l_shipdate, '%Y-%m-%d') AS value
+       FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey WHERE strftime(l_shipdate, '%Y-%m-%d') < strftime(o_orderdate, '%Y-%m-%d')""",
+)
+def constraint_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _dates(spark, sf_dir)
+    found = R.row_local(rows, [R.Rule("constraint", ("shipped",), asserts="[shipped]>=[ordered]")], _dictionary(rows))
+    return found.select(F.col("_record").alias("record"), F.col("_instance").alias("instance"), "reason", "value")
+
+
+@query(
+    "host_contexts",
+    "SELECT 'line' AS host, count(*) AS n FROM lineitem UNION ALL SELECT 'order', count(*) FROM orders",
+)
+def host_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, where = _dates(spark, sf_dir), ({"1": {"order", "line"}}, {("1", "line")})
+    parts = [contexts.host_rows(rows, form, *where).select(F.lit(form).alias("host")) for form in ("line", "order")]
+    return parts[0].unionByName(parts[1]).groupBy("host").agg(F.count("*").alias("n"))
+
+
+@query(
+    "rule_problems",
+    """SELECT 1 AS rule, 'ordered' AS field, '[shipped] has several values here' AS why UNION ALL SELECT 2, 'ordered', '[absent] is not collected in this event'
+       UNION ALL SELECT 3, 'ordered', 'unknown algorithm nope'""",
+)
+def rule_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = {"ordered": "order", "shipped": "line", "absent": "other"}
+    rows = contexts.with_states(_dates(spark, sf_dir).where("_form is null"), forms, {"1": {"order", "line"}}, {("1", "line")})
+    rules = [R.Rule("constraint", ("ordered",), asserts="[ordered]<=[shipped]"), R.Rule("required", ("ordered",), when="[absent]='1'"), R.Rule("single", ("ordered",), algorithm="nope")]
+    return R.scan(rows, rules, _dictionary(rows))[1]
+
+
+_NUMBERS = """WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN '-' ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN '00' ELSE '' END || (p_retailprice * 100)::BIGINT::VARCHAR || '.50' AS a, CASE WHEN p_partkey % 6 = 0 THEN 'n/a' WHEN p_partkey % 10 = 0 THEN '' ELSE (p_size * 4000)::VARCHAR || '.5' END AS b FROM part)"""
+
+
+@query(
+    "constraint_numeric",
+    _NUMBERS + """SELECT p_partkey::VARCHAR AS record, a AS value FROM n
+       WHERE NOT CASE WHEN b = 'n/a' THEN false WHEN b = '' THEN true ELSE a::DECIMAL(30, 4) > b::DECIMAL(30, 4) END""",
+)
+def constraint_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _numbers(spark, sf_dir)
+    return R.row_local(rows, [R.Rule("constraint", ("a",), asserts="[a] > [b]")], _dictionary(rows)).select(F.col("_record").alias("record"), "value")
+
+
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    a = F.concat(F.when(key % 4 == 0, "-").otherwise(""), F.when(key % 3 == 0, "00").otherwise(""), F.round(F.col("p_retailprice") * 100).cast("long").cast("string"), F.lit(".50"))
+    b = F.when(key % 6 == 0, "n/a").when(key % 10 == 0, "").otherwise(F.concat((F.col("p_size") * 4000).cast("string"), F.lit(".5")))
+    return _rows(table(spark, sf_dir, "part"), key, a=a, b=b)
+
+
+@query(
+    "comparison_table",
+    _NUMBERS + """SELECT count(*) FILTER (WHERE b NOT IN ('n/a', '') AND a::DECIMAL(30, 4) < try_cast(b AS DECIMAL(30, 4)) OR b = '' AND a < b) AS less,
+       count(*) FILTER (WHERE b NOT IN ('n/a', '') AND a::DECIMAL(30, 4) >= try_cast(b AS DECIMAL(30, 4)) OR b = '' AND a >= b) AS not_less, count(*) FILTER (WHERE a <> b AND NOT (b NOT IN ('n/a', '') AND a::DECIMAL(30, 4) = try_cast(b AS DECIMAL(30, 4)))) AS differ FROM n""",
+)
+def comparison_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda op: F.count_if(comparison.compare(op, F.col("a"), F.col("b")))
+    return _numbers(spark, sf_dir).agg(of("<").alias("less"), of(">=").alias("not_less"), of("<>").alias("differ"))
+
+
+@query("decimal_order", _NUMBERS + "SELECT p_partkey::VARCHAR AS record, dense_rank() OVER (ORDER BY a::DECIMAL(30, 4)) AS place FROM n")
+def decimal_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    # dense ranks of distinct values: one row for each price and not for each record
+    rows = _numbers(spark, sf_dir).withColumn("key", comparison.decimal_key(F.col("a")))
+    ranked = rows.select("key").distinct().select("key", F.dense_rank().over(Window.orderBy("key")).cast("long").alias("place"))
+    return rows.join(ranked, "key").select(F.col("_record").alias("record"), "place")
+
+
+@query(
+    "required_when",
+    """SELECT c_custkey::VARCHAR AS record, 1 AS rule, 'required' AS type, 'phone' AS field, 'required-blank' AS reason,
+       CASE WHEN c_custkey % 3 = 0 THEN '  ' END AS value FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey % 6 IN (0, 1, 3)""",
+)
+def required_when(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    phone = F.when(key % 3 == 0, "  ").when(key % 6 == 1, None).otherwise("555")
+    rows = _rows(table(spark, sf_dir, "customer"), key, phone=phone, segment=F.col("c_mktsegment"))
+    return _short(R.scan(rows, [R.Rule("required", ("phone",), when="[segment]='BUILDING'")], _dictionary(rows))[0])
+
+
+@query(
+    "choices_hidden",
+    """SELECT o_orderkey::VARCHAR AS record, 'hidden-choice' AS reason, o_orderstatus AS value FROM orders WHERE o_orderstatus <> 'O' AND o_orderpriority = '1-URGENT'""",
+)
+def choices_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(table(spark, sf_dir, "orders"), F.col("o_orderkey"), status=F.col("o_orderstatus"), priority=F.col("o_orderpriority"))
+    rule = R.Rule("choices", ("status",), when="[priority]='1-URGENT'", show=("O",), codes=("F", "O", "P"))
+    return _short(R.scan(rows, [rule], _dictionary(rows, status="radio"))[0]).select("record", "reason", "value")
+
+
+@query(
+    "choices_checkbox",
+    """SELECT o_orderkey::VARCHAR AS record, code AS value FROM (SELECT o_orderkey, unnest(['a', 'b', 'c']) AS code FROM orders)
+       WHERE code IN ('b', 'c') AND (code = 'b' AND o_orderkey % 2 = 0 OR code = 'c' AND o_orderkey % 3 = 0)""",
+)
+def choices_checkbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    ticked = lambda n: F.when(key % n == 0, "1").otherwise("0")
+    box = F.create_map(F.lit("a"), ticked(1), F.lit("b"), ticked(2), F.lit("c"), ticked(3))
+    rows = _rows(table(spark, sf_dir, "orders"), key).join(table(spark, sf_dir, "orders").select(key.cast("string").alias("_record"), box.alias("box")), "_record")
+    rule = R.Rule("choices", ("box",), hide=("b", "c"), codes=("a", "b", "c"))
+    return R.scan(rows, [rule], _dictionary(rows, box="checkbox"))[0].select(F.col("_record").alias("record"), "value")
+
+
+@query(
+    "branch_select",
+    """SELECT o_orderkey::VARCHAR AS record, CASE WHEN o_orderstatus = 'P' AND o_totalprice > 200000 THEN 'problem' ELSE 'required' END AS type,
+       CASE WHEN o_orderstatus = 'P' AND o_totalprice > 200000 THEN 'more than one branch condition is true' ELSE 'required-blank' END AS reason FROM orders
+       WHERE (o_orderstatus = 'P' OR o_totalprice > 200000) AND (o_orderkey % 2 = 0 OR o_orderstatus = 'P' AND o_totalprice > 200000)""",
+)
+def branch_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    rows = _rows(table(spark, sf_dir, "orders"), key, clerk=F.when(key % 2 == 0, "").otherwise("x"), status=F.col("o_orderstatus"), price=F.col("o_totalprice").cast("decimal(20,2)"))
+    rules = R.resolve_branches([R.Rule("required", ("clerk",), when="[status]='P'"), R.Rule("required", ("clerk",), when="[price]>200000")])
+    return R.row_local(rows, rules, _dictionary(rows)).select(F.col("_record").alias("record"), "type", "reason")
+
+
+@query(
+    "many_rules_one_pass",
+    """SELECT rule, count(*) AS n FROM (SELECT o_totalprice, unnest(range(1, 121)) AS rule FROM orders) WHERE NOT (o_totalprice > rule * 4000) GROUP BY rule""",
+)
+def many_rules_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(table(spark, sf_dir, "orders"), F.col("o_orderkey"), **{f"p{k}": F.col("o_totalprice").cast("decimal(20,4)") for k in range(1, 121)})
+    rules = [R.Rule("constraint", (f"p{k}",), asserts=f"[p{k}] > {k * 4000}") for k in range(1, 121)]
+    return R.row_local(rows, rules, _dictionary(rows)).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+# --- uniqueness -----------------------------------------------------------------------------------------------------
+
+
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    code = F.concat(F.lit(" k"), (F.col("c_custkey") % 97).cast("string"), F.lit(" "))
+    return _rows(c, F.col("c_custkey"), (F.col("c_custkey") % 3).cast("string"), F.col("c_nationkey"), code=code, segment=F.col("c_mktsegment"))
+
+
+def _shared(keys: str) -> str:
+    return f"""SELECT c_custkey::VARCHAR AS record, ' k' || (c_custkey % 97)::VARCHAR || ' ' AS value FROM customer
+               JOIN (SELECT c_custkey % 97 AS k, {keys} FROM customer GROUP BY ALL HAVING count(DISTINCT c_custkey) > 1) g ON c_custkey % 97 = k"""
+
+
+def _unique(name: str, sql: str, **kinds) -> None:
+    @query(name, sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _people(spark, sf_dir)
+        return R.unique(rows, [R.Rule("unique", ("code",), **kinds)], _dictionary(rows)).select(F.col("_record").alias("record"), "value")
+
+
+_unique("unique_project", _shared("1 AS x"))
+_unique("unique_group", _shared("c_nationkey AS x") + " AND c_nationkey = x", scope="dag")
+_unique("unique_event", _shared("c_custkey % 3 AS x") + " AND c_custkey % 3 = x", scope="event")
+_unique("unique_composite", _shared("c_mktsegment AS x") + " AND c_mktsegment = x", unique_with=("segment",))
+
+
+@query(
+    "unique_groups",
+    """SELECT 'k' || (c_custkey % 97)::VARCHAR AS code, count(DISTINCT c_custkey) AS records, min(c_custkey::VARCHAR) AS representative, count(DISTINCT c_custkey) > 1 AS collides
+       FROM customer GROUP BY 1""",
+)
+def unique_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.groups(_people(spark, sf_dir).withColumn("code", F.trim("code")), ["code"])
+
+
+# --- roll-ups, change log, reports ----------------------------------------------------------------------------------
+
+
+def _some_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    rows = _rows(c, F.col("c_custkey"), dag=F.col("c_nationkey"), name=F.col("c_name"), balance=F.col("c_acctbal").cast("decimal(20,2)"), note=F.when(F.col("c_custkey") % 4 == 0, "").otherwise("x"))
+    rules = [R.Rule("constraint", ("balance",), asserts="[balance]>=0"), R.Rule("required", ("note",)), R.Rule("single", ("name",), algorithm="none", pattern="customer#[0-9]*[1-9]")]
+    return R.row_local(rows, rules, _dictionary(rows))
+
+
+_FOUND = """WITH f AS (SELECT c_custkey, c_nationkey::VARCHAR AS dag, 'constraint' AS type, 'assert' AS reason FROM customer WHERE c_acctbal < 0
+  UNION ALL SELECT c_custkey, c_nationkey::VARCHAR, 'required', 'required-blank' FROM customer WHERE c_custkey % 4 = 0
+  UNION ALL SELECT c_custkey, c_nationkey::VARCHAR, 'single', 'format' FROM customer WHERE NOT regexp_full_match(upper(c_name), 'CUSTOMER#[0-9]*[1-9]', 'i'))"""
+
+
+@query("single_format_case", "SELECT c_custkey::VARCHAR AS record FROM customer")
+def single_format_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern in lower case never matches: it is held against the value in upper case."""
+    rows = _rows(table(spark, sf_dir, "customer"), F.col("c_custkey"), name=F.col("c_name"))
+    return R.row_local(rows, [R.Rule("single", ("name",), algorithm="none", pattern="customer#[0-9]+")], _dictionary(rows)).select(F.col("_record").alias("record"))
+
+
+_ALL_FORMAT = _FOUND.replace("WHERE NOT regexp_full_match(upper(c_name), 'CUSTOMER#[0-9]*[1-9]', 'i')", "")
+
+
+@query(
+    "rollup_axes",
+    _ALL_FORMAT + """SELECT 'instrument' AS kind, '' AS axis, count(*) AS n FROM f UNION ALL SELECT 'reason', reason, count(*) FROM f GROUP BY reason
+       UNION ALL SELECT 'group', dag, count(*) FROM f GROUP BY dag UNION ALL SELECT 'check', type, count(*) FROM f GROUP BY type""",
+)
+def rollup_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.by_axes(_some_findings(spark, sf_dir))
+
+
+@query("scan_statistics", _ALL_FORMAT + "SELECT (SELECT count(*) FROM customer) AS records, (SELECT count(*) FROM customer) AS contexts, count(*) AS findings, 3 AS rules FROM f")
+def scan_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(table(spark, sf_dir, "customer"), F.col("c_custkey"))
+    return rollups.statistics(rows, _some_findings(spark, sf_dir), 3)
+
+
+@query(
+    "finding_report",
+    _ALL_FORMAT + """SELECT c_custkey::VARCHAR AS record, dag, type AS "check", reason, CASE type WHEN 'required' THEN 'Missing value' ELSE 'Wrong value' END AS issue,
+       CASE type WHEN 'required' THEN 'This field must not be left blank.' WHEN 'single' THEN 'The value does not match the format this field requires.'
+       ELSE 'The value does not satisfy this rule''s condition.' END AS wording, CASE type WHEN 'constraint' THEN 'Must hold: [balance]>=0' END AS problem,
+       CASE type WHEN 'single' THEN '[identifier withheld]' WHEN 'constraint' THEN (SELECT c_acctbal FROM customer c WHERE c.c_custkey = f.c_custkey)::DECIMAL(20, 2)::VARCHAR END AS value FROM f""",
+)
+def finding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.report(_some_findings(spark, sf_dir), "redacted", {"name"}).select("record", "dag", "check", "reason", "issue", "wording", "problem", "value")
+
+
+@query("active_findings", _ALL_FORMAT + "SELECT c_custkey::VARCHAR AS record FROM f WHERE dag = '3' AND reason = 'assert'")
+def active_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.active(_some_findings(spark, sf_dir), reason="assert", group="3").select(F.col("_record").alias("record"))
+
+
+@query(
+    "catchup_classify",
+    """WITH changed AS (SELECT user_id AS record, max(event_id) AS version FROM events, (SELECT max(event_id) AS top FROM events)
+         WHERE event_id > top // 2 AND event_id <= top AND user_id IS NOT NULL GROUP BY user_id),
+       manifest AS (SELECT user_id AS record, max(event_id) AS scanned FROM events, (SELECT max(event_id) AS top FROM events) WHERE event_id <= top * 3 // 4 AND user_id % 5 <> 0 GROUP BY user_id)
+       SELECT c.record, version, CASE WHEN m.record IS NULL AND c.record % 7 = 0 THEN 'SETTLED' WHEN m.record IS NULL THEN 'NEW' WHEN c.record % 7 = 0 THEN 'GONE'
+         WHEN version > scanned THEN 'EDITED' ELSE 'SETTLED' END AS change
+       FROM changed c LEFT JOIN manifest m ON c.record = m.record""",
+)
+def catchup_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("log_id"), F.col("user_id").alias("record"))
+    top = changes.fence(log).first()["last"] or 0
+    early = log.where((F.col("log_id") <= top * 3 // 4) & (F.col("record") % 5 != 0))
+    manifest = early.groupBy("record").agg(F.max("log_id").alias("scanned_version"))
+    return changes.classify(manifest, changes.window(log, top // 2, top), log.where("record % 7 <> 0"))
+
+
+@query("fence_bounds", "SELECT min(event_id) AS first, max(event_id) AS last FROM events")
+def fence_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.fence(table(spark, sf_dir, "events"), "event_id")
+
+
+@query("existence_probe", "SELECT c_custkey::VARCHAR AS record, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS exists FROM customer")
+def existence_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("record"))
+    return changes.exists(ids, table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("record")))
+
+
+@query("keyset_page", "SELECT lpad(c_custkey::VARCHAR, 9, '0') AS record FROM customer WHERE lpad(c_custkey::VARCHAR, 9, '0') > '000000020' ORDER BY 1 LIMIT 50")
+def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.page(table(spark, sf_dir, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("record")), "000000020", 50)
+
+
+@query(
+    "csv_defuse",
+    r"""SELECT doc_id, '"' || replace(CASE WHEN regexp_matches(v, '^\s*[=+\-@]') THEN '''' || v ELSE v END, '"', '""') || '"' AS cell
+        FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' =' ELSE '' END || regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g') AS v FROM documents)""",
+)
+def csv_defuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.concat(F.when(F.col("doc_id") % 3 == 0, " =").otherwise(""), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", text.csv_cell(value).alias("cell"))
+
+
+@query(
+    "value_policy",
+    """SELECT doc_id, CASE WHEN text = '' THEN NULL WHEN length(text) > 120 THEN left(text, 120) || '… (truncated)' ELSE text END AS shown,
+       CASE WHEN text IS NULL OR text = '' THEN NULL WHEN doc_id % 2 = 0 THEN '[identifier withheld]' WHEN length(text) > 120 THEN left(text, 120) || '… (truncated)' ELSE text END AS redacted, NULL AS hidden FROM documents""",
+)
+def value_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda mode: text.shown_value(F.col("text"), mode, F.col("doc_id") % 2 == 0)
+    return table(spark, sf_dir, "documents").select("doc_id", of("raw").alias("shown"), of("redacted").alias("redacted"), of("locations").alias("hidden"))
+
+
+@query(
+    "reason_codes",
+    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'assert' WHEN 1 THEN 'unspecified' WHEN 2 THEN repeat('r', 63) || '~' ELSE 'junk;count' END AS code, CASE o_orderkey % 4 WHEN 3 THEN 20 ELSE 0 END AS bits FROM orders""",
+)
+def reason_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    reason = F.when(k == 0, "assert:[a]='1'").when(k == 1, "").when(k == 2, "r" * 70).otherwise("junk;count")
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.reason_code(reason).alias("code"), text.reason_bits(reason).alias("bits"))
+
+
+@query("record_hash_hmac")
+def record_hash_hmac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed hashes; DuckDB has no HMAC, so the tests hold them against Python's."""
+    hashed = text.purpose_hash(b"key of the registered queries", "record", 7, F.col("c_custkey").cast("string"))
+    return table(spark, sf_dir, "customer").select("c_custkey", hashed.alias("hash"))
+
+
+@query("finding_identity")
+def finding_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with their identities; the tests hold them against Python's HMAC."""
+    return reports.identified(_some_findings(spark, sf_dir), b"key of the registered queries", 7).select("finding", F.col("_record").alias("record"), "type", "reason")
+
+
+@query("outcome_words")
+def outcome_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word for a run over the customers, by what is known of it; a driver function, tested as a table of cases."""
+    n = table(spark, sf_dir, "customer").count()
+    cases = [changes.Run(examined=n), changes.Run(examined=n, findings=2), changes.Run(examined=n, blocked=1), changes.Run(examined=n, fenced=False), changes.Run(), changes.Run(failed=True, cancelled=True)]
+    return spark.createDataFrame([(k, changes.outcome(r)) for k, r in enumerate(cases)], "n int, word string")
