@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,10 +29,33 @@ def decimal_key(value: Column) -> Column:
     return F.struct(sign.alias("sign"), (sign * F.length(whole)).alias("size"), shown.alias("digits"))
 
 
-def compare(op: str, left: Column, right: Column) -> Column:
-    """op is one of = <> > < >= <=. Never null if neither side is."""
-    a, b = trimmed(left), trimmed(right)
+def literal_key(value: str) -> Column:
+    """decimal_key of a numeric text that is known when the plan is made."""
+    body = value.lstrip("+-")
+    whole, fraction = body.partition(".")[0].lstrip("0"), body.partition(".")[2].rstrip("0")
+    digits, negative = whole + fraction, value.startswith("-")
+    sign = 0 if not digits else -1 if negative else 1
+    shown = digits.translate(str.maketrans("0123456789", "9876543210")) + "~" if sign < 0 else digits
+    return F.struct(F.lit(sign).alias("sign"), F.lit(sign * len(whole)).alias("size"), F.lit(shown).alias("digits"))
+
+
+def compare(op: str, left: Column | str, right: Column | str) -> Column:
+    """op is one of = <> > < >= <=; a str is a literal, about which the plan asks nothing. Never null if neither side is."""
+    if isinstance(left, str) and isinstance(right, str):
+        left = F.lit(left)
+    if isinstance(left, str):
+        turned = {">": "<", "<": ">", ">=": "<=", "<=": ">="}
+        return compare(turned.get(op, op), right, left)
     apply = {"=": lambda x, y: x == y, "<>": lambda x, y: x != y, ">": lambda x, y: x > y, "<": lambda x, y: x < y, ">=": lambda x, y: x >= y, "<=": lambda x, y: x <= y}[op]
+    a = trimmed(left)
+    if isinstance(right, str):
+        b = right.strip(" \t\r\n")
+        if not re.match(NUMERIC.replace(r"\z", r"\Z"), b):
+            across = apply(a, F.lit(b)) if op in ("=", "<>") or b == "" else F.when(is_numeric(a), False).otherwise(apply(a, F.lit(b)))
+            return across
+        mixed = apply(a, F.lit(b)) if op in ("=", "<>") else F.when(a != "", False).otherwise(apply(a, F.lit(b)))
+        return F.when(is_numeric(a), apply(decimal_key(a), literal_key(b))).otherwise(mixed)
+    b = trimmed(right)
     m, n = is_numeric(a), is_numeric(b)
     mixed = (m != n) & (a != "") & (b != "")
     across = apply(a, b) if op in ("=", "<>") else F.lit(False)

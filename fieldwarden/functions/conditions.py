@@ -205,7 +205,8 @@ def to_column(tree: Node, columns: Mapping[str, Column], checkboxes: frozenset[s
             other = to_column(x, columns, checkboxes)
             out = out & other if tree.every else out | other
         return out
-    return compare(tree.op, value_of(tree.left, columns, checkboxes), value_of(tree.right, columns, checkboxes))
+    sides = [x.value if isinstance(x, Literal) else value_of(x, columns, checkboxes) for x in (tree.left, tree.right)]
+    return compare(tree.op, *sides)
 
 
 @dataclass(frozen=True)

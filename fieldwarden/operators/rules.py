@@ -18,7 +18,7 @@ from fieldwarden.operators import pooled
 
 MODES = {"single": "check", "pooled": "check", "constraint": "constraint", "required": "required", "unique": "unique", "choices": "choices"}
 #: Rules of one projection; more would outgrow the JVM's limit on a method of generated code.
-RULES_AT_ONCE = 50
+RULES_AT_ONCE = 40
 META = ("_record", "_event", "_instance", "_form", "_dag")
 PLACE = ", ".join(f"{c} {'int' if c == '_instance' else 'string'}" for c in META)
 #: White space of blank values, for all modes but constraints.
@@ -157,7 +157,7 @@ class _Compiler:
 
     def item(self, ordinal: int, kind: str, name: str, reason: Column, value: Column) -> Column:
         made = F.struct(F.lit(ordinal).alias("rule"), F.lit(kind).alias("type"), F.lit(name).alias("field"), reason.alias("reason"), value.cast("string").alias("value"))
-        return F.when(reason.isNotNull(), F.array(made)).otherwise(F.array().cast("array<struct<rule:int,type:string,field:string,reason:string,value:string>>"))
+        return F.array(made)  # rows without a reason are dropped behind the explode, so that the reason stands in the plan once
 
     def problem(self, ordinal: int, name: str, why: Column | str) -> Column:
         return self.item(ordinal, "problem", name, F.lit(why) if isinstance(why, str) else why, F.lit(None))
@@ -238,7 +238,7 @@ def row_local(contexts: DataFrame, rules: list[Rule], dictionary: Dictionary) ->
             items.append(made.rule(k, r, f))
     out = None
     for a in range(0, len(items), RULES_AT_ONCE):
-        part = contexts.select(*META, F.explode(F.concat(*items[a : a + RULES_AT_ONCE])).alias("f")).select(*META, "f.*")
+        part = contexts.select(*META, F.explode(F.concat(*items[a : a + RULES_AT_ONCE])).alias("f")).select(*META, "f.*").where("reason is not null")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else contexts.sparkSession.createDataFrame([], f"{PLACE}, rule int, type string, field string, reason string, value string")
 
