@@ -190,7 +190,7 @@ def _pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each order, the Luhn identifiers of its line items run together; every fifth ends in junk, every seventh repeats its first."""
     payload = F.lpad((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string"), 8, "0")
     ids = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", identifiers.append_check("luhn", payload).alias("id"))
-    grouped = ids.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "id"))).alias("s"))  # seven lines at most
+    grouped = ids.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "id"))).alias("s"))  # an order's lines
     joined = F.array_join(F.transform("s", lambda x: x["id"]), " ")
     value = F.concat(joined, F.when(F.col("l_orderkey") % 5 == 0, "ZZ").otherwise(""), F.when(F.col("l_orderkey") % 7 == 0, F.get("s", 0)["id"]).otherwise(""))
     return grouped.select(F.col("l_orderkey").alias("o"), value.alias("pool"), F.size("s").alias("lines"))
@@ -199,10 +199,14 @@ def _pools(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EXACT = f"""WITH ids AS (SELECT o, n, p || {_LUHN} AS id FROM (SELECT l_orderkey AS o, l_linenumber AS n, lpad((l_orderkey * 10 + l_linenumber)::VARCHAR, 8, '0') AS p FROM lineitem))"""
 
 
+#: An ID repeats in a pool where its first is repeated, and where an order has two items of one line number.
+_POOL_REPEATS = "(l_orderkey % 7 = 0 OR count(*) > count(DISTINCT l_linenumber))"
+_POOL_REASON = f"concat_ws(';', CASE WHEN l_orderkey % 5 = 0 THEN 'junk' END, CASE WHEN {_POOL_REPEATS} THEN 'duplicate' END)"
+
+
 @query(
     "pooled_counts",
-    """SELECT l_orderkey AS o, (count(*) + CASE WHEN l_orderkey % 7 = 0 THEN 1 ELSE 0 END)::INTEGER AS ids,
-       CASE WHEN l_orderkey % 5 = 0 THEN 'junk' ELSE '' END || CASE WHEN l_orderkey % 35 = 0 THEN ';' ELSE '' END || CASE WHEN l_orderkey % 7 = 0 THEN 'duplicate' ELSE '' END AS reason
+    f"""SELECT l_orderkey AS o, (count(*) + CASE WHEN l_orderkey % 7 = 0 THEN 1 ELSE 0 END)::INTEGER AS ids, {_POOL_REASON} AS reason
        FROM lineitem GROUP BY l_orderkey""",
 )
 def pooled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,9 +222,8 @@ def pooled_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pooled_findings",
-    """SELECT l_orderkey::VARCHAR AS record, 1 AS rule, 'pooled' AS type, 'pool' AS field,
-       CASE WHEN l_orderkey % 5 = 0 THEN 'junk' ELSE '' END || CASE WHEN l_orderkey % 35 = 0 THEN ';' ELSE '' END || CASE WHEN l_orderkey % 7 = 0 THEN 'duplicate' ELSE '' END AS reason
-       FROM lineitem WHERE l_orderkey % 5 = 0 OR l_orderkey % 7 = 0 GROUP BY l_orderkey""",
+    f"""SELECT l_orderkey::VARCHAR AS record, 1 AS rule, 'pooled' AS type, 'pool' AS field, {_POOL_REASON} AS reason
+       FROM lineitem GROUP BY l_orderkey HAVING l_orderkey % 5 = 0 OR {_POOL_REPEATS}""",
 )
 def pooled_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(_pools(spark, sf_dir), F.col("o"), pool=F.col("pool"))
