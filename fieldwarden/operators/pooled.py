@@ -101,7 +101,7 @@ def _moves(length: Column, places: Column, valid: Column) -> Column:
         return F.concat(done, F.array(F.array_max(F.concat(F.array(junk), ids))))
 
     scores = F.aggregate(F.reverse(places), F.array(score(zero, zero, zero, zero, zero)), step)
-    return F.transform(places, lambda i: -F.get(scores, length - i)["move"])
+    return F.transform(F.slice(F.reverse(scores), F.lit(1), length), lambda s: -s["move"])  # the scores once, not once a position
 
 
 def _pieces(text: Column, places: Column, moves: Column, hits: Column) -> Column:
