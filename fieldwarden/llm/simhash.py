@@ -34,19 +34,26 @@ TILE, MOST = 1024, 16_384
 GROUP = 2_000
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
+def shingle_hashes(text: str | None, words: int = WORDS) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles in order, repeats included, at most 32,768 at once."""
     parts = (text or "").encode().lower().split()  # of bytes: only A-Z become lower case, and only the ASCII white space splits
     if not parts:
-        return 0
+        return
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts])
     n = max(1, len(parts) - words + 1)
     first = [0, *ends[: n - 1].tolist()]
     last = (ends[len(parts) - n :] - 1).tolist()
-    digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, 1 << 15):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(first[at : at + (1 << 15)], last[at : at + (1 << 15)], strict=True)], dtype=">u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(first[at : at + (1 << 15)], last[at : at + (1 << 15)], strict=True)], dtype=np.uint64)
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    total, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, words):
+        total += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(2 * total > n).tobytes())
 
 
@@ -137,12 +144,18 @@ def links(vertices: DataFrame, n: int, radius: int = RADIUS, most: int = MOST, t
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     keys = [F.struct(F.lit(k).alias("c"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("bits")) for k, m in enumerate(masks(n, radius))]
     rows = vertices.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", F.xxhash64("key.c", "key.bits").alias("group"))
+    return units(rows, "fp", most).mapInArrow(_unit_edges(radius, tile), "a long, b long")
+
+
+def units(rows: DataFrame, member: str, most: int) -> DataFrame:
+    """Rows of groups, dealt by column unit: a group of more than `most` members is cut, and each pair of its parts is a unit."""
     large = rows.groupBy("group").count().where(F.col("count") > most).select("group", F.ceil(F.col("count") / most).cast("int").alias("parts"))
-    rows = rows.join(large, "group", "left").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.coalesce("parts", F.lit(1))))
+    cut = rows.join(large, "group", "left").withColumn("own", F.pmod(F.xxhash64(member, F.lit(1)), F.coalesce("parts", F.lit(1))))
     others = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))
-    rows = rows.select("fp", "group", "own", F.explode(others).alias("other"))
+    cut = cut.withColumn("other", F.explode(others))
     unit = F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other"))
-    return rows.select(unit.alias("unit"), "fp").repartition(4 * shuffle_partitions(vertices.sparkSession), "unit").mapInArrow(_unit_edges(radius, tile), "a long, b long")
+    members = [c for c in rows.columns if c != "group"]
+    return cut.select(unit.alias("unit"), *members).repartition(4 * shuffle_partitions(rows.sparkSession), "unit")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -198,9 +211,14 @@ def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataF
     with_checkpoint_dir(docs.sparkSession)
     keyed = docs.withColumn("_row", row_key())
     marked = fingerprints(keyed.select(F.col("_row").alias("doc_id"), "text"), words).checkpoint()
-    kept = classes(marked, radius).select(F.col("component_id").alias("_row")).distinct().select("_row.*")
+    return rows_of(docs, classes(marked, radius).select(F.col("component_id").alias("_row")).distinct())
+
+
+def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose row_key is in column _row of kept, each once."""
+    kept = kept.select("_row.*")
     parts = [f.name for f in kept.schema.fields]
     rest = [F.col(f"`{c}`").cast("string") for c in docs.columns if c != "text"]
-    rows = keyed.select(*docs.columns, "_row.*").join(kept, parts, "left_semi")
+    rows = docs.withColumn("_row", row_key()).select(*[F.col(f"`{c}`") for c in docs.columns], "_row.*").join(kept, parts, "left_semi")
     rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy(*parts).orderBy(*rest)))  # rows of one doc_id and text
-    return rows.where("_turn = 1").select(*docs.columns)
+    return rows.where("_turn = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

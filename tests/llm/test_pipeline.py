@@ -7,6 +7,7 @@ import tiktoken
 
 import corpus_pipeline as P
 from fieldwarden.llm import bpe, mixing, pii, simhash, toxicity
+from tests.llm.test_similar import brute_roots
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, predicted string"
@@ -47,13 +48,7 @@ def plain(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").where(P.fold(3) != 1).selectExpr("doc_id", "toxic as label")
     score = toxicity.scorer(toxicity.train(docs, labels))
     kept = [r for r in docs.collect() if score([r.text or ""])[0] < toxicity.THRESHOLD]
-    fps = [simhash.fingerprint(r.text) for r in kept]
-    label = list(range(len(kept)))
-    while True:
-        new = [min(label[j] for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= simhash.RADIUS) for i in range(len(fps))]
-        if new == label:
-            break
-        label = new
+    label = brute_roots([r.text for r in kept])
     least = {}
     for r, root in sorted(zip(kept, label, strict=True), key=lambda x: x[0].doc_id):
         least.setdefault(root, r)
