@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Numbers of so many characters fit a Spark decimal exactly, whole part and fraction; longer ones are compared as keys.
+SHORT, DECIMAL = 18, "decimal(38,18)"
 NUMERIC = r"\A[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)\z"
 
 
@@ -54,7 +56,10 @@ def compare(op: str, left: Column | str, right: Column | str) -> Column:
             across = apply(a, F.lit(b)) if op in ("=", "<>") or b == "" else F.when(is_numeric(a), False).otherwise(apply(a, F.lit(b)))
             return across
         mixed = apply(a, F.lit(b)) if op in ("=", "<>") else F.when(a != "", False).otherwise(apply(a, F.lit(b)))
-        return F.when(is_numeric(a), apply(decimal_key(a), literal_key(b))).otherwise(mixed)
+        exact = apply(decimal_key(a), literal_key(b))
+        if len(b) <= SHORT:
+            exact = F.coalesce(F.when(F.length(a) <= SHORT, apply(a.try_cast(DECIMAL), F.lit(b).cast(DECIMAL))), exact)
+        return F.when(is_numeric(a), exact).otherwise(mixed)
     b = trimmed(right)
     m, n = is_numeric(a), is_numeric(b)
     mixed = (m != n) & (a != "") & (b != "")

@@ -18,7 +18,7 @@ from fieldwarden.operators import pooled
 
 MODES = {"single": "check", "pooled": "check", "constraint": "constraint", "required": "required", "unique": "unique", "choices": "choices"}
 #: Rules of one projection; more would outgrow the JVM's limit on a method of generated code.
-RULES_AT_ONCE = 40
+RULES_AT_ONCE = 10
 META = ("_record", "_event", "_instance", "_form", "_dag")
 PLACE = ", ".join(f"{c} {'int' if c == '_instance' else 'string'}" for c in META)
 #: White space of blank values, for all modes but constraints.
@@ -227,7 +227,7 @@ class _Compiler:
 
 
 def row_local(contexts: DataFrame, rules: list[Rule], dictionary: Dictionary) -> DataFrame:
-    """Findings, and problems as type 'problem', of all rules but uniqueness: one projection for every 50 of them."""
+    """Findings, and problems as type 'problem', of all rules but uniqueness: one projection for every RULES_AT_ONCE of them."""
     twice = duplicate_claims(rules)
     made = _Compiler(contexts, dictionary)
     items = []
