@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -76,3 +77,32 @@ def test_rows_without_ids_repeats_and_no_rows(spark):
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(4, text, "a"), (None, "alone", "c"), (6, " ", None)], key=str)
     assert S.keep_one(docs.limit(0)).count() == 0
+
+
+def least_of_roots(spark, texts, **how):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA).repartition(5)
+    got = {}
+    for r in S.roots(docs, **how).collect():
+        got.setdefault(r.root, []).append(r.least["_id"])
+    return sorted(min(x) for x in got.values())
+
+
+def straddling(rng, versions, pairs):
+    """Versions of one text with a similarity of 0.76 or 0.79 to each other, and of some of them one further version at 0.82."""
+    words, chosen = [f"w{i}" for i in range(300)], []
+    while len(chosen) < versions:
+        slots = frozenset(rng.sample(range(59), 4))
+        if all(len(slots & x) < 2 for x in chosen):
+            chosen.append(slots)
+    for x in chosen[:pairs]:
+        further = (frozenset([*rng.sample(sorted(x), 2), *rng.sample(sorted(set(range(59)) - x), 2)]) for _ in range(10_000))
+        chosen.append(next(y for y in further if sum(len(y & z) > 1 for z in chosen) == 1))
+    return [" ".join(f"x{rng.random()}" if i % 5 == 4 and i // 5 in x else w for i, w in enumerate(words)) for x in chosen]
+
+
+@pytest.mark.parametrize("most", [2048, 30])
+def test_versions_that_straddle_the_similarity(spark, most):
+    texts = straddling(random.Random(1), 60, 20)
+    want = sorted(set(brute_roots(texts)))
+    assert len(want) == 60
+    assert least_of_roots(spark, texts, most=most) == want
