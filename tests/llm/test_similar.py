@@ -106,3 +106,26 @@ def test_versions_that_straddle_the_similarity(spark, most):
     want = sorted(set(brute_roots(texts)))
     assert len(want) == 60
     assert least_of_roots(spark, texts, most=most) == want
+
+
+def test_near_copies_of_few_words(spark):
+    rng, texts = random.Random(5), []
+    for n in range(8, 31):
+        for k in range(40):
+            words = [f"s{n}_{k}_{i}" for i in range(n)]
+            texts += [" ".join(words), " ".join([*words, "added"])]
+    rng.shuffle(texts)
+    assert least_of_roots(spark, texts) == sorted(set(brute_roots(texts)))
+
+
+def test_short_sets_miss_few_pairs_by_calculation():
+    half = [[math.comb(n, k) / 2**n for k in range(n + 1)] for n in range(90)]
+    over = [[sum(p[k:]) for k in range(n + 2)] for n, p in enumerate(half)]
+    for size in range(1, 65):
+        for shared in range(math.ceil(0.8 * size), size + 1):
+            x = size - shared
+            for y in range(x, shared // 4 - x + 1):
+                a, b = ([over[z][min(max((shared + z) // 2 - k + 1, 0), z + 1)] for k in range(shared + 1)] for z in (x, y))
+                p = sum(h * (s * (1 - t) + t * (1 - s)) for h, s, t in zip(half[shared], a, b, strict=True))
+                r = int(S.reach(np.array([size]))[0])
+                assert sum(math.comb(256, k) * p**k * (1 - p) ** (256 - k) for k in range(r + 1, 257)) < 1e-5, (shared, x, y)
