@@ -5,7 +5,8 @@ Personal values are found by pattern and then validated: card numbers (Luhn), IB
 addresses. Each is mapped by a keyed permutation of its own format: a card stays a valid card of that length and
 grouping, a date a date in the same notation, an e-mail's name keeps its letters, digits and marks in place. Equal
 values have equal pseudonyms in every document, different values different ones, and no value stays as it is.
-Numbers that fail validation are left alone.
+Numbers that fail validation are left alone; a match that fails is tried again without its last words and as the other
+kinds, and the search goes on one character after its start.
 
 The permutation is a Feistel network of ten rounds over the format's value range, with a keyed BLAKE2b round function and
 cycle walking; a value is taken through it, moved on by one, and back, which rules out fixed points. `reveal` undoes it.
@@ -31,20 +32,29 @@ ROUNDS = 10
 #: What a text must hold for any pattern to match.
 HINT = re.compile(r"@|[0-9][0-9 ().\-/]{5}")
 
-FINDER = re.compile(
-    r"""
-    (?P<email>(?<![\w.+%-])[\w.+%-]{1,64}@(?:[\w-]+\.)+[^\W\d_]{2,24}(?![\w-]))
-  | (?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\ [A-Z0-9]{4}){2,7}(?:\ [A-Z0-9]{1,4})?)(?!\w))
-  | (?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9]))
-  | (?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![\w/-]|\.[0-9]))
-  | (?P<ssn>(?<![\w.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
-  | (?P<phone>(?<!\w)\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\w)
+_PATTERNS = {
+    "email": r"(?<![\w.+%-])[\w.+%-]{1,64}@(?:[\w-]+\.)+[^\W\d_]{2,24}(?![\w-])",
+    "iban": r"(?<!\w)[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\ [A-Z0-9]{4}){2,7}(?:\ [A-Z0-9]{1,4})?)(?!\w)",
+    "ip": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])",
+    "date": r"""(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})
+        (?:(?=T[0-9]{2}:?[0-9]{2})|(?![\w/-]|\.[0-9]))""",
+    "ssn": r"(?<![\w.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
+    "phone": r"""(?<!\w)\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\w)
       | (?<![\w.])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,4}){2,5}(?!\w)
-      | (?<![\w.+-])(?:\([0-9]{3}\)\ ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![\w-]))
-  | (?P<card>(?<![\w+-])(?<![0-9]\.)(?:[0-9]{13,19}|[0-9]{4}(?P<s>[ -])[0-9]{4}(?P=s)[0-9]{4}(?P=s)[0-9]{1,7}|[0-9]{4}(?P<t>[ -])[0-9]{6}(?P=t)[0-9]{5})(?![\w-]))
-    """,
-    re.VERBOSE,
-)
+      | (?<![\w.+-])(?:\([0-9]{3}\)\ ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![\w-])""",
+    "card": r"(?<![\w+-])(?<![0-9]\.)(?:[0-9]{13,19}|[0-9]{4}(?P<s>[ -])[0-9]{4}(?P=s)[0-9]{4}(?P=s)[0-9]{1,7}|[0-9]{4}(?P<t>[ -])[0-9]{6}(?P=t)[0-9]{5})(?![\w-])",
+}
+FINDER = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in _PATTERNS.items()), re.VERBOSE)
+_KIND = {kind: re.compile(p, re.VERBOSE) for kind, p in _PATTERNS.items()}
+#: The length of each country's IBANs, which is tried first; other lengths and countries count by mod 97 alone.
+IBAN_LENGTH = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 "
+        "GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 "
+        "PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+    ).split()
+}
 
 
 class Permutation:
@@ -156,7 +166,7 @@ _LATE_DAYS = [k for k in range(DAYS) if (FIRST_DAY + timedelta(k)).day > 12]
 def _date(v: str, move: Callable) -> str | None:
     mark = next(c for c in v if not c.isdigit())
     parts = [int(x) for x in v.split(mark)]
-    order = "ymd" if mark == "-" else "mdy" if mark == "/" and parts[1] > 12 else "dmy"
+    order = "ymd" if len(v.split(mark)[0]) == 4 else "mdy" if mark == "/" and parts[1] > 12 else "dmy"
     y, m, d = (parts[order.index(c)] for c in "ymd")
     try:
         day = (date(y, m, d) - FIRST_DAY).days
@@ -204,6 +214,22 @@ class Pseudonyms:
         permutation = lru_cache(4096)(lambda kind, n: Permutation(key, kind, n))
         self.one = lru_cache(1 << 16)(lambda kind, v: KINDS[kind](v, lambda k, x, n: permutation(k, n).shift(x, by)))
 
+    def at(self, text: str, start: int, first: str) -> tuple[str, int, str | None]:
+        """Kind, end and pseudonym of the first valid value at a place, of the kind first or a later one; no pseudonym if there is none."""
+        kinds = list(KINDS)
+        for kind in kinds[kinds.index(first) :]:
+            if not (m := _KIND[kind].match(text, start)):
+                continue
+            ends = [m.end(), *(start + k for k in range(len(m[0]) - 1, 0, -1) if m[0][k] == " " and _KIND[kind].fullmatch(text, start, start + k))]
+            if kind == "iban":  # false sorts first
+                ends.sort(key=lambda e: len(text[start:e].replace(" ", "")) != IBAN_LENGTH.get(text[start : start + 2]))
+            for end in ends:
+                if end < m.end() and (c := _KIND["card"].search(text, start + 1)) and c.start() < end < c.end() and self.one("card", c[0]):
+                    continue  # it would cut a card in two
+                if (new := self.one(kind, text[start:end])) is not None:
+                    return kind, end, new
+        return first, start, None
+
     def replace(self, text: str | None) -> tuple[str | None, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and kind, start and end of each value found in the given text."""
         spans: list[tuple[str, int, int]] = []
@@ -211,13 +237,13 @@ class Pseudonyms:
             return text, spans
         out, done, at = [], 0, 0
         while m := FINDER.search(text, at):
-            new = self.one(m.lastgroup if m.lastgroup in KINDS else "card", m[0])
-            at = m.end()
+            kind, end, new = self.at(text, m.start(), m.lastgroup if m.lastgroup in KINDS else "card")
             if new is None:
+                at = m.start() + 1  # another value may begin inside of what is none
                 continue
             out += [text[done : m.start()], new]
-            done = m.end()
-            spans.append((m.lastgroup if m.lastgroup in KINDS else "card", m.start(), m.end()))
+            at = done = end
+            spans.append((kind, m.start(), end))
         return ("".join([*out, text[done:]]) if spans else text), spans
 
 

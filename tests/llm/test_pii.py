@@ -80,3 +80,19 @@ def test_rows(spark):
     kept = pii.apply(docs, KEY)
     assert kept.columns == docs.columns and sorted(r.spans for r in kept.collect()) == [1, 1, 2, 3]
     assert pii.found(docs.limit(0), KEY).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("BE68 5390 0754 7034 2 May", [("iban", "BE68 5390 0754 7034")]), ("BE68 5390 0754 7034 BIC", [("iban", "BE68 5390 0754 7034")]),
+        ("AT61 1904 3002 3457 3201 BIC GIBA", [("iban", "AT61 1904 3002 3457 3201")]), ("ID42 4111 1111 1111 1111", [("card", "4111 1111 1111 1111")]),
+        ("+1 4111 1111 1111 1111", [("card", "4111 1111 1111 1111")]), ("+49 30 901820 2024 1234 12", [("phone", "+49 30 901820 2024")]),
+        ("at 2024-03-05T10:00:00Z", [("date", "2024-03-05")]), ("on 2024/03/05, noon", [("date", "2024/03/05")]), ("2024-03-05Txt 2024/03/05/7", []),
+    ],
+)
+def test_values_beside_what_looks_like_more(text, want):
+    new, spans = names.replace(text)
+    assert [(k, text[a:b]) for k, a, b in spans] == want
+    assert all(v not in new for _, v in want) and len(new) == len(text)
+    assert pii.reveal(new, KEY) == text
