@@ -10,7 +10,7 @@ frame of 576 samples (16 kHz, mono, 144 kbit/s, CRC on) whose sound is silence,
 frame count, the byte count and the seek table. `unpack` reads the payload back from the frames found.
 
 Null bytes, empty bytes and bytes without a frame give a stream of no frames and duration 0. Junk before,
-between and after frames is skipped and counted. Repeated rows give equal results. Extra columns are ignored.
+between and after frames is skipped and counted. An ID3v1 tag is one only where the last frame does not span it. Repeated rows give equal results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -153,14 +153,16 @@ def _vbr_table(frame: bytes, h: Header) -> dict:
 def read(data: bytes | None) -> Stream:
     out = Stream()
     data = data or b""
-    at, end = _id3v2(data, out.tags), _id3v1(data, out.tags)
+    trailing: dict[str, str] = {}
+    at, end = _id3v2(data, out.tags), _id3v1(data, trailing)
     synced = False
     while at + 4 <= end:
         h, first = header(data[at : at + 4]), out.header
-        fits = h is not None and at + h.size <= end and (first is None or (h.version, h.layer, h.rate) == (first.version, first.layer, first.rate))
+        whole = h is not None and at + h.size == len(data)  # then TAG near the end is a part of this frame
+        fits = h is not None and (whole or at + h.size <= end) and (first is None or (h.version, h.layer, h.rate) == (first.version, first.layer, first.rate))
         if fits and not synced:
             after = header(data[at + h.size : at + h.size + 4])
-            fits = at + h.size == end or after is not None and (after.version, after.layer, after.rate) == (h.version, h.layer, h.rate)
+            fits = whole or at + h.size == end or after is not None and (after.version, after.layer, after.rate) == (h.version, h.layer, h.rate)
         if not fits:
             synced = False
             step = data.find(b"\xff", at + 1, end)
@@ -169,6 +171,8 @@ def read(data: bytes | None) -> Stream:
             at = step
             continue
         synced = True
+        if whole:
+            end, trailing = len(data), {}
         if h.protected and h.layer == 3:
             out.checked += 1
             out.bad_crc += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) != int.from_bytes(data[at + 4 : at + 6])
@@ -184,6 +188,8 @@ def read(data: bytes | None) -> Stream:
         out.kbps.add(h.kbps)
         at += h.size
     out.skipped += max(0, end - at)
+    for name, text in trailing.items():
+        out.tags.setdefault(name, text)
     return out
 
 

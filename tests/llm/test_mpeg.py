@@ -77,3 +77,15 @@ def test_store_and_probe(spark):
     media = spark.createDataFrame([(1, bytearray(mpeg.pack(b"y" * 576))), (2, None)], "doc_id long, data binary")
     seen = {r.doc_id: r for r in mpeg.probe(media).collect()}
     assert seen[1].offsets == [648] and seen[1].seconds == 0.036 and seen[2].frames == 0
+
+
+def test_payload_that_looks_like_a_tag():
+    for n in (1, 2, 5):
+        payload = bytearray(b"x" * (576 * n))
+        payload[-71:-68] = b"TAG"
+        stored = mpeg.pack(bytes(payload))
+        assert stored[-128:-125] == b"TAG"
+        s = mpeg.read(stored)
+        assert mpeg.unpack(stored, s) == payload and s.tags == {} and s.skipped == 0
+        tagged = mpeg.read(stored + b"TAG" + b"Song".ljust(125, b"\0"))
+        assert mpeg.unpack(stored, tagged) == payload and tagged.tags == {"title": "Song"} and tagged.skipped == 0
