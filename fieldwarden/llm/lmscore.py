@@ -10,10 +10,10 @@ greater it is, the more the target model prefers the text.
 Texts are hashed in chunks; each chunk sends every bucket of the hash range one packed row with its documents' n-grams. A
 bucket counts its n-grams and answers with the packed sums of each chunk's documents; one last grouping adds them by chunk.
 N-grams as common as one in `HOT` tokens - never more than 2 * HOT of them - are found and counted first, broadcast, and never
-sent, so no bucket is hot. Everything that is gathered grows with the input; texts themselves are not shuffled.
+sent, so no bucket is hot. Everything that is gathered grows with the input.
 
 Null and empty texts have no tokens and score 0. Repeated rows are scored alike, each as a document of its own. The target is
-at most `most` documents (drawn by a hash of doc_id, as it is broadcast); with none, every score is 0. Extra columns are ignored.
+all documents of the given ids, marked by a join that deals texts by doc_id once a pass; with none, every score is 0. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from fieldwarden.llm.hashing import BASE, INVERSE, IS_WORD, mix, powers
 from fieldwarden.session import shuffle_partitions
 
-HOT, MOST, SHARE = 4096, 20_000, 0.5
+HOT, SHARE = 4096, 0.5
 #: Documents and characters of a chunk at most (a longer text is a chunk of its own).
 DOCS, CHARACTERS = 4_000, 1 << 20
 SPACE = np.array([chr(b).isspace() for b in range(128)] + [False] * 128)
@@ -116,11 +116,11 @@ def log_ratio(n: np.ndarray, good: np.ndarray, tokens: int, good_tokens: int, sh
     return np.log(1 - share + share * (good / max(1, good_tokens)) * tokens / np.maximum(n, 0.5))
 
 
-def score(docs: DataFrame, good: DataFrame, hot: int = HOT, most: int = MOST, share: float = SHARE, buckets: int | None = None) -> DataFrame:
+def score(docs: DataFrame, good: DataFrame, hot: int = HOT, share: float = SHARE, buckets: int | None = None) -> DataFrame:
     """doc_id, n_tokens, score of every row of docs (doc_id, text); good: the doc_ids of the target."""
     spark = docs.sparkSession
-    chosen = good.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    told = docs.select("doc_id", "text").join(F.broadcast(chosen.withColumn("target", F.lit(True))), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    chosen = good.where("doc_id is not null").select("doc_id").distinct()
+    told = docs.select("doc_id", "text").join(chosen.withColumn("target", F.lit(True)), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
     keys_hot, n_hot, good_hot, tokens, good_tokens = hot_ngrams(told, hot)
     sent = spark.sparkContext.broadcast((keys_hot, n_hot, good_hot))
     parts = buckets or 2 * shuffle_partitions(spark)

@@ -78,3 +78,9 @@ def test_separates_poor_texts(spark):
     rows = queries.op9_lm_cross_entropy(spark, sf).join(labels, "doc_id").groupBy("quality").agg(F.avg("score").alias("mean")).collect()
     mean = {r.quality: r["mean"] for r in rows}
     assert mean[1] > mean[0]
+
+
+def test_target_of_more_than_20_000_documents(spark):
+    docs = spark.range(24_000).selectExpr("id as doc_id", "concat('a w', id % 50) as text")
+    rows = L.score(docs, docs.select("doc_id")).collect()
+    assert len(rows) == 24_000 and max(abs(r.score) for r in rows) < 1e-9  # all of the corpus is the target, so the models are equal
