@@ -27,13 +27,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_checkpoint_dir(spark: SparkSession) -> SparkSession:
-    """Leaves the cluster's shared spark.checkpoint.dir alone; sets a temporary one only where none is set."""
+    """Leaves the cluster's shared spark.checkpoint.dir alone. Where none is set, a local session gets a temporary one; a cluster has none that all its machines see."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="fieldwarden-"))
     return spark
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def parts_of(frame: DataFrame, bytes_each: int = 64 << 20) -> int:
+    """Partitions that a shuffle of the frame's rows needs so that each has about so many bytes, by the scan's estimate; never fewer than the session's."""
+    size = int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(shuffle_partitions(frame.sparkSession), min(-(-size // bytes_each), 1 << 16))
