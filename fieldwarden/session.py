@@ -43,5 +43,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def parts_of(frame: DataFrame, bytes_each: int = 64 << 20) -> int:
     """Partitions that a shuffle of the frame's rows needs so that each has about so many bytes, by the scan's estimate; never fewer than the session's."""
-    size = int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return max(shuffle_partitions(frame.sparkSession), min(-(-size // bytes_each), 1 << 16))
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    own = shuffle_partitions(frame.sparkSession)
+    return own if size >= 1 << 60 else max(own, -(-size // bytes_each))  # a frame of no files has no estimate, which Spark gives as a huge one
