@@ -5,8 +5,13 @@ Every bucket is written as two bits: how many of the three quartiles of all coun
 length on a logarithmic scale (one byte) and the buckets, in hexadecimal. `likeness` compares two digests: the
 differences of the bucket codes and of the length codes, as a share of the greatest possible, taken from 1.
 
+`compare_edited` needs each row's successor by doc_id. Rows are dealt by ranges of doc_id and sorted inside them; a task
+streams over its rows with one text held, so its memory does not grow with the range, and a doc_id that many rows share
+is only a longer stream. The one row that meets the next range is answered by a small join of the ranges' first and last texts.
+
 Null counts as empty text. A text of fewer than three bytes has no triplet: all its buckets are 0. Equal texts have
-equal digests. Rows with the same doc_id follow one another by text. Extra columns are ignored.
+equal digests. A null doc_id comes first. Rows with the same doc_id follow one another by a hash of the text and the text.
+A single row is its own successor. No rows give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,12 +21,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.feature import Bucketizer
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from fieldwarden.session import shuffle_partitions
+from fieldwarden.session import parts_of, with_checkpoint_dir
 
 #: Buckets of a digest.
 BUCKETS = 256
@@ -69,40 +75,12 @@ def likeness(a: str, b: str) -> float:
 def fingerprints(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, fingerprint of every row of docs, in one pass."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f.doc_id, "fingerprint": [digest((t or "").encode(), buckets) for t in f.text]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
-
-
-def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Rows in ranges of doc_id, for groupBy("range"): each range also holds, marked `ahead`, the first row of the range after it.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [digest((t.as_py() or "").encode(), buckets) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string())], ["doc_id", "fingerprint"])
 
-    Range limits are quantiles of doc_id. One shuffle of the texts; a range is a few hundred rows, so that no task
-    must hold more. The range after the last is the first one.
-    """
-    spark = docs.sparkSession
-    ranges = ranges or 8 * shuffle_partitions(spark)
-    rows = docs.select("doc_id", "text")
-    ids = rows.select("doc_id")
-    cuts = ids.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0] or []
-    splits = [-math.inf, *sorted({float(c) for c in cuts}), math.inf]
-    if len(splits) == 2:
-        splits.insert(1, 0.0)
-    cut = Bucketizer(splits=splits, inputCol="as_double", outputCol="range", handleInvalid="keep")
-    placed = lambda f: cut.transform(f.withColumn("as_double", F.coalesce(F.col("doc_id").cast("double"), F.lit(-math.inf)))).drop("as_double")
-    heads = placed(ids).groupBy("range").agg(F.min_by(F.struct("doc_id"), F.coalesce("doc_id", F.lit(-(2**63)))).alias("head")).orderBy("range").collect()
-    if not heads:
-        return placed(rows).withColumn("ahead", F.lit(False))
-    # one row for each range: where its first row is needed too
-    before = {h["range"]: heads[k - 1]["range"] for k, h in enumerate(heads)}
-    first = spark.createDataFrame([(h["range"], h["head"]["doc_id"], before[h["range"]]) for h in heads], f"range double, head_id {docs.schema['doc_id'].dataType.simpleString()}, also double")
-    own = placed(rows)
-    joined = own.join(F.broadcast(first), "range")
-    to = F.when(F.col("doc_id").eqNullSafe(F.col("head_id")), F.array(F.struct(F.col("range"), F.lit(False).alias("ahead")), F.struct(F.col("also").alias("range"), F.lit(True).alias("ahead"))))
-    to = to.otherwise(F.array(F.struct(F.col("range"), F.lit(False).alias("ahead"))))
-    return joined.select("doc_id", "text", F.explode(to).alias("to")).select("doc_id", "text", "to.range", "to.ahead")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
 def edited(text: str, following: str) -> str:
@@ -111,22 +89,71 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_NAMES = [c.split()[0] for c in RESULT.split(", ")]
+_KINDS = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+
+
+def _compared(text: str, mark: str, following: str, next_mark: str, buckets: int) -> tuple:
+    changed = edited(text, following).encode()
+    of_changed = digest(changed, buckets)
+    return len(text), hashlib.sha256(changed).hexdigest(), mark, of_changed, likeness(mark, of_changed), likeness(mark, next_mark)
+
+
+def _streamed(id_type: pa.DataType, buckets: int):
+    """mapInArrow function over sorted ranges: every row's result but the last one's, and the range's first and last text."""
+    names = ["doc_id", *_NAMES, "place", "first", "last"]
+    kinds = (id_type, *_KINDS, pa.int32(), pa.string(), pa.string())
+
+    def rows(columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[pa.Scalar, str, str] | None = None  # the row that waits for its successor: doc_id, text, digest
+        first = ""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, texts = batch.column("doc_id"), [t or "" for t in batch.column("text").to_pylist()]
+            marks = [digest(t.encode(), buckets) for t in texts]
+            out = [_compared(texts[k], marks[k], texts[k + 1], marks[k + 1], buckets) for k in range(len(texts) - 1)]
+            done = ids.slice(0, len(texts) - 1)
+            if held:
+                out.insert(0, _compared(held[1], held[2], texts[0], marks[0], buckets))
+                done = pa.concat_arrays([pa.array([held[0]], id_type), done])
+            else:
+                first = texts[0]
+            n = len(out)
+            if n:
+                yield rows([done, *(list(c) for c in zip(*out, strict=True)), [None] * n, [None] * n, [None] * n])
+            held = ids[len(texts) - 1].as_py(), texts[-1], marks[-1]
+        if held:
+            yield rows([[held[0]], *[[None]] * len(_NAMES), [TaskContext.get().partitionId()], [first], [held[1]]])
+
+    return run
+
+
 def compare_edited(docs: DataFrame, buckets: int = BUCKETS, ranges: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike it is to that and to the next row's."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.assign(text=f.text.fillna(""), key=f.doc_id.fillna(-(2**63)))
-        own = f[~f.ahead].sort_values(["key", "text"])
-        ahead = f[f.ahead].sort_values(["key", "text"])
-        texts = [*own.text, *ahead.text[:1]]
-        marks = [digest(t.encode(), buckets) for t in texts]
-        out = []
-        for k, doc_id in enumerate(own.doc_id):
-            changed = edited(texts[k], texts[k + 1]).encode()
-            mark = digest(changed, buckets)
-            out.append((doc_id, len(texts[k]), hashlib.sha256(changed).hexdigest(), marks[k], mark, likeness(marks[k], mark), likeness(marks[k], marks[k + 1])))
-        return pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, ranges).groupBy("range").applyInPandas(run, schema)
+    with_checkpoint_dir(docs.sparkSession)
+    rows = docs.select("doc_id", "text")
+    id_type, kind = to_arrow_type(docs.schema["doc_id"].dataType), docs.schema["doc_id"].dataType.simpleString()
+    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # the hash, as the driver samples the keys to find the ranges
+    sorted_rows = rows.repartitionByRange(ranges or parts_of(rows), *keys).sortWithinPartitions(*keys, "text")
+    # written once, so that ranges and results are of one run; the texts of the ranges' ends are all that it holds of the texts
+    found = sorted_rows.mapInArrow(_streamed(id_type, buckets), f"doc_id {kind}, {RESULT}, place int, first string, last string").checkpoint()
+    ends = found.where("place is not null")
+    places = sorted(r.place for r in ends.select("place").collect())  # a number for each range that has rows
+    follows = docs.sparkSession.createDataFrame(list(zip(places, [*places[1:], *places[:1]], strict=True)), "place int, after int")
+    heads = ends.select(F.col("place").alias("after"), F.col("first").alias("following"))
+    last = ends.select("doc_id", "last", "place").join(follows, "place").join(heads, "after").select("doc_id", "last", "following")
+
+    def at_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = zip(batch.column("last").to_pylist(), batch.column("following").to_pylist(), strict=True)
+            out = [_compared(t, digest(t.encode(), buckets), f, digest(f.encode(), buckets), buckets) for t, f in texts]
+            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate(_KINDS)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *_NAMES])
+
+    rest = last.mapInArrow(at_ends, f"doc_id {kind}, {RESULT}")
+    return found.where("place is null").select("doc_id", *_NAMES).unionByName(rest)

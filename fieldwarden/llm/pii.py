@@ -4,7 +4,9 @@ Personal values are found by pattern and then validated: card numbers (Luhn), IB
 (allotted ranges), telephone numbers (digit counts), IPv4 addresses (octets), calendar dates of 1900 to 2099, and e-mail
 addresses. Each is mapped by a keyed permutation of its own format: a card stays a valid card of that length and
 grouping, a date a date in the same notation, an e-mail's name keeps its letters, digits and marks in place. Equal
-values have equal pseudonyms in every document, different values different ones, and no value stays as it is.
+values have equal pseudonyms in every document, different values different ones, and no value that is found stays as it is
+(an e-mail's host stays, as it names a provider and not a person; so does a name without letters and digits). A date written
+month first (3/25/2024) is linked to itself alone, not to the same day in other notations. IPv6 addresses are not looked for.
 Numbers that fail validation are left alone; a match that fails is tried again without its last words and as the other
 kinds, and the search goes on one character after its start.
 
@@ -25,6 +27,7 @@ from hashlib import blake2b
 from math import isqrt
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,17 +114,28 @@ def _card(v: str, move: Callable) -> str | None:
     return _refill(v, body + luhn_digit(body))
 
 
+@lru_cache(4096)
+def _class(c: str) -> str:
+    """The characters that c may become: ASCII letters of its case, digits, or the letters of its case in its block of 128 code points."""
+    for s in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"):
+        if c in s:
+            return s
+    if c.isascii() or not c.isalnum():
+        return ""
+    block = ord(c) & ~127
+    return "".join(x for x in map(chr, range(block, block + 128)) if x.isalnum() and (x.islower(), x.isupper(), x.isdigit()) == (c.islower(), c.isupper(), c.isdigit()))
+
+
 def _mixed(text: str, kind: str, move: Callable) -> str | None:
-    """The text with its ASCII letters and digits moved within their classes."""
-    classes = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
-    own = [next((s for s in classes if c in s), "") for c in text]
+    """The text with its letters and digits moved within their classes."""
+    own = [_class(c) for c in text]
     n, value = 1, 0
     for c, s in zip(text, own, strict=True):
         if s:
             n, value = n * len(s), value * len(s) + s.index(c)
     if n < 2:
         return None
-    shape = "".join("aA0"[classes.index(s)] if s else c for c, s in zip(text, own, strict=True))
+    shape = "".join(s[0] if s else c for c, s in zip(text, own, strict=True))
     value = move(f"{kind}{shape}", value, n)
     out = []
     for c, s in zip(reversed(text), reversed(own), strict=True):
@@ -249,15 +263,17 @@ class Pseudonyms:
 
 def found(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with pseudonyms, and the values found: kind, start and end (code points of the given text)."""
+    spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Pseudonyms(key)
-        for f in frames:
-            rows = [names.replace(t) for t in f.text]
-            yield pd.DataFrame({"doc_id": f.doc_id, "text": [t for t, _ in rows], "spans": [[{"kind": k, "start": a, "end": b} for k, a, b in s] for _, s in rows]})
+        for batch in batches:
+            rows = [names.replace(t.as_py()) for t in batch.column("text")]
+            found = [[dict(zip(("kind", "start", "end"), x, strict=True)) for x in s] for _, s in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t for t, _ in rows], pa.string()), pa.array(found, spans)], ["doc_id", "text", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, text string, spans array<struct<kind string, start int, end int>>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string, spans array<struct<kind string, start int, end int>>")
 
 
 def apply(docs: DataFrame, key: bytes) -> DataFrame:
