@@ -2,15 +2,19 @@
 
 Everything is DataFrame expressions. Sizes are counted once. Each source's target is its share by weight of all words,
 at most `epochs` times its own size; the excess goes to the others by weight until no target is above. The mix is cut
-into about `blocks` equal blocks of words; the blocks go to the sources with the highest quotients target / (2 s + 1), and
-output shard r gets what the first r shards' blocks add to a source. The divisor near which the last quotient lies is known, so only
-the few seats around it are ranked, never all blocks.
+into about `blocks` equal blocks of words, dealt over `shards` output shards of equal size; the blocks go to the sources with the
+highest quotients target / (2 s + 1). The first r shards hold what the quotients give to that many blocks, so that shard r's integer
+quotas are what it adds to them. A divisor at which rounding misses the number of blocks by less than half a seat for each source is
+known, so that only the few seats around it are ranked, about five for each source and shard.
 
 A source's documents stand in seeded order (a hash of doc_id) on one line of words, cut into blocks. It plays whole
-passes over the line, and for the rest every so-many-th block from a seeded offset, as exact integer steps. What a
-document gives is the overlap of its interval with the chosen blocks, in closed form. The order is found by ranges of the
+passes over the line, and for the rest every so-many-th block from a seeded offset, as exact integer steps. Its plays are
+numbered in this order, and each shard takes as many of them as its quota says, after those of the shards before. What a
+document gives to a shard is the overlap of its interval with the shard's blocks, in closed form. The order is found by ranges of the
 hash: sums of ranges first, then inside each range, so that a source with a third of all rows is no single task's work.
 
+The table of sources (one row each, after partial sums) is ranked in one task; everything that has a row for each document is not.
+
 Null and empty texts have size 0 and give nothing. A null source is a source, the last in order. Repeated rows share a
 place in the order in any order, which changes no set of rows. No documents give no rows. Extra columns are ignored.
 """
@@ -24,14 +28,15 @@ from fieldwarden.session import with_checkpoint_dir
 
 BLOCKS, SHARDS, EPOCHS, SEED = 1_000_000, 8, 3, 20
 WEIGHTS = (1, 2, 3)
-#: Ranges of the hash order in each source, by their logarithm.
-RANGE_BITS = 12
+#: Rows of a range of the hash order, on average, if all rows were of one source.
+RANGE_ROWS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size in words, and place: 60 bits of a hash that give the seeded order."""
-    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+    """doc_id, source, size in words, and place: 60 bits of a hash of doc_id (of the text if there is none) that give the seeded order."""
+    named = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), named)), 1, 15), 16, 10).cast("long")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
     return docs.select("doc_id", "source", size.alias("size"), place.alias("place"))
 
@@ -66,10 +71,10 @@ def apportion(wanted: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS) ->
     rows = wanted.withColumn("block", block).withColumn("seats", F.ceil(F.col("total") / F.col("block")).cast("long"))
     rows = rows.withColumn("near_by", F.count("*").over(every)).select("*", F.explode(F.sequence(F.lit(1), F.lit(shards))).alias("shard"))
     house = (F.col("seats") * F.col("shard") / F.lit(shards)).cast("long")  # blocks of the first shards
-    share = F.when(F.col("total") > 0, F.col("target") * house / F.col("total")).otherwise(0.0)
-    # at this divisor rounding misses the house by less than half a seat for each source, and no source moves further
-    low = F.greatest(F.lit(0).cast("long"), F.floor(share - F.col("near_by") / 2 - 1))
-    rows = rows.withColumns({"house": house, "low": low, "high": F.ceil(share + F.col("near_by") / 2 + 1)})
+    # a divisor that gives all blocks lies where total / divisor is within half a seat a source of their number; so do each source's seats
+    part, half = F.when(F.col("total") > 0, F.col("target") / F.col("total")).otherwise(0.0), F.col("near_by") / 2
+    low = F.greatest(F.lit(0).cast("long"), F.floor(part * (house - half)) - 1)
+    rows = rows.withColumns({"house": house, "low": low, "high": F.ceil(part * (house + half)) + 1})
     in_shard = Window.partitionBy("shard")
     rows = rows.withColumn("left", F.col("house") - F.sum("low").over(in_shard))
     seat = rows.select("source", "shard", "low", "left", F.explode(F.sequence("low", "high")).alias("s"), "target").where("target > 0")
@@ -93,17 +98,29 @@ def _chosen(position: Column) -> Column:
     return whole * F.col("block") + inside
 
 
+def _given(plays: Column, start: Column, end: Column) -> Column:
+    """Words of a document, an interval of its source's line, in the source's first plays."""
+    line, block = F.col("length"), F.col("block")
+    turn = F.pmod(plays, line) * block
+    early = F.floor(plays / line).cast("long") * (end - start) + F.least(end, turn) - F.least(start, turn)
+    late = (plays - F.col("passes") * line) * block
+    rest = F.col("passes") * (end - start) + F.least(_chosen(end), late) - F.least(_chosen(start), late)
+    return F.when(plays < F.col("passes") * line, early).otherwise(rest)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row, and its source's quotas."""
+    """doc_id, source, size, source_size, target, taken and by_shard (the words that each output shard takes) of every row, and its source's quotas."""
     with_checkpoint_dir(docs.sparkSession)
-    rows = sized(docs, seed).withColumn("range", F.shiftright("place", 60 - RANGE_BITS)).checkpoint()
+    rows = sized(docs, seed).checkpoint()
+    bits = min(24, max(4, (rows.count() // RANGE_ROWS).bit_length()))
+    rows = rows.withColumn("range", F.shiftright("place", 60 - bits))
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size")).checkpoint()
     sizes = ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))
     quotas = apportion(targets(sizes, weights, epochs), blocks, shards)
-    blocks_won = F.aggregate("quotas", F.lit(0).cast("long"), lambda a, x: a + x)
     length = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / F.col("block")).cast("long"))
     # never more than `epochs` passes: a last, short block may round the quota up beyond them
-    plan = quotas.withColumn("length", length).withColumn("won", F.least(blocks_won, F.col("length") * epochs))
+    plays = F.transform("steps", lambda x: F.least(x["n"], F.col("length") * epochs))
+    plan = quotas.withColumn("length", length).withColumn("plays", plays).withColumn("won", F.element_at("plays", -1))
     plan = plan.withColumns({"passes": F.floor(F.col("won") / F.col("length")), "rest": F.pmod("won", "length")})
     plan = plan.withColumn("offset", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce("source", F.lit("")))), 1, 12), 16, 10).cast("long"), F.col("length")))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -112,32 +129,32 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     inside = Window.partitionBy("source", "range").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("end", F.sum("size").over(inside))
     joined = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
-    end = F.col("range_start") + F.col("end")
-    taken = F.col("passes") * F.col("size") + _chosen(end) - _chosen(end - F.col("size"))
-    return joined.select("doc_id", "source", "size", "source_size", F.col("target").cast("double"), taken.cast("long").alias("taken"), "quotas")
+    joined = joined.withColumn("end", F.col("range_start") + F.col("end")).withColumn("start", F.col("end") - F.col("size"))
+    up_to = joined.withColumn("up_to", F.transform("plays", lambda n: _given(n, F.col("start"), F.col("end")).cast("long")))
+    by_shard = F.transform("up_to", lambda x, i: x - F.coalesce(F.get("up_to", i - 1), F.lit(0).cast("long")))
+    return up_to.select("doc_id", "source", "size", "source_size", F.col("target").cast("double"), F.element_at("up_to", -1).alias("taken"), by_shard.alias("by_shard"), "quotas")
 
 
 def copies(docs: DataFrame, seed: int = SEED, **kinds) -> DataFrame:
     """docs with each row as often as the mix takes its words; the part of a copy is rounded up or down by a seeded draw.
 
-    Rows without words stay once. All columns are kept. kinds: the parameters of `mix`.
+    Rows without words stay once. All columns are kept, whatever their names. kinds: the parameters of `mix`.
     """
-    parts = ("_null", "_id", "_text")
-    key = F.struct(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.xxhash64("text"))
-    keyed = docs.withColumns({name: key[f"col{k + 1}"] for k, name in enumerate(parts)})
-    taken = mix(keyed.select(F.struct(*parts).alias("doc_id"), "text", "source"), seed=seed, **kinds)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("text"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"), "text", "source")
+    taken = mix(keyed.select(F.col("key").alias("doc_id"), "text", "source"), seed=seed, **kinds)
     share = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1.0)
-    taken = taken.groupBy("doc_id").agg(F.avg(share).alias("_share")).select("doc_id.*", "_share")  # rows of one doc_id and text share alike
-    draw = F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    joined = keyed.join(taken, list(parts)).withColumn("_copies", F.floor(F.col("_share") + draw).cast("int"))
-    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")).select(*docs.columns)
+    taken = taken.groupBy(F.col("doc_id").alias("key")).agg(F.avg(share).alias("share"))  # rows of one doc_id and text share alike
+    draw = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    joined = keyed.select("row", "key").join(taken, "key").withColumn("times", F.floor(F.col("share") + draw).cast("int"))
+    return joined.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("turn")).select("row.*")
 
 
-#: The same rows by another way: all seats ranked at once, no shards, one running sum for each source.
+#: The same rows by another way: all seats ranked at once, and one running sum for each source.
 SQL = rf"""
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
-         ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place
+         ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 15))::BIGINT AS place
   FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
 named AS (
@@ -158,26 +175,35 @@ seats AS (
   SELECT source, row_number() OVER (ORDER BY target / (2 * s + 1) DESC, source IS NULL, source, s) AS rank,
          (total + block - 1) // block AS house
   FROM (SELECT *, unnest(range(0, (target / block)::BIGINT + 100)) AS s FROM wanted WHERE target > 0)),
-won AS (SELECT source, count(*) AS won FROM seats WHERE rank <= house GROUP BY source),
+shard AS (SELECT unnest(range(1, {SHARDS + 1})) AS r),
+won AS (
+  SELECT w.source, r, count(rank) FILTER (WHERE rank <= s.house * r // {SHARDS}) AS n
+  FROM wanted w CROSS JOIN shard LEFT JOIN seats s ON w.source IS NOT DISTINCT FROM s.source GROUP BY w.source, r),
 plan AS (
-  SELECT w.*, greatest(1, (source_size + block - 1) // block) AS length,
-         least(coalesce(won, 0), 3 * greatest(1, (source_size + block - 1) // block)) AS won
-  FROM wanted w LEFT JOIN won ON w.source IS NOT DISTINCT FROM won.source),
+  SELECT w.*, r, greatest(1, (source_size + block - 1) // block) AS length,
+         least(n, 3 * greatest(1, (source_size + block - 1) // block)) AS plays, max(n) OVER (PARTITION BY w.source) AS most
+  FROM wanted w JOIN won ON w.source IS NOT DISTINCT FROM won.source),
 steps AS (
-  SELECT *, won // length AS passes, won % length AS rest,
+  SELECT *, least(most, 3 * length) // length AS passes, least(most, 3 * length) % length AS rest,
          ('0x' || substr(md5('{SEED}:' || coalesce(source, '')), 1, 12))::BIGINT % length AS start
   FROM plan),
 line AS (
-  SELECT d.*, sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop
+  SELECT d.*, row_number() OVER () AS n, sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop
   FROM docs d),
 ends AS (
-  SELECT l.doc_id, l.source, l.size, p.source_size, p.target, p.passes, p.block, p.length, p.rest, p.start,
-         l.stop::BIGINT AS hi, (l.stop - l.size)::BIGINT AS lo
+  SELECT l.doc_id, l.source, l.size, p.source_size, p.target, p.passes, p.block, p.length, p.rest, p.start, p.r, p.plays,
+         l.stop::BIGINT AS hi, (l.stop - l.size)::BIGINT AS lo, l.n
   FROM line l JOIN steps p ON l.source IS NOT DISTINCT FROM p.source),
 counted AS (
   SELECT *, ((hi // block)::HUGEINT * rest + start) // length AS a1, ((hi // block + 1)::HUGEINT * rest + start) // length AS a2,
-         ((lo // block)::HUGEINT * rest + start) // length AS b1, ((lo // block + 1)::HUGEINT * rest + start) // length AS b2 FROM ends)
-SELECT doc_id, source, size, source_size, target,
-       (passes * size + (a1 * block + hi % block * (a2 - a1)) - (b1 * block + lo % block * (b2 - b1)))::BIGINT AS taken
-FROM counted
+         ((lo // block)::HUGEINT * rest + start) // length AS b1, ((lo // block + 1)::HUGEINT * rest + start) // length AS b2 FROM ends),
+given AS (
+  SELECT *, CASE WHEN plays < passes * length
+      THEN plays // length * size + least(hi, plays % length * block) - least(lo, plays % length * block)
+      ELSE passes * size + least(a1 * block + hi % block * (a2 - a1), (plays - passes * length) * block)
+           - least(b1 * block + lo % block * (b2 - b1), (plays - passes * length) * block) END::BIGINT AS up_to FROM counted),
+parts AS (SELECT *, up_to - lag(up_to, 1, 0) OVER (PARTITION BY n ORDER BY r) AS part FROM given)
+SELECT any_value(doc_id) AS doc_id, any_value(source) AS source, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
+       max(up_to) AS taken, array_to_string(list(part ORDER BY r), ',') AS by_shard
+FROM parts GROUP BY n
 """

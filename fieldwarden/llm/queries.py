@@ -20,7 +20,9 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    """by_shard: the words that each of the output shards takes, as a text."""
+    rows = mixing.mix(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", F.concat_ws(",", F.transform("by_shard", lambda x: x.cast("string"))).alias("by_shard"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

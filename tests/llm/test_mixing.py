@@ -53,6 +53,7 @@ def test_targets_sizes_and_takes(spark):
     assert sorted(map(key, got)) == sorted(map(key, again))
     for r in got:
         assert sum(r.quotas) <= r.target + 1 and len(r.quotas) == M.SHARDS
+        assert sum(r.by_shard) == r.taken and min(r.by_shard) >= 0
 
 
 @pytest.mark.parametrize("docs", [[], [(1, None, "a")], [(1, "one", None)], [(1, "one two", "a"), (2, "", "b")]])
@@ -71,6 +72,57 @@ def test_large_blocks_choose_whole_blocks(spark):
     shards = [sum(r.quotas[k] for r in {r.source: r for r in got}.values()) for k in range(M.SHARDS)]
     assert max(shards) - min(shards) <= 1
     assert sum(r.taken for r in got) == 3000
+    for name in ("s0", "s1", "s2"):  # a shard takes its quota of whole blocks of each source
+        own = [r for r in got if r.source == name]
+        block = math.ceil(3000 / 60)
+        assert [sum(r.by_shard[k] for r in own) for k in range(M.SHARDS)] == [q * block for q in own[0].quotas]
+
+
+def brute_quotas(targets, house):
+    """Sainte-Laguë seat by seat."""
+    order, won = sorted(targets), dict.fromkeys(targets, 0)
+    for _ in range(house):
+        best = max(order, key=lambda s: targets[s] / (2 * won[s] + 1))
+        won[best] += 1
+    return won
+
+
+def test_quotas_as_seat_by_seat(spark):
+    random.seed(3)
+    sizes = {f"s{k:03d}": int(random.paretovariate(0.7) * 40) for k in range(150)}
+    docs = [(k, "w " * n, s) for k, (s, n) in enumerate(sizes.items())]
+    rows = M.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"), blocks=700).collect()
+    total = sum(sizes.values())
+    seats = math.ceil(total / math.ceil(total / 700))
+    for shard in range(M.SHARDS):
+        want = brute_quotas({r.source: r.target for r in rows}, seats * (shard + 1) // M.SHARDS)
+        assert {r.source: sum(r.quotas[: shard + 1]) for r in rows} == want
+
+
+def test_many_sources(spark):
+    rows = M.mix(spark.range(6000).selectExpr("id as doc_id", "repeat('w ', 1 + cast(id % 7 as int)) as text", "concat('s', id % 3000) as source")).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r.source] = sizes.get(r.source, 0) + r.size
+    want = brute_targets(sizes)
+    assert len(rows) == 6000 and all(math.isclose(r.target, want[r.source], abs_tol=1e-6) for r in rows)
+    assert sum(r.taken for r in rows) == pytest.approx(sum(sizes.values()), rel=0.01)
+
+
+def test_clashing_columns_and_ids_of_text(spark):
+    names = ["_id", "_null", "_text", "a.b", "row", "key", "taken", "share", "size"]
+    schema = "doc_id string, text string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    docs = [(f"d{k}", "w " * (k % 5), f"s{k % 3}", *[f"{n}{k}" for n in names]) for k in range(60)] + [(None, "no id", "s1", *names)] * 2
+    got = M.copies(spark.createDataFrame(docs, schema))
+    assert got.columns == ["doc_id", "text", "source", *names]
+    assert {tuple(r) for r in got.collect()} <= set(docs) and got.where("text = ''").count() == 12
+
+
+def test_a_very_long_text_and_rows_without_ids(spark):
+    docs = [(1, "word " * 300_000, "a"), (2, "x", "b")] + [(None, f"text {k}", "a") for k in range(50)]
+    rows = M.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    check(rows, docs)
+    assert max(r.size for r in rows) == 300_000
 
 
 def test_no_python_in_the_plan(spark):
@@ -82,5 +134,5 @@ def test_sql(spark):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
-    want = sorted(con.execute(f"SELECT doc_id, source, size, source_size, target, taken FROM ({M.SQL})").fetchall())
+    want = sorted(con.execute(f"SELECT doc_id, source, size, source_size, target, taken, by_shard FROM ({M.SQL})").fetchall())
     assert sorted(map(tuple, queries.op2_source_mix(spark, sf).collect())) == want
