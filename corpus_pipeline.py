@@ -1,8 +1,9 @@
 """A training-data pipeline over documents: five stages, each one corpus operator, each written as Parquet and reread.
 
 Toxic documents go; of each group of near duplicates one document stays; personal values become pseudonyms; sources are
-mixed to their target weights; the texts are encoded. Columns of documents that are not used are carried along, and a
-document with a null or empty text goes through every stage.
+mixed to their target weights; the texts are encoded. All stages but the last carry all columns along, whatever their
+names; the last returns doc_id and the encoding. A document with a null or empty text goes through every stage, and doc_id may
+be of any type. What a stage wrote is deleted once the next stage has written its own.
 """
 
 from __future__ import annotations
@@ -62,8 +63,16 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what each one returns is written to the shared folder of checkpoints and read again."""
     with_checkpoint_dir(spark)
     home = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{name}")
         docs = spark.read.parquet(f"{home}/{name}")
+        if before:
+            _delete(spark, before)
+        before = f"{home}/{name}"
     return docs
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
