@@ -8,7 +8,9 @@ each fingerprint goes to one group for every choice of k blocks, and every linke
 lost. In a group the fingerprints, sorted by population count, are compared tile by tile with exclusive-or and bit
 counts; tile pairs whose population counts differ by more than the radius are skipped. A group larger than `most` is cut
 into parts, and each pair of parts is a unit of its own, so no task gets a whole hot group. A unit returns a spanning
-forest of its links and not all pairs. Components come from alternating large-star and small-star steps on these edges.
+forest of its links and not all pairs; each tile is folded into it at once, so that a dense unit takes no more memory. Components
+come from alternating large-star and small-star steps on these edges. Vertices are ordered by their least doc_id, so that a
+component's root is its answer and nothing is gathered by component.
 
 Null and empty texts, and texts of white space, have fingerprint 0 and link like any other. Rows with a null doc_id take
 part; a component with no doc_id has a null id. Repeated rows get equal results. Extra columns are ignored.
@@ -58,8 +60,8 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def row_key() -> Column:
-    """A key of rows by which those of null or equal doc_ids can be told apart: doc_id and a hash of the text."""
-    return F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("_id"), F.xxhash64("text").alias("_text"))
+    """A key of rows by which those of null or equal doc_ids can be told apart: doc_id (null last) and a hash of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("_null"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"))
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -84,10 +86,9 @@ def masks(n: int, radius: int = RADIUS) -> list[int]:
     return [(1 << 64) - 1]
 
 
-def pairs(fps: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of all pairs of fingerprints within the radius; fps (uint64) are sorted by population count."""
+def tiles(fps: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of the pairs of fingerprints within the radius, of one pair of tiles at a time; fps (uint64) are sorted by population count."""
     count = np.bitwise_count(fps)
-    left, right = [], []
     for i in range(0, len(fps), tile):
         a, most = fps[i : i + tile], int(count[min(i + tile, len(fps)) - 1])
         for j in range(i, len(fps), tile):
@@ -95,67 +96,81 @@ def pairs(fps: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> tuple[np.n
                 break  # and so are all later tiles
             x, y = np.nonzero(np.bitwise_count(a[:, None] ^ fps[None, j : j + tile]) <= radius)
             keep = x + i < y + j
-            left.append(x[keep] + i)
-            right.append(y[keep] + j)
+            yield x[keep] + i, y[keep] + j
+
+
+def pairs(fps: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of tiles() together."""
+    found = list(tiles(fps, radius, tile))
     empty = np.empty(0, np.int64)
-    return np.concatenate([empty, *left]), np.concatenate([empty, *right])
+    return np.concatenate([empty, *(x for x, _ in found)]), np.concatenate([empty, *(y for _, y in found)])
 
 
-def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The least index that each of 0 .. n-1 is linked to."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[left], label[right])
-        new = label.copy()
-        np.minimum.at(new, left, low)
-        np.minimum.at(new, right, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+def merge(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    """Joins the components of pairs; label leads from each index to the least one of its component."""
+    while len(left):
+        a, b = label[left], label[right]
+        apart = a != b
+        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def forest(fps: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> np.ndarray:
+    """The least index that each fingerprint is linked to, over steps; tile by tile, so that the pairs are never held together."""
+    label = np.arange(len(fps))
+    for left, right in tiles(fps, radius, tile):
+        merge(label, left, right)
+    return label
 
 
 def _unit_edges(radius: int, tile: int):
-    """mapInArrow function over whole partitions of (unit, fp): the forest edges of each unit."""
+    """mapInArrow function over whole partitions of (unit, v): the forest edges of each unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column("unit").to_numpy(), b.column("fp").to_numpy()) for b in batches]
+        held = list(batches)
         if not held:
             return
-        unit, fp = np.concatenate([u for u, _ in held]), np.concatenate([f for _, f in held]).view(np.uint64)
+        table = pa.Table.from_batches(held).combine_chunks()
+        unit, v = table.column("unit").to_numpy(), table.column("v").combine_chunks()
+        fp = v.field("fp").to_numpy().view(np.uint64)
         order = np.lexsort((fp, np.bitwise_count(fp), unit))
         unit, fp = unit[order], fp[order]
         starts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(unit)], strict=True):
             if b - a < 2:
                 continue
-            own = fp[a:b]
-            left, right = pairs(own, radius, tile)
-            if len(left):
-                root = forest(len(own), left, right)
-                moved = np.flatnonzero(root != np.arange(len(own)))
-                yield pa.RecordBatch.from_arrays([pa.array(own[moved].view(np.int64)), pa.array(own[root[moved]].view(np.int64))], ["a", "b"])
+            root = forest(fp[a:b], radius, tile)
+            moved = np.flatnonzero(root != np.arange(b - a))
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([v.take(pa.array(order[a + moved])), v.take(pa.array(order[a + root[moved]]))], ["a", "b"])
 
     return run
 
 
 def links(vertices: DataFrame, n: int, radius: int = RADIUS, most: int = MOST, tile: int = TILE) -> DataFrame:
-    """Edges a, b that join all linked ones of n distinct fingerprints (column fp)."""
+    """Edges a, b that join all linked ones of n vertices (column v, a struct with fp in it)."""
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keys = [F.struct(F.lit(k).alias("c"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("bits")) for k, m in enumerate(masks(n, radius))]
-    rows = vertices.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", F.xxhash64("key.c", "key.bits").alias("group"))
-    return units(rows, "fp", most).mapInArrow(_unit_edges(radius, tile), "a long, b long")
+    own = masks(n, radius)
+    keys = [F.struct(F.lit(k).alias("c"), F.col("v.fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("bits")) for k, m in enumerate(own)]
+    rows = vertices.select("v", F.explode(F.array(*keys)).alias("key")).select("v", F.xxhash64("key.c", "key.bits").alias("group"))
+    kind = vertices.schema["v"].dataType.simpleString()
+    return units(rows, "v", most, n * len(own)).mapInArrow(_unit_edges(radius, tile), f"a {kind}, b {kind}")
 
 
-def units(rows: DataFrame, member: str, most: int) -> DataFrame:
-    """Rows of groups, dealt by column unit: a group of more than `most` members is cut, and each pair of its parts is a unit."""
+def units(rows: DataFrame, member: str, most: int, size: int = 0) -> DataFrame:
+    """Rows of groups, dealt by column unit: a group of more than `most` members is cut, and each pair of its parts is a unit.
+
+    size: about how many rows there are, so that a partition has a million of them at most on average.
+    """
     large = rows.groupBy("group").count().where(F.col("count") > most).select("group", F.ceil(F.col("count") / most).cast("int").alias("parts"))
     cut = rows.join(large, "group", "left").withColumn("own", F.pmod(F.xxhash64(member, F.lit(1)), F.coalesce("parts", F.lit(1))))
     others = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))
     cut = cut.withColumn("other", F.explode(others))
     unit = F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other"))
     members = [c for c in rows.columns if c != "group"]
-    return cut.select(unit.alias("unit"), *members).repartition(4 * shuffle_partitions(rows.sparkSession), "unit")
+    return cut.select(unit.alias("unit"), *members).repartition(max(4 * shuffle_partitions(rows.sparkSession), size // 1_000_000), "unit")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,11 +203,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(marked: DataFrame, radius: int = RADIUS, most: int = MOST, tile: int = TILE) -> DataFrame:
     """fp and component_id of each distinct fingerprint of rows doc_id, fp."""
-    vertices = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
-    roots = components(links(vertices, vertices.count(), radius, most, tile)).checkpoint()
-    rooted = vertices.join(roots, vertices.fp == roots.v, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(named, "root").select("fp", "component_id")
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    vertices = least.select("fp", "least", F.struct(F.col("least").isNull().alias("none"), "least", "fp").alias("v")).checkpoint()
+    roots = components(links(vertices, vertices.count(), radius, most, tile)).select(F.col("v.fp").alias("fp"), "root")
+    own = F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("root.least"))
+    return vertices.join(roots, "fp", "left").select("fp", own.alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, most: int = MOST, tile: int = TILE) -> DataFrame:
@@ -209,16 +224,14 @@ def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataF
     The texts are dealt by doc_id once, for the join with the rows that stay.
     """
     with_checkpoint_dir(docs.sparkSession)
-    keyed = docs.withColumn("_row", row_key())
-    marked = fingerprints(keyed.select(F.col("_row").alias("doc_id"), "text"), words).checkpoint()
+    marked = fingerprints(docs.select(row_key().alias("doc_id"), "text"), words).checkpoint()
     return rows_of(docs, classes(marked, radius).select(F.col("component_id").alias("_row")).distinct())
 
 
 def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose row_key is in column _row of kept, each once."""
-    kept = kept.select("_row.*")
-    parts = [f.name for f in kept.schema.fields]
-    rest = [F.col(f"`{c}`").cast("string") for c in docs.columns if c != "text"]
-    rows = docs.withColumn("_row", row_key()).select(*[F.col(f"`{c}`") for c in docs.columns], "_row.*").join(kept, parts, "left_semi")
-    rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy(*parts).orderBy(*rest)))  # rows of one doc_id and text
-    return rows.where("_turn = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs whose row_key is in column _row of kept, each once; columns of any name are kept."""
+    rows = docs.select(row_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(kept.select(F.col("_row").alias("key")), "key", "left_semi")
+    rest = [F.col("row").getField(c).cast("string") for c in docs.columns if c != "text"]
+    turn = F.row_number().over(Window.partitionBy("key").orderBy(*rest))  # rows of one doc_id and text
+    return rows.withColumn("turn", turn).where("turn = 1").select("row.*")

@@ -276,12 +276,11 @@ def roots(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, r
     some = [F.min(c).alias(c) for c in ["size", *_lanes(), "bands"]]  # the same in all rows of a vertex
     vertices = signatures(docs, words).groupBy("v").agg(F.min("_row").alias("least"), *some).checkpoint()
     banded = lambda own: own.select("v", "size", *_lanes(), F.posexplode("bands").alias("band", "low")).select("v", "size", *_lanes(), F.xxhash64("band", "low").alias("group"))
-    found = simhash.units(banded(vertices), "v", most).mapInArrow(_unit_edges(radius, tile), "a long, b long")
+    found = simhash.units(banded(vertices), "v", most, 2 * BANDS * vertices.count()).mapInArrow(_unit_edges(radius, tile), "a long, b long")
     edges = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
     linked = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     wanted = vertices.join(linked, "v", "left_semi")
-    parts = [f.name for f in vertices.schema["least"].dataType]
-    texts = docs.select(simhash.row_key().alias("_row"), "text").select("_row.*", "text").join(wanted.select("v", "least.*"), parts).groupBy("v").agg(F.min("text").alias("text"))
+    texts = docs.select(simhash.row_key().alias("least"), "text").join(wanted.select("v", "least"), "least").groupBy("v").agg(F.min("text").alias("text"))
     joined = simhash.components(confirmed(edges, texts, words, similarity)).checkpoint()
     more = left_apart(banded(wanted), joined, texts, words, similarity, radius, most, tile).distinct().checkpoint()
     if not more.isEmpty():

@@ -96,3 +96,15 @@ def test_few_rows(spark):
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = S.near_duplicates(spark.createDataFrame([(None, "same"), (None, "same"), (7, "other"), (3, "same again and more"), (3, "same again and more")], "doc_id long, text string")).collect()
     assert sorted(str(r.component_id) for r in rows) == ["3", "3", "7", "None", "None"]
+
+
+def test_large_ids_beside_null(spark):
+    rows = S.near_duplicates(spark.createDataFrame([(None, "one two"), (9007199254740993, "one two"), (9007199254740995, "others here")], "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.component_id) for r in rows) == [("9007199254740993", 9007199254740993), ("9007199254740995", 9007199254740995), ("None", 9007199254740993)]
+
+
+def test_forest_of_a_dense_unit():
+    rng = np.random.default_rng(8)
+    fps = np.unique(rng.integers(0, 1 << 63, 1, dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 60, 3000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 60, 3000).astype(np.uint64)))
+    fps = fps[np.argsort(np.bitwise_count(fps), kind="stable")]
+    assert (S.forest(fps, tile=64) == 0).all()  # all within two bits of one value, so within four of each other

@@ -37,6 +37,12 @@ def test_shingle_set(text):
     assert set(S.shingle_set(text).tolist()) == {xxhash.xxh64_intdigest(s, simhash.SEED) for s in brute_set(text)}
 
 
+def joined(n, left, right):
+    label = np.arange(n)
+    simhash.merge(label, left, right)
+    return label
+
+
 def test_pairs_and_closest_forest():
     rng = np.random.default_rng(1)
     fps = rng.integers(0, 1 << 63, (1, 4), dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 60, (90, 4)).astype(np.uint64))
@@ -47,8 +53,8 @@ def test_pairs_and_closest_forest():
     at = S.closest_forest(90, left, right, apart)
     for radius in range(7):  # components at every radius are those of all pairs
         chosen = at[apart[at] <= radius]
-        assert (simhash.forest(90, left[chosen], right[chosen]) == simhash.forest(90, left[apart <= radius], right[apart <= radius])).all()
-    assert len(at) == 90 - len(np.unique(simhash.forest(90, left, right)))
+        assert (joined(90, left[chosen], right[chosen]) == joined(90, left[apart <= radius], right[apart <= radius])).all()
+    assert len(at) == 90 - len(np.unique(joined(90, left, right)))
 
 
 @pytest.mark.parametrize("most", [2048, 7])
@@ -129,3 +135,35 @@ def test_short_sets_miss_few_pairs_by_calculation():
                 p = sum(h * (s * (1 - t) + t * (1 - s)) for h, s, t in zip(half[shared], a, b, strict=True))
                 r = int(S.reach(np.array([size]))[0])
                 assert sum(math.comb(256, k) * p**k * (1 - p) ** (256 - k) for k in range(r + 1, 257)) < 1e-5, (shared, x, y)
+
+
+def test_versions_about_the_similarity(spark):
+    """Groups of versions that lie at 0.7 to 0.9 of each other, so that links of a group break and others must hold it."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for g in range(60):
+        base = [f"g{g}w{k}" for k in range(120)]
+        for _ in range(9):
+            words = list(base)
+            for at in rng.choice(120, int(rng.integers(1, 4)), replace=False):
+                words[at] = f"x{rng.integers(1 << 40)}"
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = sorted(r.doc_id for r in S.keep_one(docs).collect())
+    label = brute_roots(texts)
+    assert len(set(label)) > 60 and got == sorted(label.index(x) for x in set(label))
+
+
+def test_clashing_columns_and_ids_of_text(spark):
+    names = ["_id", "_null", "_text", "_row", "a.b", "row", "key", "turn", "v", "root"]
+    schema = "doc_id string, text string, " + ", ".join(f"`{n}` string" for n in names)
+    docs = [("b", "one two three four five six", *names), ("a", "one two three four five six", *names), ("c", "others", *names), (None, "others", *names)]
+    for keep in (S.keep_one, simhash.keep_one):
+        got = keep(spark.createDataFrame(docs, schema))
+        assert got.columns == ["doc_id", "text", *names] and sorted(map(tuple, got.collect())) == sorted([docs[1], docs[2]])
+
+
+def test_a_very_long_text(spark):
+    text = " ".join(f"w{k * k}" for k in range(200_000))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "short")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in S.keep_one(docs).collect()) == [1, 3]
