@@ -4,11 +4,11 @@ A page is read into a tree of block elements (unclosed and stray tags as browser
 its own tag, its class, id and role tokens, its depth and place, the density of text, links and marks in its subtree, and
 of its parent and siblings. Boosted trees give the log-odds that a block belongs to the article. Decoding takes the best
 consistent choice: a block that is dropped drops all below it, a kept block may drop any child; so no kept block stands
-in a dropped one. Scores of text, not of tags, are added up: a block speaks for the text that it holds itself.
+in a dropped one. Text that stands directly in a block is kept if the block is.
 
 The trees are fitted on pages that `lesson` lays out: articles of many templates among menus, headers, footers,
 sidebars, notices, adverts, forms and reader comments, where the place of every block is known. They number `LESSONS`, fixed by a
-seed, so the model is the same in every run; it is broadcast. Pages are read one by one, without a shuffle.
+seed, so the model is the same in every run; it is broadcast. In a tenth of them names of parts tell nothing. Pages are read one by one, without a shuffle.
 
 Text: character references decoded, white space inside a block to one space, trimmed, blocks in page order, one line
 each. Scripts, styles and markup never give text. Null and empty pages give ''. A page without tags is one block and
@@ -30,14 +30,15 @@ from pyspark.sql import DataFrame
 
 from fieldwarden.llm.hashing import chunks
 
-LESSONS, SEED = 600, 5
+LESSONS, SEED = 1000, 5
 
 # Fixed values of the HTML standard: elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 WHOLE = frozenset("script style noscript template iframe noembed noframes xmp title textarea".split())
-HIDDEN = frozenset("head svg math object audio video canvas datalist map".split())
+HIDDEN = frozenset("head svg object audio video canvas datalist map annotation annotation-xml".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mo mn ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()
@@ -46,8 +47,14 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 SCOPES = frozenset("table td th".split())
 HOLDERS = frozenset("ul ol dl table select menu".split())
 
-TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|([/]?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*>|[a-zA-Z!?/][^>]*\Z)", re.DOTALL)
-NAMED = re.compile(r"(?:^|\s)(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+# The standard's tokenizer: a value in quotes may hold any character but its quote, one without quotes any but white space and ">". A quote that
+# nothing closes is a character like others, so that a page's rest is not lost.
+_ATTRIBUTE = r"[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+"
+ATTRIBUTE = re.compile(_ATTRIBUTE)
+TAG = re.compile(
+    r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|([/]?)([a-zA-Z][^\s/>]*+)((?:" + _ATTRIBUTE.replace("([^", "(?:[^", 1).replace("(\"", "(?:\"", 1) + r")*+[\s/]*+)>|[!?/][^>]*+>|[a-zA-Z!?/][^>]*+\Z)", re.DOTALL
+)
+NAMED = frozenset("class id role aria-label itemprop".split())
 TOKEN = re.compile(r"[a-z]+")
 
 # Attribute tokens, and the part of a page that each is a sign of.
@@ -91,8 +98,8 @@ class Block:
 def signs(attributes: str) -> int:
     """The parts of a page that a tag's class, id, role, label and itemprop tokens are signs of, as bits."""
     bits = 0
-    for groups in NAMED.findall(attributes):
-        for part in (groups[0] or groups[1] or groups[2]).lower().split():
+    for name, value in ATTRIBUTE.findall(attributes):
+        for part in value.strip("\"'").lower().split() if name.lower() in NAMED else ():
             words = TOKEN.findall(part)
             for word in {*words, "".join(words)}:
                 for k in SIGN_OF.get(word, ()):
@@ -132,15 +139,15 @@ def read(page: str) -> Block:
         if not m:
             break
         done = m.end()
-        if not m[3]:
+        if not m[2]:
             continue  # a comment, a declaration or a cut tag
-        name, closing = m[3].lower(), bool(m[2])
+        name, closing = m[2].lower(), bool(m[1])
         if name in WHOLE:
             if not closing:
                 end = _end_of(name).search(page, done)
                 done = end.end() if end else n
         elif name in HIDDEN:
-            hidden = max(0, hidden + (-1 if closing else 1)) if not m[4].rstrip().endswith("/") else hidden
+            hidden = max(0, hidden + (-1 if closing else 1)) if not m[3].rstrip().endswith("/") else hidden
         elif name in ("html", "body"):
             hidden = 0
         elif hidden and name not in CLOSES_P:
@@ -149,6 +156,9 @@ def read(page: str) -> Block:
             at.tags += not closing
             if name == "a":
                 link = not closing
+            elif name == "hr" and not hidden:  # stands between blocks
+                at = up.parent if (up := _above(at, ("p",), SCOPES)) else at
+                at.items.append(Block(name, at))
             elif name in VOID and not hidden:
                 at.items.append(" ")
         elif closing:
@@ -163,7 +173,7 @@ def read(page: str) -> Block:
                 at = up.parent
                 while name == "tr" and at.tag in ("tr", "td", "th"):
                     at = at.parent
-            new = Block(name, at, signs(m[4]) if "=" in m[4] else 0)
+            new = Block(name, at, signs(m[3]) if "=" in m[3] else 0)
             at.items.append(new)
             at = new
     return root
@@ -224,8 +234,9 @@ def tabulate(pages: list[str]) -> Table:
     page = np.repeat(np.arange(len(roots)), np.diff([*roots, n]))
     size, links, inner, marked = (t.upward(x) for x in (own, linked, tags, marks))
     total = np.maximum(1.0, size[t.roots][page])
-    order = np.argsort(t.parent, kind="stable")  # siblings together, in page order
-    first = np.append(True, t.parent[order][1:] != t.parent[order][:-1]) if n else np.empty(0, bool)
+    family = np.where(t.parent < 0, -1 - page, t.parent)  # a page's root has no siblings
+    order = np.argsort(family, kind="stable")  # siblings together, in page order
+    first = np.append(True, family[order][1:] != family[order][:-1]) if n else np.empty(0, bool)
     run = np.flatnonzero(first)
     count = np.diff([*run, n])
     place, siblings = np.empty(n), np.empty(n)
@@ -233,10 +244,11 @@ def tabulate(pages: list[str]) -> Table:
     ahead, behind = np.zeros(n), np.zeros(n)
     ahead[order[1:]] = np.where(first[1:], 0, size[order[:-1]])
     behind[order[:-1]] = np.where(first[1:], 0, size[order[1:]])
-    alike = np.bincount(np.unique(t.parent * 8192 + kind, return_inverse=True)[1])[np.unique(t.parent * 8192 + kind, return_inverse=True)[1]] if n else np.empty(0)
+    same = np.unique(family * 8192 + kind, return_inverse=True)[1]
+    alike = np.bincount(same)[same] if n else np.empty(0)
     before = np.cumsum(own) - own
     start = (before - before[t.roots][page]) / total
-    up = np.maximum(t.parent, 0)
+    up = np.where(t.parent < 0, np.arange(n), t.parent)
     bits = lambda x, width: (x[:, None] >> np.arange(width) & 1).astype(np.float64)
     numbers = (
         t.depth, place, siblings, place / siblings, alike, np.log1p(own), linked / np.maximum(1, own), marks / np.maximum(1, own), np.log1p(size), links / np.maximum(1, size),
@@ -267,7 +279,7 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.3, bins: int = 24, ridge: float = 2.0) -> Trees:
+def boost(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 5, rate: float = 0.3, bins: int = 24, ridge: float = 2.0) -> Trees:
     """Newton boosting of the log loss on binned features."""
     edges = [np.unique(np.quantile(column, np.linspace(0, 1, bins + 1)[1:-1])) for column in x.T]
     code = [np.searchsorted(e, column, side="left") for e, column in zip(edges, x.T, strict=True)]
@@ -366,6 +378,7 @@ ARTICLE, OTHER = "\x01", "\x02"
 def lesson(rng: random.Random) -> str:
     """A page of one of many layouts, each run of text marked as the article's or not."""
     pick, chance = rng.choice, lambda p: rng.random() < p
+    neutral = chance(0.1)  # the page's names tell nothing, so that its parts are known by their tags, shape and place alone
     word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzéüß", k=rng.randint(1, 11)))
 
     def prose(mark: str, words: int) -> str:
@@ -375,7 +388,7 @@ def lesson(rng: random.Random) -> str:
         return mark + " ".join(out) + pick([".", ".", ".", ""])
 
     def named(*choices: str) -> str:
-        c = pick(choices)
+        c = word() if neutral else pick(choices)
         return "" if not c else f' {pick(["class", "class", "id"])}="{pick(["", "", "site-", "js-", "x1 "])}{c}"'
 
     def links(n: int) -> str:
@@ -439,7 +452,7 @@ def lesson(rng: random.Random) -> str:
         title = f"<header>{title}</header>"
     tag, a = pick([("article", ""), ("article", ""), ("main", ""), ("div", named("post-content", "entry-content", "article-body", "content", "story")), ("section", named("article", "story-body")), ("div", "")])
     inside = content()
-    for part in (advert, notice, share, side, form):
+    for part in (side, form) if neutral else (advert, notice, share, side, form):  # without names the others would be content
         if chance(0.1):
             inside = pick([inside + part(), part() + inside, inside + part() + content()])
     if chance(0.1):
@@ -453,6 +466,7 @@ def lesson(rng: random.Random) -> str:
     return f"<!DOCTYPE html><html><head><title>{word()}</title></head><body>{''.join(before)}{main}{''.join(after)}"
 
 
+@lru_cache(2)
 def train(lessons: int = LESSONS, seed: int = SEED) -> Trees:
     rng = random.Random(seed)
     t = tabulate([lesson(rng) for _ in range(lessons)])

@@ -3,7 +3,7 @@
 A word is a run of letters. Its score in a language is the log-likelihood of its letter trigrams (with the word's edges)
 in the counts of that language's training texts; languages that hardly ever use the word's script are ruled out. The
 labels of a text's words are the sequence with the greatest sum of scores less `switch` for each change of language, so
-mixed texts fall into spans. The text's language is the one whose spans have most letters, the score their share.
+mixed texts fall into spans. A very long text is cut into blocks whose best ways from label to label are found side by side. The text's language is the one whose spans have most letters, the score their share.
 
 Training counts come from at most about `per_language` texts of each language (drawn by a hash of doc_id); the counts are
 added on executors and only the finished table, of a fixed size for each language, goes to the driver and is broadcast.
@@ -29,6 +29,8 @@ PER_LANGUAGE = 3_000
 BITS, SLICES = 17, 16
 #: Cost of a change of language between two words, and of a word in a script its language hardly uses.
 SWITCH, FOREIGN = 12.0, 40.0
+#: Texts of more words are labelled in blocks of so many.
+LONG, BLOCK = 4096, 512
 
 # First and last code points of the main blocks of each script.
 SCRIPTS = {
@@ -159,37 +161,79 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model(names, table.astype(np.float32), cost)
 
 
-def viterbi(scores: np.ndarray, doc: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """The best label of each word; rows of a text (doc) stand together. All texts advance word by word together."""
-    n, m = scores.shape
-    label = np.zeros(n, np.int16)
-    if not n or m == 1:
-        return label
-    starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    lengths = np.diff(np.append(starts, n))
+def _run(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch: float, before: np.ndarray | None = None, last: np.ndarray | None = None, label: np.ndarray | None = None) -> np.ndarray:
+    """The best value of each sequence of words for every label of its last word; all sequences advance word by word together.
+
+    before: the values of the labels of the word ahead of each sequence. With label given, the best labels are written there; last
+    fixes those of the last words.
+    """
+    (n, m), k = scores.shape, len(starts)
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
-    active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")  # texts with a word of each number
+    active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")  # sequences with a word of each number
     best = scores[starts].astype(np.float64)
-    stay = np.ones((n, m), bool)  # whether a word's best way into a label comes from the same label
-    come = np.zeros(n, np.int16)  # else the label that it comes from
+    if before is not None:
+        best += np.maximum(before[order], before[order].max(1, keepdims=True) - switch)
+    values = np.empty((k, m))
+    if label is not None:
+        stay = np.ones((n, m), bool)  # whether a word's best way into a label comes from the same label
+        come = np.zeros(n, np.int16)  # else the label that it comes from
     for step in range(1, int(lengths[0])):
         k = active[step]
         if k < len(best):
-            label[starts[k : len(best)] + lengths[k : len(best)] - 1] = best[k:].argmax(1)
+            values[k : len(best)] = best[k:]
             best = best[:k]
         at = starts[:k] + step
         top = best.argmax(1)
         moved = (best[np.arange(k), top] - switch)[:, None]
-        stay[at] = best >= moved
-        come[at] = top
+        if label is not None:
+            stay[at] = best >= moved
+            come[at] = top
         best = np.maximum(best, moved) + scores[at]
-        best -= best.max(1, keepdims=True)
-    label[starts[: len(best)] + lengths[: len(best)] - 1] = best.argmax(1)
-    for step in range(int(lengths[0]) - 1, 0, -1):
-        at = starts[: active[step]] + step
-        own = label[at]
-        label[at - 1] = np.where(stay[at, own], own, come[at])
+    values[: len(best)] = best
+    if label is not None:
+        label[starts + lengths - 1] = values.argmax(1) if last is None else last[order]
+        for step in range(int(lengths[0]) - 1, 0, -1):
+            at = starts[: active[step]] + step
+            own = label[at]
+            label[at - 1] = np.where(stay[at, own], own, come[at])
+    out = np.empty_like(values)
+    out[order] = values
+    return out
+
+
+def _in_blocks(scores: np.ndarray, label: np.ndarray, switch: float, block: int) -> None:
+    """Labels one long text: every block's best values from each label to each label at once, then the way through the blocks, then the blocks' labels at once."""
+    n, m = scores.shape
+    starts = np.arange(0, n, block)
+    lengths = np.minimum(block, n - starts)
+    alone = np.where(np.eye(m, dtype=bool), 0.0, -np.inf)
+    to = _run(scores, np.repeat(starts[1:], m), np.repeat(lengths[1:], m), switch, np.tile(alone, (len(starts) - 1, 1))).reshape(-1, m, m)
+    value, came = _run(scores, starts[:1], lengths[:1], switch)[0], np.zeros((len(starts), m), np.int64)
+    for k, step in enumerate(to, 1):
+        ways = value[:, None] + step
+        came[k], value = ways.argmax(0), ways.max(0)
+    last = np.zeros(len(starts), np.int64)
+    last[-1] = value.argmax()
+    for k in range(len(starts) - 1, 0, -1):
+        last[k - 1] = came[k, last[k]]
+    _run(scores, starts[:1], lengths[:1], switch, None, last[:1], label)
+    _run(scores, starts[1:], lengths[1:], switch, alone[last[:-1]], last[1:], label)
+
+
+def viterbi(scores: np.ndarray, doc: np.ndarray, switch: float = SWITCH, long: int = LONG, block: int = BLOCK) -> np.ndarray:
+    """The best label of each word; rows of a text (doc) stand together."""
+    n, m = scores.shape
+    label = np.zeros(n, np.int16)
+    if not n or m == 1:
+        return label
+    starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    lengths = np.diff(np.append(starts, n))
+    short = lengths <= long
+    if short.any():
+        _run(scores, starts[short], lengths[short], switch, label=label)
+    for a, size in zip(starts[~short].tolist(), lengths[~short].tolist(), strict=True):
+        _in_blocks(scores[a : a + size], label[a : a + size], switch, block)
     return label
 
 

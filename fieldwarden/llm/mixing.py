@@ -145,7 +145,8 @@ def copies(docs: DataFrame, seed: int = SEED, **kinds) -> DataFrame:
     taken = mix(keyed.select(F.col("key").alias("doc_id"), "text", "source"), seed=seed, **kinds)
     share = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1.0)
     taken = taken.groupBy(F.col("doc_id").alias("key")).agg(F.avg(share).alias("share"))  # rows of one doc_id and text share alike
-    draw = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    number = F.when(F.col("key.none"), F.lit(0).cast("long")).otherwise(F.coalesce(F.col("key.id").try_cast("long"), F.xxhash64("key.id")))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "key.none", number, "key.text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     joined = keyed.select("row", "key").join(taken, "key").withColumn("times", F.floor(F.col("share") + draw).cast("int"))
     return joined.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("turn")).select("row.*")
 

@@ -236,11 +236,13 @@ def probe(media: DataFrame, key: str = "doc_id", data: str = "data") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows = []
+            for value in batch.column(1):
                 s = read(value.as_py())
                 h = s.header
-                row = [k, h and h.version, h and h.layer, h and h.rate, h and h.channels, len(s.offsets), s.samples, s.seconds, s.checked, s.bad_crc, s.skipped, s.table.get("kind"), list(s.tags.items()), s.offsets]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
+                rows.append([h and h.version, h and h.layer, h and h.rate, h and h.channels, len(s.offsets), s.samples, s.seconds, s.checked, s.bad_crc, s.skipped, s.table.get("kind"), list(s.tags.items()), s.offsets])
+            columns = [pa.array([r[j] for r in rows], t) for j, t in enumerate(types[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
     names = [c.split()[0] for c in schema.split(", ")]
     types = [to_arrow_type(f.dataType) for f in _parse_datatype_string(schema).fields]

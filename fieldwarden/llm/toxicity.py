@@ -2,8 +2,10 @@
 
 Features are 64-bit hashes of the words, the pairs of neighbours and the pairs with one word between
 them of the lower-cased text; a feature counts once in a text. The model is fitted on the driver on a
-bounded sample of the labelled rows (`max_rows`, drawn by a hash of doc_id); per-coordinate rates and
-the L1 term leave a few thousand weights at most, which are broadcast. Scoring is one pass without a shuffle.
+bounded sample of the labelled rows (`max_rows`, drawn by a hash of doc_id), with the features that executors count in enough of
+the sample's texts with label 1. Of these the driver first drops those that stand with label 1 no more than by chance (`evidence`),
+which is most of the selection; the L1 term and the per-coordinate rates choose among the rest. A few thousand weights at most
+are left, which are broadcast. Scoring is one pass without a shuffle.
 
 Null and empty texts get the score of the bias alone. Repeated rows are scored alike. Labels with a
 null doc_id or a null label are not used; of several labels of one doc_id the greatest counts. With no
@@ -54,23 +56,29 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(owner)
 
 
-def _feature_rows(vocabulary: np.ndarray | None):
-    """mapInArrow function from (label, text) to (label, distinct features): hashes, or places (32 bits) in a sorted vocabulary."""
+def _feature_rows(vocabulary: np.ndarray):
+    """mapInArrow function from (label, text) to (label, distinct features of the sorted vocabulary, as places of 32 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for text in batch.column("text").to_pylist():
                 own = np.unique(features([text or ""])[0])
-                if vocabulary is not None:
-                    at = np.minimum(np.searchsorted(vocabulary, own), len(vocabulary) - 1)
-                    own = at[vocabulary[at] == own].astype(np.uint32)
-                found.append(own.tobytes())
+                at = np.minimum(np.searchsorted(vocabulary, own), len(vocabulary) - 1)
+                found.append(at[vocabulary[at] == own].astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.binary())], ["label", "features"])
 
     return run
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (label, text) to the distinct features of each text."""
+    for batch in batches:
+        for text in batch.column("text"):
+            own = np.unique(features([text.as_py() or ""])[0])
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["key"])
+
+
 def _telling(keys: np.ndarray, rows: list[tuple[int, np.ndarray]], evidence: float) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
     """Keeps the features that stand with label 1 more often than chance has it: a log-likelihood ratio of `evidence`."""
     size, ones = len(rows), sum(y for y, _ in rows)
@@ -131,13 +139,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_posi
     )
     toxic = chosen.where("label = 1").orderBy(*order).limit(max_positive)
     of = lambda ids: docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "text")
-    schema = "label int, features binary"
-    positive = [np.frombuffer(r.features, np.uint64) for r in of(toxic).mapInArrow(_feature_rows(None), schema).collect()]
-    keys, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *positive]), return_counts=True)
-    vocabulary = keys[counts >= min(least, 1 + len(positive) // 10)]
+    enough = min(least, 1 + of(toxic).count() // 10)
+    keys = of(toxic).mapInArrow(_keys, "key long").groupBy("key").count().where(F.col("count") >= enough)
+    vocabulary = np.sort(np.array([r.key for r in keys.select("key").collect()], np.int64).view(np.uint64))
     if not len(vocabulary):
         return NOTHING
-    return fit_ftrl(_ordered(of(chosen).mapInArrow(_feature_rows(vocabulary), schema).collect()), vocabulary)
+    return fit_ftrl(_ordered(of(chosen).mapInArrow(_feature_rows(vocabulary), "label int, features binary").collect()), vocabulary)
 
 
 def _ordered(rows: list) -> list[tuple[int, np.ndarray]]:

@@ -68,3 +68,19 @@ def test_fingerprints(spark):
     docs = spark.createDataFrame([(1, "abcabc"), (2, "abcabc"), (3, None)], "doc_id long, text string")
     rows = {r.doc_id: r.fingerprint for r in D.fingerprints(docs).collect()}
     assert rows[1] == rows[2] == D.digest(b"abcabc") and rows[3] == D.digest(b"")
+
+
+def test_large_ids_beside_null(spark):
+    big = 9007199254740993
+    docs = [(None, "no id at all"), (big, "first of two large ids"), (big + 2, "second of two large ids")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    check(D.compare_edited(frame).collect(), docs)
+    assert {r.doc_id for r in D.fingerprints(frame).collect()} == {None, big, big + 2}
+
+
+def test_one_doc_id_of_many_rows_and_a_very_long_text(spark):
+    docs = [(5, f"text {k}") for k in range(300)] + [(6, "long " * 200_000), (7, "x")]
+    rows = D.compare_edited(spark.createDataFrame(docs, "doc_id long, text string"), ranges=7).collect()
+    assert len(rows) == 302 and max(r.n_chars for r in rows) == 1_000_000
+    last, long = next(r for r in rows if r.doc_id == 7), next(r for r in rows if r.doc_id == 6)
+    assert long.edited_sha256 == hashlib.sha256(D.edited("long " * 200_000, "x").encode()).hexdigest() and last.fingerprint == D.digest(b"x")

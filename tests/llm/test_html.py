@@ -43,6 +43,38 @@ def test_small_pages(trees, page, text):
     assert H.texts([page], trees) == [text]
 
 
+PARAGRAPHS = "".join(f"<p>Paragraph {k}. {LONG}</p>" for k in range(4))
+
+
+@pytest.mark.parametrize(
+    ("inside", "lines"),
+    [
+        ("<p title=it's>One's text. </p><p>It's two.</p>", ["One's text.", "It's two."]),
+        ('<p data-x="a>b" class=\'c>d\'>Some text.</p>', ["Some text."]),
+        ("<p a='\"' b=\"'\" c=x\"y'z>Quotes.</p>", ["Quotes."]),
+        ("<p>If <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p>", ["If x=2 holds."]),
+        ("Above the rule<hr>below it", ["Above the rule", "below it"]),
+        ("<p>One<hr>two</p>", ["One", "two"]),
+        ("<p =a b==c / d>Odd attributes.</p/>", ["Odd attributes."]),
+        ("<p><!--> not hidden --><!-- hidden --!>shown</p>", ["not hidden -->shown"]),
+    ],
+)
+def test_tags_as_the_tokenizer_reads_them(trees, inside, lines):
+    page = f"<html><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><article>{PARAGRAPHS}{inside}{PARAGRAPHS}</article><footer>&copy; x</footer></body></html>"
+    around = [f"Paragraph {k}. {LONG.strip()}" for k in range(4)]
+    assert H.texts([page], trees)[0].split("\n") == [*around, *lines, *around]
+
+
+def test_a_quote_that_nothing_closes(trees):
+    page = f'<article><p>First. {LONG}</p><p class="a>Second. {LONG}</p><p>Third.</p></article>'
+    assert H.texts([page], trees)[0].split("\n") == [f"First. {LONG.strip()}", f"Second. {LONG.strip()}", "Third."]
+
+
+def test_a_very_long_page(trees):
+    page = "<html><body><nav><a href=/>x</a></nav><article>" + f"<p>{LONG}</p>" * 20_000 + "</article></body></html>"
+    assert H.texts([page], trees)[0] == "\n".join([LONG.strip()] * 20_000)
+
+
 def test_text_does_not_depend_on_the_batch(trees):
     rng = random.Random(3)
     pages = [H.lesson(rng) for _ in range(30)] + [None, PAGE]

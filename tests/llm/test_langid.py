@@ -28,6 +28,21 @@ def test_viterbi_is_optimal():
         assert abs(value(scores[own], label[own], 2.0) - brute(scores[own].tolist(), 2.0)) < 1e-9
 
 
+def test_blocks_of_a_long_text():
+    rng = np.random.default_rng(9)
+    for n, m in ((1000, 3), (129, 5), (128, 2), (77, 4)):
+        scores = rng.normal(0, 2, (n, m))
+        label = L.viterbi(scores, np.zeros(n, np.int64), 3.0, long=20, block=16)
+        assert abs(value(scores, label, 3.0) - brute(scores.tolist(), 3.0)) < 1e-9
+
+
+def test_a_very_long_text(spark):
+    model = L.train(spark.createDataFrame([(i * 3 + k, t, lang) for i in range(20) for k, (lang, t) in enumerate(sorted(TEXTS.items()))], "doc_id long, text string, lang string"))
+    text = (TEXTS["en"] + " ") * 12_000 + (TEXTS["de"] + " ") * 8_000
+    row = L.identify(spark.createDataFrame([(9007199254740993, text), (None, "собака")], "doc_id long, text string"), model, with_spans=True).where("doc_id is not null").first()
+    assert (row.doc_id, row.lang_pred) == (9007199254740993, "en") and [s.lang for s in row.spans] == ["en", "de"]
+
+
 TEXTS = {
     "en": "the quick brown fox jumps over the lazy dog and then the weather was nice with all these things there",
     "de": "der schnelle braune fuchs springt über den faulen hund und dann war das wetter schön mit allen dingen",

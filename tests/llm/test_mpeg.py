@@ -1,6 +1,12 @@
+import hashlib
 import os
+import zlib
+
+import numpy as np
+import pytest
 
 from fieldwarden.llm import mpeg
+from fieldwarden.llm import mpeg as M
 
 
 def frames(n, head=bytes((0xFF, 0xFB, 0x90, 0x00))):
@@ -89,3 +95,30 @@ def test_payload_that_looks_like_a_tag():
         assert mpeg.unpack(stored, s) == payload and s.tags == {} and s.skipped == 0
         tagged = mpeg.read(stored + b"TAG" + b"Song".ljust(125, b"\0"))
         assert mpeg.unpack(stored, tagged) == payload and tagged.tags == {"title": "Song"} and tagged.skipped == 0
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 3])
+def test_tags_planted_in_the_payload(blocks):
+    rng = np.random.default_rng(blocks)
+    for at in range(0, 570):
+        raw = bytearray(rng.integers(0, 256, blocks * M.BLOCK).astype(np.uint8).tobytes())
+        mark = (b"TAG", b"ID3", M._HEAD)[at % 3]
+        raw[(blocks - 1) * M.BLOCK + at : (blocks - 1) * M.BLOCK + at + len(mark)] = mark
+        payload = bytes(raw[: blocks * M.BLOCK])
+        stored = M.pack(payload)
+        assert M.unpack(stored, M.read(stored)) == payload, at
+
+
+def test_random_texts_as_hashed_directly(spark):
+    """The query's digests by hashlib and zlib alone, whatever the texts hold."""
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.integers(32, 127, int(n)).astype(np.uint8)).decode() for n in rng.integers(0, 3000, 60)]
+    texts += ["x" * 505 + "TAG" + "y" * 68, "z" * 576 + "x" * 505 + "TAG" + "y" * 68, "ID3" + "\x00" * 600, "é" * 1000, "w" * 3_000_000, "", None]
+    big = 9007199254740993
+    docs = spark.createDataFrame([(big + k, t, 1.0) for k, t in enumerate(texts)] + [(None, "no id", 1.0)], "doc_id long, text string, feature double")
+    got = {r.doc_id: r for r in M.store(docs).collect()}
+    for k, t in [*enumerate(texts), (None, "no id")]:
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        r = got[None if k is None else big + k]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))

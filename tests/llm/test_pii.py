@@ -4,6 +4,7 @@ import re
 import pytest
 
 from fieldwarden.llm import pii
+from fieldwarden.llm import pii as P
 
 KEY = b"test key"
 names = pii.Pseudonyms(KEY)
@@ -96,3 +97,23 @@ def test_values_beside_what_looks_like_more(text, want):
     assert [(k, text[a:b]) for k, a, b in spans] == want
     assert all(v not in new for _, v in want) and len(new) == len(text)
     assert pii.reveal(new, KEY) == text
+
+
+def test_large_ids_long_texts_and_clashing_columns(spark):
+    big = 9007199254740993
+    card = "4111 1111 1111 1111"
+    docs = [(None, "none", "s"), (big, f"{'word ' * 200_000}{card}", "s"), (big + 2, card, "s")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, spans string")
+    got = {r.doc_id: r for r in P.found(frame, b"key").collect()}
+    assert set(got) == {None, big, big + 2} and got[big].text.endswith(got[big + 2].text) and got[big + 2].text != card
+    assert [(s.kind, s.start, s.end) for s in got[big].spans] == [("card", 1_000_000, 1_000_019)]
+    names = ["_id", "a.b", "spans"]
+    kept = P.apply(spark.createDataFrame([("d1", card, *names)], "doc_id string, text string, _id string, `a.b` string, spans string"), b"key")
+    assert kept.columns == ["doc_id", "text", *names] and tuple(kept.first())[2:] == tuple(names) and kept.first().text == got[big + 2].text
+
+
+def test_names_in_other_letters():
+    names = P.Pseudonyms(b"key")
+    for mail in ("ü@example.org", "Žofie@example.org", "иван.петров@example.org", "李@example.org"):
+        new = names.replace(mail)[0]
+        assert new != mail and new.endswith("@example.org") and len(new) == len(mail) and P.reveal(new, b"key") == mail

@@ -74,3 +74,16 @@ def test_stages_keep_the_columns(spark):
 def test_no_python_in_the_mix(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert not re.search("Python|Pandas|Arrow", mixing.copies(docs)._jdf.queryExecution().toString())
+
+
+def test_stages_keep_clashing_columns_and_ids_of_text(spark, tmp_path):
+    names = ["_id", "_null", "_text", "_row", "a.b", "row", "key", "score", "label", "size", "taken"]
+    documents = spark.read.parquet(f"{SF}/documents.parquet").limit(60).selectExpr("doc_id", "text", "lang", "source", "n_chars", *(f"concat('{n}', doc_id) as `{n}`" for n in names))
+    docs = documents.selectExpr("concat('d', doc_id) as doc_id", *(f"`{c}`" for c in documents.columns[1:]))
+    want = {tuple(r[2:]) for r in docs.collect()}
+    for name, stage in P.STAGES[1:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        assert got.count() and {tuple(r[2:]) for r in got.collect()} <= want, name
+    assert P.STAGES[0][1](spark, documents, SF).columns == documents.columns
+    assert P.STAGES[-1][1](spark, docs, SF).count() == 60

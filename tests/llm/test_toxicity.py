@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +42,35 @@ def test_learns_and_defines_edge_cases(spark):
     assert {r.score for r in T.score(docs, none).collect()} == {0.5}
 
 
+def test_a_very_long_text_and_large_ids(spark):
+    model = T.Model(np.sort(T.features(["bad"])[0]), np.array([9.0], np.float32), -4.0)
+    big = 9007199254740993
+    docs = spark.createDataFrame([(big, "word " * 400_000 + "bad"), (None, "good"), (big + 2, "word " * 400_000)], "doc_id long, text string")
+    assert {(r.doc_id, r.predicted) for r in T.score(docs, model).collect()} == {(big, 1), (None, 0), (big + 2, 0)}
+    assert [r.doc_id for r in T.keep(docs, model).collect()] == [None, big + 2]
+
+
+def brute_score(model, text):
+    """The logistic score by plain loops over the words."""
+    words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())
+    grams = {(w,) for w in words} | {(a, b) for a, b in zip(words, words[1:])} | {(a, None, b) for a, b in zip(words, words[2:])}
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist()))
+    hashes = {}
+    for g in grams:
+        h, _ = T.features([" ".join(w or "zzz" for w in g)])
+        hashes[g] = int(h[0]) if len(g) == 1 else int(h[2]) if len(g) == 2 else int(h[-1])
+    total = model.bias + sum(weight.get(hashes[g], 0.0) for g in grams)
+    return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+
+def test_scores_as_by_loops(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = T.train(docs, labels.where(queries.fold(3) != 1).selectExpr("doc_id", "toxic as label"))
+    texts = [r.text or "" for r in docs.limit(60).collect()]
+    assert len(model.keys) and np.allclose(T.scorer(model)(texts), [brute_score(model, t) for t in texts], atol=1e-6)
+
+
 def test_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
