@@ -20,7 +20,7 @@ do not depend on how the work is dealt. Words and pairs are told apart by 62 bit
 `VOCABULARY` + `HOT` entries of 24 bytes. Everything else that is gathered grows with the input and stays on executors.
 
 Null and empty texts have no tokens and score 0. Repeated rows are scored alike, each as a document of its own. The target is
-all documents of the given ids; with none, every score is 0. Extra columns are ignored.
+all documents of the given ids, of which no more than `SENT_IDS` are broadcast; with none, every score is 0. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,6 +45,8 @@ PRIOR, FLOOR = 8.0, 0.5
 BUCKET = 2_000_000
 #: Documents and characters of a chunk at most (a longer text is a chunk of its own).
 DOCS, CHARACTERS = 1 << 14, 1 << 21
+#: Target ids that are broadcast at most; beyond that the texts are dealt by doc_id once, and written with their mark.
+SENT_IDS = 2_000_000
 SPACE = np.array([chr(b).isspace() for b in range(128)] + [False] * 128)
 BOUNDARY = np.uint64(0x5851F42D4C957F2D)
 UNIT = float(1 << 20)
@@ -190,11 +192,13 @@ def _wide(raw: bytes, n: int) -> np.ndarray:
 COUNTS = ("tf", "dw", "dh", "size")
 
 
-def score(docs: DataFrame, good: DataFrame, vocabulary: int = VOCABULARY, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
+def score(docs: DataFrame, good: DataFrame, vocabulary: int = VOCABULARY, hot: int = HOT, bucket: int = BUCKET, sent_ids: int = SENT_IDS) -> DataFrame:
     """doc_id, n_tokens, score of every row of docs (doc_id, text); good: the doc_ids of the target."""
     spark = with_checkpoint_dir(docs.sparkSession)
-    chosen = good.where("doc_id is not null").select("doc_id").distinct()
-    told = docs.select("doc_id", "text").join(chosen.withColumn("target", F.lit(True)), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    chosen = good.where("doc_id is not null").select("doc_id").distinct().withColumn("target", F.lit(True)).checkpoint()
+    few = chosen.count() <= sent_ids
+    told = docs.select("doc_id", "text").join(F.broadcast(chosen) if few else chosen, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    told = told if few else told.checkpoint()
     counts = count(told, vocabulary, min(hot, vocabulary))
     sent = spark.sparkContext.broadcast(counts)
     parts = -(-counts.total[0] // bucket) or 1
