@@ -42,9 +42,9 @@ from fieldwarden.session import shuffle_partitions, with_checkpoint_dir
 VOCABULARY, HOT = 1 << 17, 1 << 16
 PRIOR, FLOOR = 8.0, 0.5
 #: Tokens of a bucket on average.
-BUCKET = 2_000_000
+BUCKET = 1_000_000
 #: Documents and characters of a chunk at most (a longer text is a chunk of its own).
-DOCS, CHARACTERS = 1 << 14, 1 << 21
+DOCS, CHARACTERS = 1 << 14, 1 << 20
 #: Target ids that are broadcast at most; beyond that the texts are dealt by doc_id once, and written with their mark.
 SENT_IDS = 2_000_000
 SPACE = np.array([chr(b).isspace() for b in range(128)] + [False] * 128)
@@ -54,10 +54,8 @@ UNIT = float(1 << 20)
 OTHER = np.uint64(1 << 31)
 
 
-def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens in order, each text's boundary last, the text of each, and how many tokens but the boundary each text has."""
-    coded = [t.encode("utf-8", "replace") for t in texts]
-    buffer = np.frombuffer(b"\n".join([*coded, b""]), np.uint8)
+def _hashed(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the tokens of a buffer that ends between two of them."""
     word, blank = IS_WORD[buffer], SPACE[buffer]
     n = len(buffer)
     starts = np.flatnonzero(~blank & ~(word & np.append(False, word[:-1])))
@@ -66,8 +64,23 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends[word[starts]] = last  # a mark is a token alone, a word goes on
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=total[1:])
-    h = mix((total[ends] - total[starts]) * powers(INVERSE, n)[starts])
-    del total
+    return mix((total[ends] - total[starts]) * powers(INVERSE, n)[starts]), starts
+
+
+def tokens(texts: list[str], part: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens in order, each text's boundary last, the text of each, and how many tokens but the boundary each text has."""
+    coded = [t.encode("utf-8", "replace") for t in texts]
+    raw = b"\n".join([*coded, b""])
+    found, places, a = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    while a < len(raw):  # in parts that end with white space, so that a long text takes no more memory a character
+        b = max(raw.rfind(b" ", a, a + part), raw.rfind(b"\n", a, a + part)) + 1
+        if b <= a:
+            b = min(x for x in (raw.find(b" ", a), raw.find(b"\n", a)) if x >= 0) + 1
+        h, starts = _hashed(np.frombuffer(raw, np.uint8, b - a, a))
+        found.append(h)
+        places.append(starts + a)
+        a = b
+    h, starts = np.concatenate(found), np.concatenate(places)
     doc = np.searchsorted(np.cumsum([len(c) + 1 for c in coded]), starts, side="right")
     size = np.bincount(doc, minlength=len(texts))
     some = np.flatnonzero(size)

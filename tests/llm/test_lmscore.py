@@ -111,3 +111,10 @@ def test_large_ids_beside_null_and_a_very_long_text(spark):
     docs = [(big, "a b"), (None, "a c"), (big + 2, " ".join(f"w{k % 977}" for k in range(250_000)))]
     rows = L.score(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(big,)], "doc_id long")).collect()
     assert {(r.doc_id, r.n_tokens) for r in rows} == {(big, 2), (None, 2), (big + 2, 250_000)}
+
+
+def test_tokens_in_parts():
+    text = "one two, three\tfour\n" * 50 + "x" * 300 + " é! " * 20
+    whole = L.tokens([text, "", "a b"])
+    for part in (1, 7, 100, 10_000):
+        assert all((x == y).all() for x, y in zip(whole, L.tokens([text, "", "a b"], part), strict=True))
