@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,27 +42,48 @@ def literal_key(value: str) -> Column:
     return F.struct(F.lit(sign).alias("sign"), F.lit(sign * len(whole)).alias("size"), F.lit(shown).alias("digits"))
 
 
-def compare(op: str, left: Column | str, right: Column | str) -> Column:
+@dataclass(frozen=True)
+class Prepared:
+    """A value's forms that comparisons read, from one `prepare`d struct."""
+
+    text: Column
+    numeric: Column
+    short: Column  # as a decimal, null if it is too long
+    key: Column
+
+    @staticmethod
+    def of(made: Column) -> Prepared:
+        return Prepared(made["text"], made["numeric"], made["short"], made["key"])
+
+
+def prepare(value: Column, full: Column) -> Column:
+    """The forms of a value as a struct. The key is made for numbers that are too long for a decimal, and with `full` for all."""
+    text = trimmed(value)
+    short = F.when(is_numeric(text) & (F.length(text) <= SHORT), text.try_cast(DECIMAL))
+    return F.struct(text.alias("text"), is_numeric(text).alias("numeric"), short.alias("short"), F.when(is_numeric(text) & (full | short.isNull()), decimal_key(text)).alias("key"))
+
+
+OPS = {"=": lambda x, y: x == y, "<>": lambda x, y: x != y, ">": lambda x, y: x > y, "<": lambda x, y: x < y, ">=": lambda x, y: x >= y, "<=": lambda x, y: x <= y}
+TURNED = {">": "<", "<": ">", ">=": "<=", "<=": ">="}
+
+
+def compare(op: str, left: Column | str | Prepared, right: Column | str | Prepared) -> Column:
     """op is one of = <> > < >= <=; a str is a literal, about which the plan asks nothing. Never null if neither side is."""
     if isinstance(left, str) and isinstance(right, str):
         left = F.lit(left)
     if isinstance(left, str):
-        turned = {">": "<", "<": ">", ">=": "<=", "<=": ">="}
-        return compare(turned.get(op, op), right, left)
-    apply = {"=": lambda x, y: x == y, "<>": lambda x, y: x != y, ">": lambda x, y: x > y, "<": lambda x, y: x < y, ">=": lambda x, y: x >= y, "<=": lambda x, y: x <= y}[op]
-    a = trimmed(left)
+        return compare(TURNED.get(op, op), right, left)
+    apply = OPS[op]
+    plain = lambda v: v if isinstance(v, Prepared) else Prepared.of(prepare(v, F.lit(True)))
+    a = plain(left)
     if isinstance(right, str):
         b = right.strip(" \t\r\n")
         if not re.match(NUMERIC.replace(r"\z", r"\Z"), b):
-            across = apply(a, F.lit(b)) if op in ("=", "<>") or b == "" else F.when(is_numeric(a), False).otherwise(apply(a, F.lit(b)))
-            return across
-        mixed = apply(a, F.lit(b)) if op in ("=", "<>") else F.when(a != "", False).otherwise(apply(a, F.lit(b)))
-        exact = apply(decimal_key(a), literal_key(b))
-        if len(b) <= SHORT:
-            exact = F.coalesce(F.when(F.length(a) <= SHORT, apply(a.try_cast(DECIMAL), F.lit(b).cast(DECIMAL))), exact)
-        return F.when(is_numeric(a), exact).otherwise(mixed)
-    b = trimmed(right)
-    m, n = is_numeric(a), is_numeric(b)
-    mixed = (m != n) & (a != "") & (b != "")
-    across = apply(a, b) if op in ("=", "<>") else F.lit(False)
-    return F.when(m & n, apply(decimal_key(a), decimal_key(b))).when(mixed, across).otherwise(apply(a, b))
+            return apply(a.text, F.lit(b)) if op in ("=", "<>") or b == "" else ~a.numeric & apply(a.text, F.lit(b))
+        mixed = apply(a.text, F.lit(b)) if op in ("=", "<>") else (a.text == "") & apply(a.text, F.lit(b))
+        exact = apply(a.key, literal_key(b))
+        return F.when(a.numeric, F.coalesce(apply(a.short, F.lit(b).cast(DECIMAL)), exact) if len(b) <= SHORT else exact).otherwise(mixed)
+    b = plain(right)
+    mixed = (a.numeric != b.numeric) & (a.text != "") & (b.text != "")
+    across = apply(a.text, b.text) if op in ("=", "<>") else F.lit(False)
+    return F.when(a.numeric & b.numeric, F.coalesce(apply(a.short, b.short), apply(a.key, b.key))).when(mixed, across).otherwise(apply(a.text, b.text))

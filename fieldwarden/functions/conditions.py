@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldwarden.functions.comparison import compare
+from fieldwarden.functions.comparison import SHORT, Prepared, compare
 
 #: Bounds of a condition: characters, references and depth.
 MOST_CHARACTERS, MOST_REFERENCES, MOST_DEPTH = 500, 20, 10
@@ -77,7 +77,7 @@ def parse(text: str) -> Node:
             raise ConditionError(f"unexpected text at {text[at:].strip()[:20]!r}")
         tokens.append(m)
         at = m.end()
-    for m, following in zip(tokens, [*tokens[1:], None], strict=True):
+    for m, following in zip(tokens, [*tokens[1:], None][: len(tokens)], strict=True):
         if m["word"] and m["word"].lower() not in ("and", "or", "not"):
             if following is not None and following["mark"] == "(":
                 raise ConditionError(f"functions are not available: {m['word']}()")
@@ -144,7 +144,7 @@ def parse(text: str) -> Node:
 
     if peek() == "":
         raise ConditionError("the condition is empty")
-    tree = either(1)
+    tree = either(0)
     if tokens[place] is not None:
         raise ConditionError(f"unexpected text at {tokens[place][0].strip()!r}")
     if len([1 for m in tokens if m is not None and m["field"]]) > MOST_REFERENCES:
@@ -193,19 +193,29 @@ def value_of(ref: Ref | Literal, columns: Mapping[str, Column], checkboxes: froz
     return F.lit("0") if ref.code is not None else F.coalesce(columns[ref.field].cast("string"), F.lit(""))
 
 
-def to_column(tree: Node, columns: Mapping[str, Column], checkboxes: frozenset[str] | set[str] = frozenset()) -> Column:
-    """The tree as a boolean column over the columns of the fields."""
+def full_keys(tree: Node) -> set[Ref]:
+    """The references that are compared with another one, or with a number that no decimal holds."""
+    if isinstance(tree, Compare):
+        two = [tree.left, tree.right]
+        return {x for x in two if isinstance(x, Ref)} if not any(isinstance(x, Literal) and len(x.value.strip()) <= SHORT for x in two) else set()
+    items = [tree.item] if isinstance(tree, Not) else tree.items if isinstance(tree, Group) else ()
+    return set().union(*(full_keys(x) for x in items))
+
+
+def to_column(tree: Node, columns: Mapping[str, Column], checkboxes: frozenset[str] | set[str] = frozenset(), prepared: Mapping[Ref, Prepared] | None = None) -> Column:
+    """The tree as a boolean column over the columns of the fields, or over their forms where these are prepared."""
     if isinstance(tree, Constant):
         return F.lit(tree.value)
     if isinstance(tree, Not):
-        return ~to_column(tree.item, columns, checkboxes)
+        return ~to_column(tree.item, columns, checkboxes, prepared)
     if isinstance(tree, Group):
-        out = to_column(tree.items[0], columns, checkboxes)
+        out = to_column(tree.items[0], columns, checkboxes, prepared)
         for x in tree.items[1:]:
-            other = to_column(x, columns, checkboxes)
+            other = to_column(x, columns, checkboxes, prepared)
             out = out & other if tree.every else out | other
         return out
-    sides = [x.value if isinstance(x, Literal) else value_of(x, columns, checkboxes) for x in (tree.left, tree.right)]
+    made = prepared or {}
+    sides = [x.value if isinstance(x, Literal) else made[x] if x in made else value_of(x, columns, checkboxes) for x in (tree.left, tree.right)]
     return compare(tree.op, *sides)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,14 +44,26 @@ def contexts(rows: DataFrame, fields: list[str]) -> DataFrame:
     return both.select(*place, F.col("repeat_key").alias("_form"), F.col("_group").alias("_dag"), *fields)
 
 
+@dataclass(frozen=True)
+class Events:
+    """What a project's metadata say of its events: the forms of each (an event without an entry has all of them), and what repeats."""
+
+    forms: Mapping[str, set[str]] = field(default_factory=dict)
+    repeating: frozenset[tuple[str, str]] | set[tuple[str, str]] = frozenset()  # (event, form)
+    repeating_events: frozenset[str] | set[str] = frozenset()
+
+
+def hosted(form: str, events: Events) -> Column:
+    """Whether a form's fields live in a context: the instances of a repeating event or form, else the base row, where the event has the form."""
+    without = [e for e, forms in events.forms.items() if form not in forms]
+    own = [e for e, f in events.repeating if f == form]
+    lives = F.when(F.col("_event").isin(list(events.repeating_events)), F.col("_form").eqNullSafe(F.lit(""))).when(F.col("_event").isin(own), F.col("_form").eqNullSafe(F.lit(form)))
+    return lives.otherwise(F.col("_form").isNull()) & ~F.col("_event").isin(without)
+
+
 def host_rows(found: DataFrame, form: str, event_forms: Mapping[str, set[str]], repeating: set[tuple[str, str]], repeating_events: set[str] = frozenset()) -> DataFrame:
-    """The contexts in which a form's fields live: instances of a repeating form or event, else base rows of events with that form."""
-    keep = F.lit(False)
-    for event, forms in event_forms.items():
-        if form in forms:
-            own = F.col("_form") == "" if event in repeating_events else F.col("_form") == form if (event, form) in repeating else F.col("_form").isNull()
-            keep = keep | ((F.col("_event") == event) & F.coalesce(own, F.lit(False)))
-    return found.where(keep)
+    """The contexts in which a form's fields live."""
+    return found.where(F.col("_event").isin(list(event_forms)) & hosted(form, Events(event_forms, repeating, repeating_events)))
 
 
 def with_states(found: DataFrame, forms: Mapping[str, str], event_forms: Mapping[str, set[str]], repeating: set[tuple[str, str]]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Rules over contexts: all row-local rules are one projection, each uniqueness key one aggregation and one join.
+"""Rules over contexts: all row-local rules are one projection, all uniqueness keys one aggregation and one join.
 
 A context is a row with `_record`, `_event`, `_instance`, `_form`, `_dag` and a column for each field (a string, or a map from
 code to '0'/'1' for a checkbox). `_states`, a map from field to 'missing', 'ambiguous' or 'unreadable', is optional.
@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldwarden.functions import conditions, identifiers, patterns
+from fieldwarden.functions.comparison import Prepared, prepare
 from fieldwarden.operators import pooled
+from fieldwarden.operators.contexts import Events, hosted
 
 MODES = {"single": "check", "pooled": "check", "constraint": "constraint", "required": "required", "unique": "unique", "choices": "choices"}
-#: Rules of one projection; more would outgrow the JVM's limit on a method of generated code.
-RULES_AT_ONCE = 10
 META = ("_record", "_event", "_instance", "_form", "_dag")
 PLACE = ", ".join(f"{c} {'int' if c == '_instance' else 'string'}" for c in META)
 #: White space of blank values, for all modes but constraints.
@@ -81,14 +81,19 @@ def parse_codes(text: str) -> list[str]:
     return [p.split(",")[0].strip() for p in text.split("|") if p.strip()]
 
 
+def texts(rule: Rule) -> list[str]:
+    """All conditions of a rule."""
+    return [t for t in (rule.when, rule.asserts, *(t for b in rule.branches for t in (b.get("when", ""), b.get("asserts", "")))) if t]
+
+
 def read_set(rules: list[Rule]) -> list[str]:
     """Every field that the rules need, so that a plan reads no other."""
     out: list[str] = []
     for r in rules:
         out += [*r.fields, *r.unique_with]
-        for text in (r.when, r.asserts, *(t for b in r.branches for t in (b.get("when", ""), b.get("asserts", "")))):
+        for text in texts(r):
             try:
-                out += [x.field for x in conditions.references(conditions.parse(text))] if text else []
+                out += [x.field for x in conditions.references(conditions.parse(text))]
             except conditions.ConditionError:
                 pass  # the rule gets a problem row of its own
         out += [w for b in r.branches for w in b.get("unique_with", ())]
@@ -130,15 +135,32 @@ def resolve_branches(rules: list[Rule]) -> list[Rule]:
 
 
 class _Compiler:
-    """Builds the item column of rules: an array of findings and problems of a context."""
+    """Builds the item column of rules: an array of findings, problems and candidates of a context."""
 
-    def __init__(self, frame: DataFrame, dictionary: Dictionary):
+    def __init__(self, frame: DataFrame, dictionary: Dictionary, events: Events | None = None):
+        self.forms, self.events = dictionary.forms, events
+        self.prepared: dict[conditions.Ref, Prepared] = {}
         self.columns = {c: F.col(f"`{c}`") for c in frame.columns if c not in (*META, "_states")}
         self.boxes = dictionary.checkboxes
         self.has_states = "_states" in frame.columns
 
     def condition(self, text: str) -> Column:
-        return conditions.to_column(conditions.parse(text), self.columns, self.boxes)
+        return conditions.to_column(conditions.parse(text), self.columns, self.boxes, self.prepared)
+
+    def prepare(self, rules: list[Rule]) -> Column:
+        """The forms of all values that conditions compare, as an array: each is found once, by one expression however many there are."""
+        refs: dict[conditions.Ref, bool] = {}
+        for text in (t for r in rules for t in texts(r)):
+            try:
+                tree = conditions.parse(text)
+            except conditions.ConditionError:
+                continue  # the rule gets a problem row of its own
+            full = conditions.full_keys(tree)
+            for x in conditions.references(tree):
+                refs[x] = refs.get(x, False) or x in full
+        self.prepared = {x: Prepared.of(F.get("_forms", F.lit(k))) for k, x in enumerate(refs)}
+        values = [F.struct(conditions.value_of(x, self.columns, self.boxes).alias("value"), F.lit(full).alias("full")) for x, full in refs.items()]
+        return F.transform(F.array(*values), lambda x: prepare(x["value"], x["full"])) if values else F.array(F.col("_instance"))
 
     def unresolved(self, *texts: str) -> Column:
         """Why a condition can't be judged in this context: a text, null if it can."""
@@ -155,13 +177,28 @@ class _Compiler:
     def value(self, name: str) -> Column:
         return self.columns.get(name, F.lit(None).cast("string"))
 
-    def item(self, ordinal: int, kind: str, name: str, reason: Column, value: Column) -> Column:
-        made = F.struct(F.lit(ordinal).alias("rule"), F.lit(kind).alias("type"), F.lit(name).alias("field"), reason.alias("reason"), value.cast("string").alias("value"))
+    def item(self, ordinal: int, kind: str, name: str, reason: Column, value: Column, key: Column | None = None) -> Column:
+        key = F.lit(None).cast("array<string>") if key is None else key
+        made = F.struct(F.lit(ordinal).alias("rule"), F.lit(kind).alias("type"), F.lit(name).alias("field"), reason.alias("reason"), value.cast("string").alias("value"), key.alias("key"))
         return F.array(made)  # rows without a reason are dropped behind the explode, so that the reason stands in the plan once
 
     def problem(self, ordinal: int, name: str, why: Column | str) -> Column:
         return self.item(ordinal, "problem", name, F.lit(why) if isinstance(why, str) else why, F.lit(None))
 
+    def placed(self, ordinal: int, rule: Rule, name: str) -> Column:
+        """The items of a rule in the contexts where its field lives; in others there are none."""
+        if rule.error or self.events is None:
+            return self.rule(ordinal, rule, name)
+        if not (form := self.forms.get(name)):
+            return self.problem(ordinal, name, f"field [{name}] is on no form")
+        return F.when(hosted(form, self.events), self.rule(ordinal, rule, name)).otherwise(self.item(ordinal, rule.type, name, F.lit(None).cast("string"), F.lit(None)))
+
+    def key(self, rule: Rule, name: str) -> Column:
+        """What must not be the same in two records: the value, those it is unique with, and the scope."""
+        trim = lambda f: F.btrim(F.coalesce(self.value(f).cast("string"), F.lit("")), F.lit(BLANK))
+        scope = {"event": [F.concat(F.lit("event "), F.col("_event"))], "dag": [F.concat(F.lit("group "), F.coalesce("_dag", F.lit("")))]}.get(rule.scope, [])
+        return F.array(trim(name), *[trim(w) for w in rule.unique_with], *scope)
+
     def rule(self, ordinal: int, rule: Rule, name: str) -> Column:
         if rule.error:
             return self.problem(ordinal, name, rule.error)
@@ -198,6 +235,9 @@ class _Compiler:
         if rule.type == "required":
             blank = F.btrim(F.coalesce(value, F.lit("")), F.lit(BLANK)) == "" if name not in self.boxes else F.lit(False)
             return self.item(ordinal, rule.type, name, F.when(blank, "required-blank"), value if name not in self.boxes else F.lit(None))
+        if rule.type == "unique":  # a candidate, which the aggregation judges
+            filled = F.btrim(F.coalesce(value.cast("string"), F.lit("")), F.lit(BLANK)) != "" if name not in self.boxes else F.lit(False)
+            return self.item(ordinal, rule.type, name, F.when(filled, "duplicate-value"), value if name not in self.boxes else F.lit(None), self.key(rule, name))
         if rule.type == "constraint":
             try:
                 holds = self.condition(rule.asserts)
@@ -211,7 +251,7 @@ class _Compiler:
             hidden = rule.hidden()
             if name in self.boxes:
                 hit = F.filter(F.array(*[F.lit(c) for c in hidden]), lambda c: F.coalesce(value[c], F.lit("0")) == "1")
-                return F.transform(hit, lambda c: F.struct(F.lit(ordinal).alias("rule"), F.lit("choices").alias("type"), F.lit(name).alias("field"), F.lit("hidden-choice").alias("reason"), c.alias("value")))
+                return F.transform(hit, lambda c: F.struct(F.lit(ordinal).alias("rule"), F.lit("choices").alias("type"), F.lit(name).alias("field"), F.lit("hidden-choice").alias("reason"), c.alias("value"), F.lit(None).cast("array<string>").alias("key")))
             return self.item(ordinal, rule.type, name, F.when(some & F.btrim(value, F.lit(BLANK)).isin(hidden), "hidden-choice"), value)
         if rule.algorithm not in identifiers.ALGORITHMS:
             return self.problem(ordinal, name, f"unknown algorithm {rule.algorithm}")
@@ -226,51 +266,49 @@ class _Compiler:
         return self.item(ordinal, rule.type, name, wrong, value)
 
 
-def row_local(contexts: DataFrame, rules: list[Rule], dictionary: Dictionary) -> DataFrame:
-    """Findings, and problems as type 'problem', of all rules but uniqueness: one projection for every RULES_AT_ONCE of them."""
+def _items(contexts: DataFrame, rules: list[Rule], dictionary: Dictionary, events: Events | None, unique: bool) -> DataFrame:
+    """The items of all uniqueness rules, or of all others, from one projection.
+
+    Compared values are brought into their forms once, below the rules. The count over an array, which Spark runs outside of whole-stage
+    code, keeps the projection out of it too: its one method would outgrow the JVM's limit, while the code of a projection alone is cut
+    into methods, however many rules there are.
+    """
     twice = duplicate_claims(rules)
-    made = _Compiler(contexts, dictionary)
+    made = _Compiler(contexts, dictionary, events)
+    contexts = contexts.withColumn("_forms", made.prepare([r for r in rules if (r.type == "unique") == unique]))
     items = []
     for k, r in enumerate(rules, 1):
-        for f in r.fields or ("",):
-            if r.type == "unique" and not r.error or (r.mode, f) in twice:
-                continue
-            items.append(made.rule(k, r, f))
-    out = None
-    for a in range(0, len(items), RULES_AT_ONCE):
-        part = contexts.select(*META, F.explode(F.concat(*items[a : a + RULES_AT_ONCE])).alias("f")).select(*META, "f.*").where("reason is not null")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else contexts.sparkSession.createDataFrame([], f"{PLACE}, rule int, type string, field string, reason string, value string")
+        for f in dict.fromkeys(r.fields or ("",)):
+            if (r.type == "unique" and not r.error) == unique and (r.mode, f) not in twice:
+                items.append(made.placed(k, r, f))
+    if not items:
+        return contexts.sparkSession.createDataFrame([], f"{PLACE}, rule int, type string, field string, reason string, value string, key array<string>")
+    apart = F.size(F.filter(F.array("_instance"), lambda x: x.isNull()))
+    listed = contexts.select(*META, F.concat(*items).alias("items"), apart.alias("apart"))
+    return listed.select(*META, F.explode(F.when(F.col("apart") >= 0, F.col("items"))).alias("f")).select(*META, "f.*").where("reason is not null")
+
+
+def row_local(contexts: DataFrame, rules: list[Rule], dictionary: Dictionary, events: Events | None = None) -> DataFrame:
+    """Findings, and problems as type 'problem', of all rules but uniqueness, in one pass over the contexts."""
+    return _items(contexts, rules, dictionary, events, False).drop("key")
 
 
-def unique(contexts: DataFrame, rules: list[Rule], dictionary: Dictionary) -> DataFrame:
-    """Findings of values that two or more records share, for every uniqueness rule and field.
+def unique(contexts: DataFrame, rules: list[Rule], dictionary: Dictionary, events: Events | None = None) -> DataFrame:
+    """Findings of values that two or more records share, for all uniqueness rules and fields at once, and problems as type 'problem'.
 
     A key's least and greatest record are aggregated with partial sums; where they differ, its rows are joined back. A value that a
     third of all rows hold is thus no single task's work.
     """
-    made = _Compiler(contexts, dictionary)
-    out = None
-    for k, r in enumerate(rules, 1):
-        if r.type != "unique" or r.error:
-            continue
-        for f in r.fields:
-            gate = made.condition(r.when) if r.when else F.lit(True)
-            trim = lambda name: F.btrim(F.coalesce(made.value(name).cast("string"), F.lit("")), F.lit(BLANK))  # noqa: B023, E731
-            scope = {"event": [F.col("_event").alias("_k_scope")], "dag": [F.coalesce("_dag", F.lit("")).alias("_k_scope")]}.get(r.scope, [])
-            parts = [trim(f).alias("_k_value"), *[trim(w).alias(f"_k_{n}") for n, w in enumerate(r.unique_with)], *scope]
-            keyed = contexts.where(gate & (trim(f) != "")).select(*META, made.value(f).cast("string").alias("value"), *parts)
-            names = [c for c in keyed.columns if c.startswith("_k_")]
-            shared = keyed.groupBy(*names).agg(F.min("_record").alias("_a"), F.max("_record").alias("_b")).where("_a <> _b").select(*names)
-            found = keyed.join(shared, names, "left_semi").dropDuplicates(["_record", "_event", "_instance", "_form"])
-            found = found.select(*META, F.lit(k).alias("rule"), F.lit("unique").alias("type"), F.lit(f).alias("field"), F.lit("duplicate-value").alias("reason"), "value")
-            out = found if out is None else out.unionByName(found)
-    return out if out is not None else row_local(contexts, [], dictionary)
-
-
-def scan(contexts: DataFrame, rules: list[Rule], dictionary: Dictionary) -> tuple[DataFrame, DataFrame]:
-    """Findings, and rule problems without repeats, of all rules."""
-    items = row_local(contexts, rules, dictionary)
-    findings = items.where("type <> 'problem'").unionByName(unique(contexts, rules, dictionary))
+    items = _items(contexts, rules, dictionary, events, True)
+    names = ["rule", "field", "key"]
+    shared = items.where("type = 'unique'").groupBy(*names).agg(F.min("_record").alias("_a"), F.max("_record").alias("_b")).where("_a <> _b").select(*names)
+    found = items.where("type = 'unique'").join(shared, names, "left_semi").dropDuplicates(["rule", "field", "_record", "_event", "_instance", "_form"])
+    columns = [*META, "rule", "type", "field", "reason", "value"]
+    return found.select(*columns).unionByName(items.where("type = 'problem'").select(*columns))
+
+
+def scan(contexts: DataFrame, rules: list[Rule], dictionary: Dictionary, events: Events | None = None) -> tuple[DataFrame, DataFrame]:
+    """Findings, and rule problems without repeats, of all rules. With events, each rule is judged in the contexts where its field lives."""
+    items = row_local(contexts, rules, dictionary, events).unionByName(unique(contexts, rules, dictionary, events))
     problems = items.where("type = 'problem'").select("rule", "field", F.col("reason").alias("why")).distinct()
-    return findings, problems
+    return items.where("type <> 'problem'"), problems

@@ -18,6 +18,7 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call site for each expression
         .getOrCreate()
     )
 
