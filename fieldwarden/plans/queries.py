@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwarden.functions import comparison, identifiers, text
-from fieldwarden.operators import contexts, pooled, reports, rollups
+from fieldwarden.operators import contexts, pooled, reports, rollups, scans
 from fieldwarden.operators import rules as R
 from fieldwarden.session import table
 from fieldwarden.streaming import changes
@@ -110,13 +110,14 @@ def _append(algorithm: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return table(spark, sf_dir, "orders").select("o_orderkey", identifiers.append_check(algorithm, _payload(algorithm), strip="").alias("id"))
 
-    @query(f"{algorithm}_validate", f"SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey % 5 <> 0 OR {algorithm == 'none'}) AS valid FROM orders")
+    @query(f"{algorithm}_validate", f"SELECT o_orderkey, o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 OR {algorithm == 'none'} AS valid FROM orders")
     def check(spark: SparkSession, sf_dir: str) -> DataFrame:
-        # every fifth identifier has a letter in its middle that no algorithm's number stands for
-        whole = identifiers.append_check(algorithm, _payload(algorithm), strip="")
-        broken = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.left(whole, F.lit(4)), F.lit("?"), F.substr(whole, F.lit(5)))).otherwise(whole)
-        valid = identifiers.validate_id(algorithm, broken)
-        return table(spark, sf_dir, "orders").agg(F.count("*").alias("n"), F.count_if(valid).alias("valid"))
+        # every fifth identifier has the next check character in place of its last one, every seventh a letter in its middle that no number stands for
+        whole, letters = identifiers.append_check(algorithm, _payload(algorithm), strip=""), identifiers.ALGORITHMS[algorithm][1]
+        next_one = F.translate(F.right(whole, F.lit(1)), letters, letters[1:] + letters[:1]) if letters else F.right(whole, F.lit(1))
+        wrong = F.concat(F.left(whole, F.length(whole) - 1), next_one)
+        broken = F.when(F.col("o_orderkey") % 5 == 0, wrong).when(F.col("o_orderkey") % 7 == 0, F.concat(F.left(whole, F.lit(4)), F.lit("?"), F.substr(whole, F.lit(5)))).otherwise(whole)
+        return table(spark, sf_dir, "orders").select("o_orderkey", identifiers.validate_id(algorithm, broken).alias("valid"))
 
 
 for _name in identifiers.ALGORITHMS:
@@ -214,10 +215,15 @@ def pooled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("o", F.size(F.filter("cut", lambda s: s["type"] == "id")).alias("ids"), pooled.reasons(F.col("cut"), _POOL).alias("reason"))
 
 
-@query("pooled_segments", _EXACT + "SELECT o, string_agg(id, '|' ORDER BY n) AS cut FROM ids WHERE o % 35 <> 0 AND o % 5 <> 0 AND o % 7 <> 0 GROUP BY o")
+@query(
+    "pooled_segments",
+    _EXACT + """SELECT o, string_agg('id ' || id, '|' ORDER BY n, id) || CASE WHEN o % 5 = 0 THEN '|junk ZZ' ELSE '' END
+       || CASE WHEN o % 7 = 0 THEN '|id ' || min_by(id, (n, id)) ELSE '' END AS cut FROM ids GROUP BY o""",
+)
 def pooled_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = _pools(spark, sf_dir).where("o % 5 <> 0 and o % 7 <> 0")  # the pools that hold nothing but IDs
-    return clean.select("o", F.array_join(F.transform(pooled.segments(F.col("pool"), _POOL), lambda s: s["text"]), "|").alias("cut"))
+    """All pools: of each piece its type and text, in order."""
+    cut = pooled.segments(F.col("pool"), _POOL)
+    return _pools(spark, sf_dir).select("o", F.array_join(F.transform(cut, lambda s: F.concat(s["type"], F.lit(" "), s["text"])), "|").alias("cut"))
 
 
 @query(
@@ -233,13 +239,18 @@ def pooled_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- conditions -----------------------------------------------------------------------------------------------------
 
 
-def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as contexts, with their order's date: an instance over its record's base row."""
+def _date_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as base rows and line items as instances of form `line`."""
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     base = orders.select(F.col("o_orderkey").alias("record"), F.lit(1).alias("event_id"), F.lit(None).cast("string").alias("repeat_key"), F.lit(1).alias("instance"), F.lit(None).cast("string").alias("dag"), day("o_orderdate").alias("ordered"), F.lit(None).cast("string").alias("shipped"))
     line = lines.select(F.col("l_orderkey").alias("record"), F.lit(1).alias("event_id"), F.lit("line").alias("repeat_key"), F.col("l_linenumber").alias("instance"), F.lit(None).cast("string").alias("dag"), F.lit(None).cast("string").alias("ordered"), day("l_shipdate").alias("shipped"))
-    return contexts.contexts(base.unionByName(line), ["ordered", "shipped"])
+    return base.unionByName(line)
+
+
+def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as contexts, with their order's date: an instance over its record's base row."""
+    return contexts.contexts(_date_rows(spark, sf_dir), ["ordered", "shipped"])
 
 
 @query(
@@ -285,6 +296,23 @@ def rule_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.scan(rows, rules, _dictionary(rows))[1]
 
 
+_PROJECT = R.Dictionary({"ordered": "text", "shipped": "text"}, {"ordered": "order", "shipped": "line"})
+_EVENTS = contexts.Events({"1": {"order", "line"}}, {("1", "line")})
+
+
+@query(
+    "scan_hosted",
+    """SELECT o_orderkey::VARCHAR AS record, 1 AS instance, 1 AS rule, strftime(o_orderdate, '%Y-%m-%d') AS value FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') < '1995-01-01'
+       UNION ALL SELECT l_orderkey::VARCHAR, l_linenumber, 2, strftime(l_shipdate, '%Y-%m-%d') FROM lineitem WHERE strftime(l_shipdate, '%Y-%m-%d') >= '1998-01-01'""",
+)
+def scan_hosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A base value is judged on the base row alone, however many instances repeat it; an instance's value on the instance, never on the base row, where it is blank."""
+    rules = [R.Rule("constraint", ("ordered",), asserts="[ordered]>='1995-01-01'"), R.Rule("constraint", ("shipped",), asserts="[shipped]<'1998-01-01'")]
+    rules.append(R.Rule("required", ("shipped",)))
+    found = scans.run_scan(_date_rows(spark, sf_dir), rules, _PROJECT, _EVENTS).findings
+    return found.select(F.col("_record").alias("record"), F.col("_instance").alias("instance"), "rule", "value")
+
+
 _NUMBERS = """WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN '-' ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN '00' ELSE '' END || (p_retailprice * 100)::BIGINT::VARCHAR || '.50' AS a, CASE WHEN p_partkey % 6 = 0 THEN 'n/a' WHEN p_partkey % 10 = 0 THEN '' ELSE (p_size * 4000)::VARCHAR || '.5' END AS b FROM part)"""
 
 
@@ -411,6 +439,40 @@ _unique("unique_event", _shared("c_custkey % 3 AS x") + " AND c_custkey % 3 = x"
 _unique("unique_composite", _shared("c_mktsegment AS x") + " AND c_mktsegment = x", unique_with=("segment",))
 
 
+_ACTIVE = "c_mktsegment = 'BUILDING' OR c_mktsegment = 'MACHINERY'"
+
+
+@query(
+    "unique_branches",
+    f"""SELECT c_custkey::VARCHAR AS record, ' k' || (c_custkey % 97)::VARCHAR || ' ' AS value FROM customer
+        WHERE ({_ACTIVE}) AND c_custkey % 97 IN (SELECT c_custkey % 97 FROM customer WHERE {_ACTIVE} GROUP BY 1 HAVING count(DISTINCT c_custkey) > 1)""",
+)
+def unique_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in which no branch is active take no part."""
+    rows = _people(spark, sf_dir)
+    rules = R.resolve_branches([R.Rule("unique", ("code",), when="[segment]='BUILDING'"), R.Rule("unique", ("code",), when="[segment]='MACHINERY'", message="other")])
+    return R.scan(rows, rules, _dictionary(rows))[0].select(F.col("_record").alias("record"), "value")
+
+
+@query("unique_claims", "SELECT 0::BIGINT AS n FROM customer HAVING count(*) >= 0")
+def unique_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field that two rules of a mode claim is judged by neither."""
+    rows = _people(spark, sf_dir)
+    return R.scan(rows, [R.Rule("unique", ("code",)), R.Rule("unique", ("code",), scope="event")], _dictionary(rows))[0].agg(F.count("*").alias("n"))
+
+
+@query(
+    "unique_problems",
+    "SELECT 1 AS rule, 'code' AS field, 'unparsed' AS why UNION ALL SELECT 2, 'segment', '[absent] is not collected in this event'",
+)
+def unique_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions that cannot be read, or not in this event, make problem rows and no findings."""
+    rows = contexts.with_states(_people(spark, sf_dir), {"absent": "other"}, {"9": {"other"}}, set())
+    rules = [R.Rule("unique", ("code",), when="[segment"), R.Rule("unique", ("segment",), when="[absent]='1'")]
+    problems = R.scan(rows, rules, _dictionary(rows))[1]
+    return problems.select("rule", "field", F.when(F.col("why").startswith("the condition cannot be evaluated"), "unparsed").otherwise(F.col("why")).alias("why"))
+
+
 @query(
     "unique_groups",
     """SELECT 'k' || (c_custkey % 97)::VARCHAR AS code, count(DISTINCT c_custkey) AS records, min(c_custkey::VARCHAR) AS representative, count(DISTINCT c_custkey) > 1 AS collides
