@@ -52,6 +52,7 @@ class Rule:
     note: str = ""
     uid: str = ""
     error: str = ""
+    dropped: bool = False  # holds its ordinal, is applied nowhere
 
     @property
     def mode(self) -> str:
@@ -89,7 +90,7 @@ def texts(rule: Rule) -> list[str]:
 def read_set(rules: list[Rule]) -> list[str]:
     """Every field that the rules need, so that a plan reads no other."""
     out: list[str] = []
-    for r in rules:
+    for r in (r for r in rules if not r.dropped):
         out += [*r.fields, *r.unique_with]
         for text in texts(r):
             try:
@@ -105,7 +106,7 @@ def duplicate_claims(rules: list[Rule]) -> set[tuple[str, str]]:
     seen: set[tuple[str, str]] = set()
     twice: set[tuple[str, str]] = set()
     for r in rules:
-        for f in r.fields if not r.error else ():
+        for f in r.fields if not r.error and not r.dropped else ():
             (twice if (r.mode, f) in seen else seen).add((r.mode, f))
     return twice
 
@@ -114,7 +115,7 @@ def resolve_branches(rules: list[Rule]) -> list[Rule]:
     """Rules of one mode that share a field become one rule of that field with a branch for each; conflicts are errors."""
     claims: dict[tuple[str, str], list[Rule]] = {}
     for r in rules:
-        for f in r.fields if not r.error and not r.branches else ():
+        for f in r.fields if not r.error and not r.dropped and not r.branches else ():
             claims.setdefault((r.mode, f), []).append(r)
     shared = {k: v for k, v in claims.items() if len(v) > 1}
     kept = [replace(r, fields=tuple(f for f in r.fields if r.error or r.branches or (r.mode, f) not in shared)) for r in rules]
@@ -279,7 +280,7 @@ def _items(contexts: DataFrame, rules: list[Rule], dictionary: Dictionary, event
     items = []
     for k, r in enumerate(rules, 1):
         for f in dict.fromkeys(r.fields or ("",)):
-            if (r.type == "unique" and not r.error) == unique and (r.mode, f) not in twice:
+            if not r.dropped and (r.type == "unique" and not r.error) == unique and (r.mode, f) not in twice:
                 items.append(made.placed(k, r, f))
     if not items:
         return contexts.sparkSession.createDataFrame([], f"{PLACE}, rule int, type string, field string, reason string, value string, key array<string>")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldwarden.operators import access
 from fieldwarden.operators import contexts as C
 from fieldwarden.operators import rules as R
 from fieldwarden.session import with_checkpoint_dir
@@ -22,13 +23,16 @@ class Scan:
     outcome: str
 
 
-def run_scan(rows: DataFrame, rules: list[R.Rule], dictionary: R.Dictionary, events: C.Events | None = None, group: str | None = None, record: str | None = None) -> Scan:
-    """Scans rows (record, event_id, repeat_key, instance, dag and fields), of one group or one record if given.
+def run_scan(rows: DataFrame, rules: list[R.Rule], dictionary: R.Dictionary, events: C.Events | None = None, group: str | None = None, record: str | None = None, rights: access.Rights = True) -> Scan:
+    """Scans rows (record, event_id, repeat_key, instance, dag and fields), of one group or one record if given, by the rules that the
+    reader's rights and the group allow; a rule that they don't is a problem.
 
     Only the fields that rules name are read. The items of all rules are written once to the checkpoint folder, so that findings, problems
     and counts are of one pass. A rule problem keeps a run from being clean.
     """
-    with_checkpoint_dir(rows.sparkSession)
+    spark = with_checkpoint_dir(rows.sparkSession)
+    rules, barred = access.readable(rules, dictionary, rights)
+    rules, wide = access.confined(rules, group)
     fields = [f for f in R.read_set(rules) if f in rows.columns]
     rows = rows if record is None else rows.where(F.col("record") == record)
     found = changes.in_scope(C.contexts(rows, fields), group)
@@ -36,7 +40,7 @@ def run_scan(rows: DataFrame, rules: list[R.Rule], dictionary: R.Dictionary, eve
         found = C.with_states(found, {f: dictionary.forms[f] for f in R.read_set(rules) if dictionary.forms.get(f)}, events.forms, set(events.repeating))
     items = R.row_local(found, rules, dictionary, events).unionByName(R.unique(found, rules, dictionary, events)).checkpoint()
     findings = items.where("type <> 'problem'")
-    problems = items.where("type = 'problem'").select("rule", "field", F.col("reason").alias("why")).distinct()
+    problems = items.where("type = 'problem'").select("rule", "field", F.col("reason").alias("why")).distinct().unionByName(spark.createDataFrame(barred + wide, "rule int, field string, why string"))
     seen = found.agg(F.countDistinct("_record").alias("records"), F.count("*").alias("contexts")).first()
     run = changes.Run(examined=seen.records, findings=findings.count(), blocked=problems.count())
     return Scan(findings, problems, seen.records, seen.contexts, changes.outcome(run))

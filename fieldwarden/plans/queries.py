@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwarden.functions import comparison, identifiers, text
-from fieldwarden.operators import contexts, pooled, reports, rollups, scans
+from fieldwarden.operators import access, contexts, pooled, reports, rollups, scans
 from fieldwarden.operators import rules as R
 from fieldwarden.session import table
 from fieldwarden.streaming import changes
@@ -555,6 +555,65 @@ def catchup_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.classify(manifest, changes.window(log, top // 2, top), log.where("record % 7 <> 0"))
 
 
+@query(
+    "catchup_settled",
+    """WITH top AS (SELECT max(event_id) AS top FROM events),
+       manifest AS (SELECT user_id AS record, max(event_id) AS scanned FROM events, top WHERE event_id <= top * 3 // 4 AND user_id % 5 <> 0 GROUP BY user_id),
+       latest AS (SELECT user_id AS record, max(event_id) AS version FROM events WHERE user_id IS NOT NULL GROUP BY user_id),
+       changed AS (SELECT user_id AS record, max(event_id) AS version FROM events, top WHERE event_id > top // 2 AND user_id IS NOT NULL GROUP BY user_id)
+       SELECT record, CASE WHEN c.record IS NOT NULL AND record % 7 <> 0 AND (m.record IS NULL OR c.version > scanned) THEN l.version ELSE scanned END AS scanned_version,
+         CASE WHEN c.record IS NOT NULL AND record % 7 = 0 THEN 'tombstone' ELSE 'done' END AS state
+       FROM latest l LEFT JOIN manifest m USING (record) LEFT JOIN changed c USING (record) WHERE m.record IS NOT NULL OR (c.record IS NOT NULL AND record % 7 <> 0)""",
+)
+def catchup_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest after catching up with the second half of the log: records of every seventh user are gone."""
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("log_id"), F.col("user_id").alias("record"))
+    top = changes.fence(log).first()["last"] or 0
+    early = log.where((F.col("log_id") <= top * 3 // 4) & (F.col("record") % 5 != 0))
+    manifest = early.groupBy("record").agg(F.max("log_id").alias("scanned_version")).select("*", F.lit("done").alias("state"), F.lit(0).alias("tries"))
+    here = log.where("record % 7 <> 0")
+    rescan = lambda asked: here.join(asked, "record", "left_semi").groupBy("record").agg(F.max("log_id").alias("version"))
+    return changes.catch_up(manifest, log, lambda: here, rescan, top // 2).manifest.select("record", "scanned_version", "state")
+
+
+@query(
+    "live_collision",
+    """SELECT min(c_custkey) IS NOT NULL AS used, CASE WHEN count(*) > 0 THEN '3' END AS dag FROM customer WHERE c_nationkey = 3 AND 'k' || (c_custkey % 97)::VARCHAR = 'k5' AND c_custkey <> 5""",
+)
+def live_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether another customer of nation 3 holds the code k5."""
+    customer = table(spark, sf_dir, "customer")
+    rows = _rows(customer, F.col("c_custkey"), dag=F.col("c_nationkey"), code=F.concat(F.lit("k"), F.col("c_custkey") % 97))
+    hit = access.collision(rows, R.Rule("unique", ("code",), scope="dag"), "code", {"code": " k5"}, "5", group="3")
+    return hit.agg((F.count("*") > 0).alias("used"), F.max("dag").alias("dag"))
+
+
+@query(
+    "rights_scan",
+    """SELECT c_custkey::VARCHAR AS record, 1 AS rule, 'balance' AS field, 'confirm' AS severity FROM customer WHERE NOT c_acctbal >= 0""",
+)
+def rights_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by the rules that a reader of form `money` may run: a rule whose condition reads form `person`, and a host on it, are dropped."""
+    rows = _rows(table(spark, sf_dir, "customer"), F.col("c_custkey"), balance=F.col("c_acctbal"), segment=F.col("c_mktsegment"))
+    dictionary = R.Dictionary({"balance": "text", "segment": "text"}, {"balance": "money", "segment": "person"})
+    negative = R.Rule("constraint", ("balance", "segment"), asserts="[balance]>=0", block="confirm")
+    rules, _ = access.readable([negative, R.Rule("required", ("balance",), when="[segment]='BUILDING'")], dictionary, {"money": "1", "person": "0"})
+    found = access.with_severity(R.scan(rows, rules, dictionary)[0], rules, dictionary)
+    return found.select(F.col("_record").alias("record"), "rule", "field", "severity")
+
+
+@query(
+    "single_context",
+    """SELECT o_orderkey::VARCHAR AS record, 1 AS instance, strftime(o_orderdate, '%Y-%m-%d') AS ordered, strftime(l_shipdate, '%Y-%m-%d') AS shipped
+       FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1 WHERE o_orderkey = 3 ORDER BY l_shipdate LIMIT 1""",
+)
+def single_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earliest item of line 1 of order 3 with its order's date, or the order alone if it has no such line."""
+    first = _date_rows(spark, sf_dir).where("record = 3").groupBy("record", "event_id", "repeat_key", "instance", "dag").agg(F.min("ordered").alias("ordered"), F.min("shipped").alias("shipped"))
+    found = access.single(first, ["ordered", "shipped"], "3", "1", "line", 1)
+    return found.select(F.col("_record").alias("record"), F.col("_instance").alias("instance"), "ordered", "shipped")
+
+
 @query("fence_bounds", "SELECT min(event_id) AS first, max(event_id) AS last FROM events")
 def fence_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.fence(table(spark, sf_dir, "events"), "event_id")

@@ -195,7 +195,7 @@ def rule_list(settings: dict[str, list], rows: list[dict]) -> list[Rule]:
 
 def revision(rule: Rule) -> str:
     """A hash of what a rule does: its fields, wording and notes are no part of it."""
-    kept = {k: v for k, v in asdict(rule).items() if k not in ("fields", "note", "message", "uid")}
+    kept = {k: v for k, v in asdict(rule).items() if k not in ("fields", "note", "message", "uid", "dropped")}
     return hashlib.sha256(json.dumps(kept, sort_keys=True).encode()).hexdigest()
 
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldwarden.operators.rules import Dictionary, Rule, row_local
+from fieldwarden.session import with_checkpoint_dir
 
-#: Rounds of catching up after which a run says that its records don't settle.
-ROUNDS = 4
+#: Rounds of catching up after which a run says that its records don't settle, and attempts to read a record before it counts as gone.
+ROUNDS, ATTEMPTS = 4, 3
+MANIFEST = "record string, scanned_version long, state string, tries int"
 
 
 def fence(log: DataFrame, offset: str = "log_id") -> DataFrame:
@@ -42,6 +44,55 @@ def classify(manifest: DataFrame, changed: DataFrame, present: DataFrame) -> Dat
     return joined.select("record", "version", change.otherwise("SETTLED").alias("change"))
 
 
+def settle(manifest: DataFrame, changes: DataFrame) -> DataFrame:
+    """The manifest (record, scanned_version, state, tries) after a look at its changes: NEW records are added and EDITED ones asked for
+    again, as 'pending'; GONE ones become 'tombstone'; the rest stays."""
+    joined = manifest.join(changes.select("record", "change"), "record", "full")
+    again = F.col("change").isin("NEW", "EDITED")
+    state = F.when(again, "pending").when(F.col("change") == "GONE", "tombstone").otherwise(F.col("state"))
+    kept = joined.where(F.col("state").isNotNull() | again)
+    return kept.select("record", "scanned_version", state.alias("state"), F.when(again, 0).otherwise(F.col("tries")).cast("int").alias("tries"))
+
+
+def after_read(manifest: DataFrame, read: DataFrame, attempts: int = ATTEMPTS) -> DataFrame:
+    """The manifest once pending records were read. read: record, version at which it was read. A record that was asked for and not found
+    stays pending, and is a tombstone at the last attempt."""
+    joined = manifest.join(read.select("record", "version", F.lit(True).alias("_read")), "record", "left")
+    asked, here = F.col("state") == "pending", F.coalesce("_read", F.lit(False))
+    tries = F.when(asked & ~here, F.col("tries") + 1).otherwise(F.col("tries"))
+    state = F.when(asked & here, "done").when(asked & (tries >= attempts), "tombstone").otherwise(F.col("state"))
+    version = F.when(asked & here, F.col("version")).otherwise(F.col("scanned_version"))
+    return joined.select("record", version.cast("long").alias("scanned_version"), state.alias("state"), tries.cast("int").alias("tries"))
+
+
+@dataclass(frozen=True)
+class CaughtUp:
+    manifest: DataFrame
+    fenced: bool  # all changes from the opening to the fence are covered
+    settled: bool
+    rounds: int
+
+
+def catch_up(manifest: DataFrame, log: DataFrame, present: Callable[[], DataFrame], rescan: Callable[[DataFrame], DataFrame], opened: int, rounds: int = ROUNDS) -> CaughtUp:
+    """Rescans what changed while a run was under way, until nothing is left or the rounds are used up.
+
+    The window is fixed: from the offset at which the run opened to the log's last one now. present() gives the records that exist, and
+    rescan(records) the records read and their versions; it writes their findings. The manifest of each round is cut by a checkpoint.
+    """
+    with_checkpoint_dir(manifest.sparkSession)
+    ends = fence(log).first()
+    if not retained(ends["first"], opened):
+        return CaughtUp(manifest, False, False, 0)
+    changed = window(log, opened, ends["last"]).checkpoint()
+    for number in range(rounds + 1):
+        manifest = settle(manifest, classify(manifest.where("state <> 'tombstone'"), changed, present())).checkpoint()
+        pending = manifest.where("state = 'pending'").select("record")
+        if pending.isEmpty():
+            return CaughtUp(manifest, True, True, number)
+        manifest = after_read(manifest, rescan(pending)).checkpoint()
+    return CaughtUp(manifest, False, False, rounds)
+
+
 def stable(before: DataFrame, after: DataFrame) -> DataFrame:
     """record, stable: whether its version (record, version) is the same before and after it was read."""
     return before.alias("b").join(after.alias("a"), "record", "left").select("record", F.col("b.version").eqNullSafe(F.col("a.version")).alias("stable"))
