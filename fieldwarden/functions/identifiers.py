@@ -7,6 +7,7 @@ A payload that is null, empty or outside the algorithm's alphabet has no check c
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -186,3 +187,37 @@ def suggestion(algorithm: str, value: Column, strip: str = STRIP) -> Column:
     """The check characters that a value should end in, for sources that are the whole normalized value."""
     norm = normalize(value, strip)
     return check_characters(algorithm, F.substr(norm, F.lit(1), F.greatest(F.length(norm) - ALGORITHMS[algorithm][2], F.lit(0))))
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """How identifiers get and show their check characters."""
+
+    algorithm: str = "none"
+    source: str = "normalized_id"
+    delimiter: str = "-"
+    strip: str = "-/ "
+    enabled: bool = True
+
+    @property
+    def active(self) -> bool:
+        return self.enabled and self.algorithm != "none"
+
+    def append(self, value: Column) -> Column:
+        return append_check(self.algorithm, value, self.source, self.strip, self.delimiter) if self.active else value
+
+    def validate(self, value: Column) -> Column:
+        return validate_id(self.algorithm, value, self.source, self.strip) if self.active else F.lit(True)
+
+
+#: Schemes by name: fixed values.
+SCHEMES = {"default": Scheme(DEFAULT), "none": Scheme(enabled=False)}
+
+
+def scheme(name: str | Scheme | None) -> Scheme:
+    """A scheme by its name; none without a name, an error for an unknown one."""
+    if isinstance(name, Scheme):
+        return name
+    if name is not None and name not in SCHEMES:
+        raise ValueError(f"unknown check scheme {name!r}")
+    return SCHEMES[name or "none"]

@@ -8,7 +8,7 @@ import hmac
 import pytest
 from pyspark.sql import functions as F
 
-from fieldwarden.functions import conditions, patterns, text
+from fieldwarden.functions import conditions, identifiers, patterns, text
 from fieldwarden.operators import contexts as C
 from fieldwarden.operators import reports, scans
 from fieldwarden.operators import rules as R
@@ -167,3 +167,12 @@ def test_watch(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
     changes.watch(stream, [R.Rule("constraint", ("age",), asserts="[age]>='18'")], dictionary, lambda f, n: seen.extend(f.collect()), f"{tmp_path}/checkpoint").awaitTermination(120)
     assert [(r._record, r._form, r.value) for r in seen] == [("r1", None, "9")]
+
+
+def test_schemes(spark):
+    own, none = identifiers.scheme("default"), identifiers.scheme(None)
+    assert own.active and not none.active and identifiers.scheme(own) is own
+    with pytest.raises(ValueError, match="unknown"):
+        identifiers.scheme("nope")
+    row = spark.createDataFrame([("0ABC/0000",)], "v string").select(own.append(F.col("v")).alias("a"), none.append(F.col("v")).alias("n"), own.validate(own.append(F.col("v"))).alias("ok"), own.validate(F.lit("0ABC0001X")).alias("bad")).first()
+    assert tuple(row) == ("0ABC/0000-H", "0ABC/0000", True, False)
