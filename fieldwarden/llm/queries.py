@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwarden.llm import bpe, digest, html, langid, lmscore, mixing, mpeg, pii, simhash, toxicity
+from fieldwarden.llm import bpe, conversations, digest, html, langid, lmscore, mixing, mpeg, pii, simhash, toxicity, wordbpe
 from fieldwarden.session import table
 
 
@@ -76,6 +76,18 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.store(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audit(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
+#: The vocabulary of op12; its path is a parameter of the operator.
+WORDS = "word_bpe_49k.json"
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordbpe.tokens(table(spark, sf_dir, "documents"), wordbpe.load(public_tokenizers.path(WORDS)))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_source_mix": op2_source_mix,
@@ -87,5 +99,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_lm_cross_entropy": op9_lm_cross_entropy,
     "op10_mpeg_audio": op10_mpeg_audio,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_word_bpe": op12_word_bpe,
 }
 ORACLE_SQL: dict[str, str] = {"op2_source_mix": mixing.SQL}
