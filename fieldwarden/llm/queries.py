@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwarden.llm import bpe, conversations, digest, html, langid, lmscore, mixing, mpeg, pii, simhash, toxicity, wordbpe
+from fieldwarden.llm import alignment, bpe, conversations, digest, html, langid, lmscore, mixing, mpeg, pii, simhash, toxicity, wordbpe
 from fieldwarden.session import table
 
 
@@ -88,6 +88,15 @@ def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.tokens(table(spark, sf_dir, "documents"), wordbpe.load(public_tokenizers.path(WORDS)))
 
 
+#: The vocabularies of op13, sides A and B; their paths are parameters of the operator.
+SIDES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = map(public_tokenizers.path, SIDES)
+    return alignment.align(table(spark, sf_dir, "documents"), alignment.load(a, b, public_tokenizers.PATTERN))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_source_mix": op2_source_mix,
@@ -101,5 +110,6 @@ QUERIES = {
     "op10_mpeg_audio": op10_mpeg_audio,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_word_bpe": op12_word_bpe,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 ORACLE_SQL: dict[str, str] = {"op2_source_mix": mixing.SQL}
