@@ -7,7 +7,7 @@ the sample's texts with label 1. Of these the driver first drops those that stan
 which is most of the selection; the L1 term and the per-coordinate rates choose among the rest. A few thousand weights at most
 are left, which are broadcast. Scoring is one pass without a shuffle.
 
-Null and empty texts get the score of the bias alone. Repeated rows are scored alike. Labels with a
+Null and empty texts get the score of the bias alone, the share of label 1 in the sample, at most a half. Repeated rows are scored alike. Labels with a
 null doc_id or a null label are not used; of several labels of one doc_id the greatest counts. With no
 usable label every score is 0.5. Extra columns of the input are ignored.
 """
@@ -96,33 +96,33 @@ def fit_ftrl(
 ) -> Model:
     """Per-coordinate FTRL-proximal over rows of (label, places of the row's features in keys).
 
-    A row with label 1 weighs `up` rows with label 0. `l1` is for 14,000 rows or more; fewer rows have smaller
-    gradient sums, so it shrinks with them.
+    A row with label 1 weighs `up` rows with label 0. The bias is not fitted: it is the share of label 1, or a half if that is more, which is thus the
+    score of a text without known features. `l1` is for 14,000 rows or more and `evidence` for 2,200 or more; fewer rows have smaller
+    gradient sums and ratios, so both shrink with them.
     """
     if len({y for y, _ in rows}) < 2:
         return NOTHING
-    keys, rows = _telling(keys, rows, evidence)
-    coded = [(y, np.append(x, len(keys))) for y, x in rows]  # the last coordinate is the bias, without L1
-    positive = up * sum(y for y, _ in rows) / (up * sum(y for y, _ in rows) + sum(1 - y for y, _ in rows))
-    z, n = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
-    shrink = np.append(np.full(len(keys), min(l1, 1 + l1 * len(rows) / 14_000)), 0.0)
-    z[-1] = -np.log(positive / (1 - positive)) * (beta / alpha + l2)
+    keys, rows = _telling(keys, rows, min(evidence, 4 + 1.3 * np.log(len(rows))))
+    ones = sum(y for y, _ in rows)
+    bias = min(0.0, float(np.log(ones / (len(rows) - ones))))
+    z, n = np.zeros(len(keys)), np.zeros(len(keys))
+    shrink = min(l1, 1 + l1 * len(rows) / 14_000)
 
-    def weights(zx: np.ndarray, nx: np.ndarray, off: np.ndarray) -> np.ndarray:
-        return np.where(np.abs(zx) <= off, 0.0, -(zx - np.sign(zx) * off) / ((beta + np.sqrt(nx)) / alpha + l2))
+    def weights(zx: np.ndarray, nx: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(zx) <= shrink, 0.0, -(zx - np.sign(zx) * shrink) / ((beta + np.sqrt(nx)) / alpha + l2))
 
     order = np.random.default_rng(7)
     for _ in range(epochs):
-        for k in order.permutation(len(coded)):
-            y, x = coded[k]
+        for k in order.permutation(len(rows)):
+            y, x = rows[k]
             zx, nx = z[x], n[x]
-            w = weights(zx, nx, shrink[x])
-            g = (1.0 / (1.0 + np.exp(-np.clip(w.sum(), -30, 30))) - y) * (up if y else 1.0)
+            w = weights(zx, nx)
+            g = (1.0 / (1.0 + np.exp(-np.clip(bias + w.sum(), -30, 30))) - y) * (up if y else 1.0)
             z[x] = zx + g - (np.sqrt(nx + g * g) - np.sqrt(nx)) / alpha * w
             n[x] = nx + g * g
-    w = weights(z, n, shrink)
-    kept = np.flatnonzero(w[:-1])
-    return Model(keys[kept], w[kept].astype(np.float32), float(w[-1]))
+    w = weights(z, n)
+    kept = np.flatnonzero(w)
+    return Model(keys[kept], w[kept].astype(np.float32), bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_positive: int = MAX_POSITIVE, least: int = 3) -> Model:

@@ -42,6 +42,25 @@ def test_learns_and_defines_edge_cases(spark):
     assert {r.score for r in T.score(docs, none).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("every", [2, 8])
+def test_few_labels_leave_texts_without_known_words_alone(spark, every):
+    draw = np.random.default_rng(every)
+    words = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(k, " ".join(draw.choice(words, 40)) + " nasty" * (k % every == 0)) for k in range(150)] + [(900, ""), (901, None)], "doc_id long, text string")
+    model = T.train(docs, spark.createDataFrame([(k, int(k % every == 0)) for k in range(50)], "doc_id long, label int"))
+    got = {r.doc_id: r for r in T.score(docs, model).collect()}
+    assert got[900].score == got[901].score == pytest.approx(np.ceil(50 / every) / 50)
+    assert sum(got[k].predicted for k in range(50, 150) if k % every) <= 5
+    assert sum(got[k].predicted for k in range(50, 150) if k % every == 0) >= 0.8 * 100 / every
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_predicted_share_is_near_the_label_share(spark, sf):
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+    got = queries.op3_toxicity(spark, f"/root/testdata/{sf}").join(labels, "doc_id").agg(F.avg("predicted").alias("said"), F.avg("toxic").alias("told")).first()
+    assert 0 < got.said and abs(got.said - got.told) < 0.08
+
+
 def test_a_very_long_text_and_large_ids(spark):
     model = T.Model(np.sort(T.features(["bad"])[0]), np.array([9.0], np.float32), -4.0)
     big = 9007199254740993
