@@ -35,7 +35,7 @@ from tokenizers import Tokenizer
 
 from fieldwarden.llm.bpe import CACHE, splitter
 from fieldwarden.llm.hashing import chunks
-from fieldwarden.llm.wordbpe import byte_letters, unknown
+from fieldwarden.llm.wordbpe import byte_letters, kind
 from fieldwarden.session import shuffle_partitions, with_checkpoint_dir
 
 #: Characters of a chunk at least and documents at most, and characters that are aligned at a time.
@@ -116,7 +116,7 @@ class Coder:
         self.odd: tuple[set[str], set[str]] = (set(), set())  # known pieces that don't give back their bytes
 
     def pieces(self, text: str) -> list[str]:
-        if not text.isascii() and unknown()(text):
+        if kind(text) == 2:
             return [text[x:y] for _, (x, y) in self.a.pre_tokenizer.pre_tokenize_str(text)]
         return self.split(text)
 
