@@ -39,10 +39,10 @@ def condition_fields(rule: R.Rule) -> set[str]:
 def on_form(rules: list[R.Rule], dictionary: R.Dictionary, form: str) -> list[R.Rule]:
     """The rules with a field on a form, with those fields only; rules that can't be configured stay, at their ordinals."""
     keep = lambda r: r if r.error else replace(r, fields=tuple(f for f in r.fields if dictionary.forms.get(f) == form))
-    return [k if k.fields or k.error else _dropped(k) for k in map(keep, rules)]
+    return [k if k.fields or k.error else dropped(k) for k in map(keep, rules)]
 
 
-def _dropped(rule: R.Rule) -> R.Rule:
+def dropped(rule: R.Rule) -> R.Rule:
     """A rule that is applied nowhere and holds its place, so that the ordinals of the others stay."""
     return replace(rule, type="required", fields=("",), when="", asserts="", branches=(), error="", dropped=True)
 
@@ -73,7 +73,7 @@ def readable(rules: list[R.Rule], dictionary: R.Dictionary, rights: Rights) -> t
             hosts = ", ".join(sorted(forms(set(r.fields) - set(kept))))
             why = f"the reader may not see {hosts}, so the rule was not evaluated there"
         problems += [(k, f, why) for f in r.fields if f not in kept]
-        out.append(replace(r, fields=kept) if kept else _dropped(r))
+        out.append(replace(r, fields=kept) if kept else dropped(r))
     return out, problems
 
 
@@ -81,7 +81,7 @@ def confined(rules: list[R.Rule], group: str | None) -> tuple[list[R.Rule], list
     """Without rules that a scan of one group can't judge: uniqueness across the project. They become problems."""
     whole = lambda r: group is not None and not r.error and r.type == "unique" and "project" in {r.scope, *(b.get("scope", r.scope) for b in r.branches)}
     why = "a duplicate in another group can't be seen from a scan of one group, so the rule was not evaluated"
-    return [_dropped(r) if whole(r) else r for r in rules], [(k, f, why) for k, r in enumerate(rules, 1) if whole(r) for f in r.fields]
+    return [dropped(r) if whole(r) else r for r in rules], [(k, f, why) for k, r in enumerate(rules, 1) if whole(r) for f in r.fields]
 
 
 def dependents(rules: list[R.Rule], dictionary: R.Dictionary, form: str) -> list[int]:

@@ -76,5 +76,7 @@ def with_states(found: DataFrame, forms: Mapping[str, str], event_forms: Mapping
         if has:
             state = state.when(F.col("_event").isin(many) & (F.coalesce("_form", F.lit("")) != form), "ambiguous") if many else state
         entries.append(F.struct(F.lit(name).alias("key"), state.alias("value")))
+    if not entries:
+        return found.withColumn("_states", F.create_map().cast("map<string,string>"))
     states = F.map_from_entries(F.filter(F.array(*entries), lambda x: x["value"].isNotNull()))
     return found.withColumn("_states", states)

@@ -294,6 +294,11 @@ def row_local(contexts: DataFrame, rules: list[Rule], dictionary: Dictionary, ev
     return _items(contexts, rules, dictionary, events, False).drop("key")
 
 
+def candidates(contexts: DataFrame, rules: list[Rule], dictionary: Dictionary, events: Events | None = None) -> DataFrame:
+    """The values that uniqueness rules judge, with what must not be the same in two records as `key`, and problems as type 'problem'."""
+    return _items(contexts, rules, dictionary, events, True)
+
+
 def unique(contexts: DataFrame, rules: list[Rule], dictionary: Dictionary, events: Events | None = None) -> DataFrame:
     """Findings of values that two or more records share, for all uniqueness rules and fields at once, and problems as type 'problem'.
 

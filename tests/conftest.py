@@ -17,3 +17,9 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def rows_of():
+    """Rows of a frame as sorted texts, whatever their order and nulls."""
+    return lambda frame: sorted(map(str, frame.collect()))
