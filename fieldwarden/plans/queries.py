@@ -6,15 +6,16 @@ number is the offset of a change log.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwarden.functions import comparison, identifiers, text
-from fieldwarden.operators import access, contexts, pooled, reports, rollups, scans
+from fieldwarden.operators import access, contexts, incremental, pooled, reports, rollups, scans
 from fieldwarden.operators import rules as R
-from fieldwarden.session import table
+from fieldwarden.session import table, with_checkpoint_dir
 from fieldwarden.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -614,6 +615,100 @@ def single_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_record").alias("record"), F.col("_instance").alias("instance"), "ordered", "shipped")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which all machines share."""
+    return f"{with_checkpoint_dir(spark).sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+#: Customers whose code changes in the second round, who go in the third, and whose code is theirs alone in the fourth.
+_ROUNDS = ("c_custkey % 10 = 3", "c_custkey % 15 = 4", "c_custkey % 20 = 7")
+_CODE = f"CASE WHEN {_ROUNDS[2]} THEN 'own' || c_custkey::VARCHAR WHEN {_ROUNDS[0]} THEN 'm' || (c_custkey % 41)::VARCHAR ELSE 'k' || (c_custkey % 997)::VARCHAR END"
+
+
+@query(
+    "unique_catchup",
+    f"""WITH now AS (SELECT c_custkey, {_CODE} AS code FROM customer WHERE NOT {_ROUNDS[1]})
+        SELECT c_custkey::VARCHAR AS record, code AS value FROM now WHERE code IN (SELECT code FROM now GROUP BY code HAVING count(*) > 1)""",
+)
+def unique_catchup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uniqueness kept up over four rounds of changes: what holds at the end is what a scan of all customers would find."""
+    c = table(spark, sf_dir, "customer")
+    number = F.col("c_custkey")
+
+    def contexts_of(code: Column, test: str = "true") -> DataFrame:
+        return _rows(c.where(test), number, code=code)
+
+    first = F.concat(F.lit("k"), number % 997)
+    second = F.when(F.expr(_ROUNDS[0]), F.concat(F.lit("m"), number % 41)).otherwise(first)
+    own = contexts_of(F.concat(F.lit("own"), number), f"{_ROUNDS[2]} and not {_ROUNDS[1]}")
+    rounds = [contexts_of(first), contexts_of(second, _ROUNDS[0]), contexts_of(first, _ROUNDS[1]), own]
+    given = [(r, r.limit(0) if k == 2 else r) for k, r in enumerate(rounds)]
+    state = incremental.UniqueState(spark, _folder(spark, "unique"), buckets=64, slices=4)
+    found = incremental.keep_up(state, given, [R.Rule("unique", ("code",))], _dictionary(rounds[0]))
+    return found.select(F.col("_record").alias("record"), "value")
+
+
+@query(
+    "stale_epochs",
+    """WITH groups AS (SELECT user_id AS g, max(event_id) % 3 + 1 AS epoch FROM events WHERE user_id % 11 <> 0 GROUP BY user_id),
+       staged AS (SELECT user_id AS g, event_id % 3 + 1 AS stage_epoch, event_id FROM events)
+       SELECT event_id, coalesce(stage_epoch = epoch, false) AS kept FROM staged LEFT JOIN groups USING (g)""",
+)
+def stale_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staged findings by group and epoch: those of the group's present epoch can be published, all others are swept, also those of groups that are gone."""
+    events = table(spark, sf_dir, "events")
+    epoch = (F.col("event_id") % 3 + 1).alias("stage_epoch")
+    groups = events.where("user_id % 11 <> 0").groupBy(F.col("user_id").alias("g")).agg((F.max("event_id") % 3 + 1).alias("candidate_epoch"))
+    kept, swept = incremental.stale(events.select(F.col("user_id").alias("g"), epoch, "event_id"), groups, ["g"])
+    return kept.select("event_id", F.lit(True).alias("kept")).unionByName(swept.select("event_id", F.lit(False).alias("kept")))
+
+
+@query(
+    "retracted_findings",
+    """WITH before AS (SELECT c_custkey, c_custkey % 4 AS rule FROM customer WHERE c_custkey % 4 < 3), now AS (SELECT c_custkey, c_custkey % 3 AS rule FROM customer WHERE c_acctbal > 0)
+       SELECT c_custkey::VARCHAR AS record, rule, 'added' AS change FROM (SELECT * FROM now EXCEPT SELECT * FROM before)
+       UNION ALL SELECT c_custkey::VARCHAR, rule, 'retracted' FROM (SELECT * FROM before EXCEPT SELECT * FROM now)""",
+)
+def retracted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a later scan adds to published findings and takes away from them."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("record"), "c_custkey", "c_acctbal")
+    before = c.where("c_custkey % 4 < 3").selectExpr("record", "c_custkey % 4 AS rule")
+    added, gone = incremental.retract(before, c.where("c_acctbal > 0").selectExpr("record", "c_custkey % 3 AS rule"), ["record", "rule"])
+    return added.withColumn("change", F.lit("added")).unionByName(gone.withColumn("change", F.lit("retracted")))
+
+
+@query(
+    "scan_barred",
+    """SELECT f.n AS findings, 2::BIGINT AS problems, o.records, CASE WHEN f.n > 0 THEN 'no' ELSE 'blocked' END AS outcome
+       FROM (SELECT count(*) FILTER (WHERE false) AS n FROM orders) f, (SELECT count(*) AS records FROM orders) o""",
+)
+def scan_barred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan by a reader who may see no form: nothing is judged, each rule is a problem, and the records that were there count as seen."""
+    rules = [R.Rule("required", ("ordered",)), R.Rule("constraint", ("shipped",), asserts="[shipped]>='1995'")]
+    orders = _date_rows(spark, sf_dir).where("repeat_key is null")
+    done = scans.run_scan(orders, rules, _PROJECT, _EVENTS, rights={"order": "0"})
+    counts = done.findings.agg(F.count("*").alias("findings")).crossJoin(done.problems.agg(F.count("*").alias("problems")))  # one row each
+    return counts.withColumns({"records": F.lit(done.records).cast("long"), "outcome": F.lit(done.outcome)})
+
+
+@query(
+    "watch_hosted",
+    """WITH f AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS ordered FROM orders)
+       SELECT k::VARCHAR AS record, 1 AS rule, ordered AS value FROM f WHERE ordered < '1993-01-01'
+       UNION ALL SELECT k::VARCHAR, 2, ordered FROM f WHERE ordered IN (SELECT ordered FROM f GROUP BY ordered HAVING count(DISTINCT k) > 1)""",
+)
+def watch_hosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts that come as a stream of several batches, base rows and instances in any of them: each base value is judged once, on its base row, and
+    uniqueness among the records of all batches."""
+    home = _folder(spark, "watch")
+    _dates(spark, sf_dir).repartition(6, "_record", "_form").write.parquet(f"{home}/contexts")
+    stream = spark.readStream.schema(spark.read.parquet(f"{home}/contexts").schema).option("maxFilesPerTrigger", 3).parquet(f"{home}/contexts")
+    rules = [R.Rule("constraint", ("ordered",), asserts="[ordered]>='1993-01-01'"), R.Rule("unique", ("ordered",))]
+    write = lambda frame, number: frame.write.mode("overwrite").parquet(f"{home}/items/batch={number}")
+    changes.watch(stream, rules, _PROJECT, write, f"{home}/state", _EVENTS).awaitTermination()
+    return spark.read.parquet(f"{home}/items").where("type <> 'problem'").select(F.col("_record").alias("record"), "rule", "value")
+
+
 @query("fence_bounds", "SELECT min(event_id) AS first, max(event_id) AS last FROM events")
 def fence_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.fence(table(spark, sf_dir, "events"), "event_id")

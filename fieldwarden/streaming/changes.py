@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
-from fieldwarden.operators.rules import Dictionary, Rule, row_local
+from fieldwarden.operators.contexts import Events, with_states
+from fieldwarden.operators.rules import PLACE, Dictionary, Rule, candidates, read_set, row_local
 from fieldwarden.session import with_checkpoint_dir
 
 #: Rounds of catching up after which a run says that its records don't settle, and attempts to read a record before it counts as gone.
@@ -152,10 +156,48 @@ def outcome(run: Run) -> str:
     return "clean" if run.findings == 0 else "complete"
 
 
-def watch(stream: DataFrame, rules: list[Rule], dictionary: Dictionary, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Row-local rules over a stream of contexts; each batch's findings go to the sink. Uniqueness needs a whole scan."""
-
-    def batch(frame: DataFrame, number: int) -> None:
-        sink(row_local(frame, rules, dictionary), number)
-
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+ITEMS = f"{PLACE}, rule int, type string, field string, reason string, value string"
+
+
+def _first_of_each(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The rows of a key once two records hold it: those that waited, and all that come after. The state is the rows of one record at most."""
+    record, waiting, shared = state.get if state.exists else (None, "[]", False)
+    for part in parts:
+        rows = part[list(WAITING)]
+        if not shared:
+            names = set(rows["_record"]) | ({record} if record is not None else set())
+            waits = json.loads(waiting)
+            if len(names) < 2:
+                record, waiting = next(iter(names)), json.dumps(waits + json.loads(rows.to_json(orient="values")))
+                continue
+            shared, waiting = True, "[]"
+            rows = pd.concat([pd.DataFrame(waits, columns=WAITING).astype(rows.dtypes.to_dict()), rows]) if waits else rows
+        yield rows
+    state.update((record, waiting, shared))
+
+
+WAITING = ("_record", "_event", "_instance", "_form", "_dag", "rule", "type", "field", "reason", "value")
+
+
+def unique_stream(stream: DataFrame, rules: list[Rule], dictionary: Dictionary, events: Events | None = None) -> DataFrame:
+    """Findings of uniqueness over a stream of contexts, each of which comes once: as soon as a second record has a key, the findings of all its rows
+    so far are given, and afterwards that of each row that comes. State is kept by (rule, field, key): the rows of the first record, until there is a second."""
+    items = candidates(stream, rules, dictionary, events)
+    problems = items.where("type = 'problem'").select(*WAITING)
+    keyed = items.where("type = 'unique'").withColumn("key", F.to_json("key")).select(*WAITING, "key")
+    found = keyed.groupBy("rule", "field", "key").applyInPandasWithState(_first_of_each, ITEMS, "record string, waiting string, shared boolean", "append", "NoTimeout")
+    return found.unionByName(problems)
+
+
+def watch(stream: DataFrame, rules: list[Rule], dictionary: Dictionary, sink: Callable[[DataFrame, int], None], checkpoint: str, events: Events | None = None) -> StreamingQuery:
+    """All rules over a stream of contexts; the items (findings, and problems as type 'problem') that a batch gives go to the sink, which may get a batch
+    again after a failure and then replaces it. With events, rules are judged where their fields live. All batches together give what a scan of all contexts gives."""
+    if events is not None and events.forms:
+        stream = with_states(stream, {f: dictionary.forms[f] for f in read_set(rules) if dictionary.forms.get(f)}, events.forms, set(events.repeating))
+    live = [r for r in rules if not r.dropped]
+    parts = [row_local(stream, rules, dictionary, events)] if any(r.type != "unique" or r.error for r in live) else []
+    parts += [unique_stream(stream, rules, dictionary, events)] if any(r.type == "unique" and not r.error for r in live) else []
+    if not parts:
+        raise ValueError("no rule to watch for")
+    items = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return items.writeStream.foreachBatch(sink).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
