@@ -1,18 +1,21 @@
 """Pooled identifiers: a field that holds several IDs run together is cut into IDs and junk.
 
-All of it is column expressions: which lengths make a valid ID at each position, the best choice among them from the last
-position to the first, and the walk that writes the pieces.
+Values are brought into their form by column expressions and cut in Arrow batches: which lengths make a valid ID at each position and the best
+choice among them are found for all texts of a batch at once; only the pieces are written text by text.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldwarden.functions import identifiers, patterns
+from fieldwarden.functions import identifiers, patterns, windows
 
 MOST_LENGTH, MOST_LENGTHS, MOST_KEEP, WORK, MOST_TEXT, LEAST_TEXT = 64, 32, 64, 2_000_000, 4096, 256
 
@@ -76,6 +79,11 @@ class Pool:
 
 
 PIECE = "struct<type:string,text:string,valid:boolean>"
+#: Positions of a batch's texts, padded to the longest, that are cut at a time.
+PLACES = 1 << 21
+# A cut's score in one number that grows with its worth: IDs, then few runs of junk, then a short longest ID, then junk, then junk here, then a short ID here.
+_IDS, _RUNS, _LONGEST, _JUNK = 1 << 40, 1 << 27, 1 << 20, 1 << 7
+_NONE = 8191 * _RUNS + 64 * _LONGEST + 64
 
 
 def _let(value: Column, use) -> Column:
@@ -83,75 +91,114 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def _moves(length: Column, places: Column, valid: Column) -> Column:
-    """By position, the length of the ID to take there, 0 for a character of junk.
-
-    The best cut has most IDs, then fewest runs of junk, then the shortest longest ID, then most junk; ties keep junk, then the
-    shorter ID. Scores are structs that compare in this order, found from the last position to the first.
-    """
-    score = lambda ids, runs, longest, junk, move: F.struct(ids.alias("ids"), runs.alias("runs"), longest.alias("longest"), junk.alias("junk"), move.alias("move"))
-    zero = F.lit(0)
-
-    def step(done: Column, i: Column) -> Column:
-        at = lambda j: F.get(done, length - j)
-        after = at(i + 1)
-        run = F.when((i + 1 == length) | (after["move"] < 0), 1).otherwise(0)
-        junk = score(after["ids"], after["runs"] - run, after["longest"], after["junk"] + 1, zero)
-        ids = F.transform(F.get(valid, i), lambda n: score(at(i + n)["ids"] + 1, at(i + n)["runs"], F.least(at(i + n)["longest"], -n), at(i + n)["junk"], -n))
-        return F.concat(done, F.array(F.array_max(F.concat(F.array(junk), ids))))
-
-    scores = F.aggregate(F.reverse(places), F.array(score(zero, zero, zero, zero, zero)), step)
-    return F.transform(F.slice(F.reverse(scores), F.lit(1), length), lambda s: -s["move"])  # the scores once, not once a position
-
-
-def _pieces(text: Column, places: Column, moves: Column, hits: Column) -> Column:
-    """The pieces of a text by its moves; in junk, what looks like an ID is one that fails its check."""
-    piece = lambda kind, words, good: F.struct(F.lit(kind).alias("type"), words.alias("text"), F.lit(good).cast("boolean").alias("valid"))
-
-    def step(state: Column, i: Column) -> Column:
-        move, hit, out = F.get(moves, i), F.get(hits, i), state["out"]
-        last = F.try_element_at(out, F.lit(-1))
-        rest = F.coalesce(F.array_position(F.transform(F.slice(moves, i + 1, F.length(text) - i), lambda m: m > 0), True).cast("int"), F.lit(0))
-        room = F.when(rest > 0, rest - 1).otherwise(F.length(text) - i)
-        take = lambda size: F.substr(text, i + 1, size)
-        add = lambda p, size: F.struct(F.concat(out, F.array(p)).alias("out"), (i + size).cast("int").alias("next"))
-        longer = F.struct(F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(piece("junk", F.concat(last["text"], take(F.lit(1))), None))).alias("out"), (i + 1).cast("int").alias("next"))
-        return (
-            F.when(i < state["next"], state).when(move > 0, add(piece("id", take(move), True), move))
-            .when((hit > 0) & (hit <= room), add(piece("id", take(hit), False), hit))
-            .when(F.coalesce(last["type"] == "junk", F.lit(False)), longer).otherwise(add(piece("junk", take(F.lit(1)), None), F.lit(1)))
-        )
-
-    start = F.struct(F.array().cast(f"array<{PIECE}>").alias("out"), F.lit(0).alias("next"))
-    return F.aggregate(places, start, step, lambda s: s["out"])
+class Cutter:
+    """Cuts many texts at once: check sums over all windows of a length together, and the best cut of all texts by one dynamic programme."""
+
+    def __init__(self, pool: Pool):
+        self.pool, self.sizes = pool, pool.sizes()
+        self.whole = re.compile(patterns.body(pool.pattern), re.ASCII).fullmatch if pool.pattern else None
+        self.stripped = np.zeros(128, bool)
+        if pool.checks:  # what is stripped once it is in upper case
+            self.stripped[[ord(c) for c in pool.strip if ord(c) < 128 and c == c.upper()]] = True
+
+    def valid(self, texts: list[str]) -> np.ndarray:
+        """By length of an ID, text and position, whether an ID of that length begins there."""
+        raw = np.minimum(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), 127)  # no alphabet has others
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        starts = np.cumsum(lengths) - lengths
+        owner, place = np.repeat(np.arange(len(texts)), lengths), np.arange(len(raw)) - np.repeat(starts, lengths)
+        plain = raw[~self.stripped[raw]]
+        before = np.append(0, np.cumsum(~self.stripped[raw]))  # characters that count before each
+        out = np.zeros((len(self.sizes), len(texts), int(lengths.max(initial=0)) + 1), bool)
+        for k, size in enumerate(self.sizes):
+            at = np.flatnonzero(place + size <= lengths[owner])
+            if self.pool.checks:
+                at = at[windows.valid(self.pool.algorithm, plain, before[at], before[at + size], self.pool.source)]
+            if self.whole:
+                at = at[np.fromiter((bool(self.whole(texts[t][i : i + size])) for t, i in zip(owner[at].tolist(), place[at].tolist(), strict=True)), bool, len(at))]
+            out[k, owner[at], place[at]] = True
+        return out
+
+    def moves(self, texts: list[str]) -> list[list[int]]:
+        """By position, the length of the ID to take there, 0 for a character of junk.
+
+        The best cut has most IDs, then fewest runs of junk, then the shortest longest ID, then most junk; ties keep junk, then the
+        shorter ID. It is found from the last position to the first.
+        """
+        valid = self.valid(texts)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        best = np.full((valid.shape[2] + 1, len(texts)), _NONE)  # by characters from the end
+        for left in range(1, valid.shape[2]):
+            own = np.flatnonzero(lengths >= left)
+            at = lengths[own] - left
+            after = best[left - 1, own]
+            opens = (left == 1) | (after % 128 < 64)
+            score = after - after % 128 + 64 + _JUNK - np.where(opens, _RUNS, 0)
+            for k, size in enumerate(self.sizes):
+                if size > left:
+                    break
+                rest = best[left - size, own]
+                longest = rest // _LONGEST % 128
+                taken = rest - rest % 128 + 64 - size + _IDS - np.maximum(longest - (64 - size), 0) * _LONGEST
+                score = np.where(valid[k, own, at], np.maximum(score, taken), score)
+            best[left, own] = score
+        moved = 64 - best % 128
+        return [moved[n:0:-1, t].tolist() for t, n in enumerate(lengths.tolist())]
+
+    def pieces(self, text: str, moves: list[int]) -> list[tuple[str, str, bool | None]]:
+        """The pieces of a text by its moves; in junk, what looks like an ID is one that fails its check."""
+        out: list[tuple[str, str, bool | None]] = []
+        i, junk, ends = 0, 0, len(text)
+        following = [k for k, m in enumerate(moves) if m > 0]
+        following.reverse()
+
+        def close(to: int) -> None:
+            if junk < to:
+                out.append(("junk", text[junk:to], None))
+
+        while i < ends:
+            while following and following[-1] <= i - 1:
+                following.pop()
+            size, good = moves[i], True
+            if not size and self.whole and self.pool.checks:
+                room = (following[-1] if following else ends) - i
+                size, good = next((s for s in range(self.sizes[0], min(self.sizes[-1], room) + 1) if self.whole(text[i : i + s])), 0), False
+            if size:
+                close(i)
+                out.append(("id", text[i : i + size], good))
+                junk = i + size
+            i += size or 1
+        close(ends)
+        return out
+
+    def cut(self, texts: list[str | None]) -> list[list[tuple] | None]:
+        """The pieces of each text, by runs of texts of about one length, so that little is padded."""
+        order = sorted((k for k, t in enumerate(texts) if t is not None), key=lambda k: len(texts[k]))
+        out: list[list[tuple] | None] = [None] * len(texts)
+        while order:
+            size = max(1, PLACES // (len(texts[order[-1]]) + 2))
+            run, order = order[-size:], order[:-size]
+            own = [texts[k] for k in run]
+            for k, t, m in zip(run, own, self.moves(own), strict=True):
+                out[k] = self.pieces(t, m)
+        return out
 
 
 def segments(value: Column, pool: Pool) -> Column:
     """The pieces of a value in order; null if it is null or longer than the pool's bound on work."""
-    sizes = pool.sizes()
-    whole = rf"\A(?:{patterns.body(pool.pattern or '')})\z"
-
-    def verifies(piece: Column) -> Column:
-        ok = piece.rlike(whole) if pool.pattern else F.lit(True)
-        return ok & identifiers.validate_id(pool.algorithm, piece, pool.source, pool.strip) if pool.checks else ok
-
-    def cut(text: Column) -> Column:
-        places = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1)).otherwise(F.array().cast("array<int>"))
-        fit = lambda i, s: i + s <= F.length(text)
-        valid = F.transform(places, lambda i: F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: fit(i, s) & verifies(F.substr(text, i + 1, s))))
-        hits = F.transform(places, lambda i: F.lit(0))
-        if pool.pattern and pool.checks:
-            spans = F.sequence(F.lit(sizes[0]), F.lit(sizes[-1]))
-            hits = F.transform(places, lambda i: F.coalesce(F.get(F.filter(spans, lambda s: fit(i, s) & F.substr(text, i + 1, s).rlike(whole)), 0), F.lit(0)))
-        known = F.struct(F.length(text).alias("length"), places.alias("places"), valid.alias("valid"), hits.alias("hits"))
-
-        def walk(k: Column) -> Column:
-            return _let(_moves(k["length"], k["places"], k["valid"]), lambda moves: _pieces(text, k["places"], moves, k["hits"]))
-
-        return _let(known, walk)
-
-    kept = F.when(F.length(value) <= pool.longest_text(), identifiers.normalize(value, "", keep_only=pool.kept()))
-    return F.when(kept.isNotNull(), _let(kept, cut))
+
+    @F.arrow_udf(f"array<{PIECE}>")
+    def cut(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        cutter = Cutter(pool)
+        for texts in parts:
+            made = cutter.cut(texts.to_pylist())
+            flat = [p for own in made if own for p in own]
+            columns = [pa.array([p[k] for p in flat], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.bool_()))]
+            ends = np.cumsum([0, *(len(own or ()) for own in made)])
+            pieces = pa.StructArray.from_arrays(columns, ["type", "text", "valid"])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces, mask=pa.array([own is None for own in made]))
+
+    return cut(F.when(F.length(value) <= pool.longest_text(), identifiers.normalize(value, "", keep_only=pool.kept())))
 
 
 def reasons(cut: Column, pool: Pool) -> Column:
