@@ -9,7 +9,7 @@ and run of `COUNTED` chunks, which adds them into a dense block of the stripe's
 its id's best count. The counts come back to the links: a task has a run of stripes and `SCORED` chunks, and their counts as far as these stripes go. So no id is hot: no task
 has more than its chunks' links of it, however many there are in the corpus, and what is sent back is 16 rows a chunk. Nothing but ids' tables is broadcast.
 
-Distinct pieces of side A's pattern and distinct words of side B (no piece of its vocabulary goes on past a space) are encoded once in a worker's
+Distinct pieces of side A's pattern and distinct words of side B (no piece of its vocabulary goes on past a space or over a line's end) are encoded once in a worker's
 bounded cache. Texts that are null or empty, or whose tokens don't give back the bytes, have no tokens: zeros and an empty hash. Ids may be of any type, null or repeated; extra
 columns are ignored. An empty table gives no rows. Memory grows with the longest text.
 """
@@ -20,6 +20,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +36,7 @@ from tokenizers import Tokenizer
 
 from fieldwarden.llm.bpe import CACHE, splitter
 from fieldwarden.llm.hashing import chunks
-from fieldwarden.llm.wordbpe import byte_letters, kind
+from fieldwarden.llm.wordbpe import byte_letters, kind, plain_splitter
 from fieldwarden.session import shuffle_partitions, with_checkpoint_dir
 
 #: Characters of a chunk at least and documents at most, and characters that are aligned at a time.
@@ -90,7 +91,7 @@ class Aligned:
 
 
 class Coder:
-    def __init__(self, v: Vocabularies, limit: int = CACHE):
+    def __init__(self, v: Vocabularies, limit: int = 2 * CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         spec = json.loads(v.a)
         cutter = spec["pre_tokenizer"]
@@ -98,15 +99,15 @@ class Coder:
             raise ValueError("side A is not a plain byte-level vocabulary")
         self.a, self.b = Tokenizer.from_str(v.a), SentencePieceProcessor(model_proto=v.b)
         self.a.encode_special_tokens = True
-        self.split, self.words, self.limit = splitter(v.pattern), re.compile(" +[^ ]*").findall, limit
+        self.split, self.words, self.limit = [plain_splitter(v.pattern), splitter(v.pattern)], re.compile(" +[^ \n]*|\n[^ \n]*").findall, limit
         byte_of = {c: b for b, c in byte_letters().items()}
         vocab = spec["model"]["vocab"]
         self.a_bytes = [b""] * (max(vocab.values()) + 1)
         for token, number in vocab.items():
             self.a_bytes[number] = bytes(map(byte_of.__getitem__, token))
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
-        if any(SPACE in p.lstrip(SPACE) for p in pieces) or SPACE not in pieces:
-            raise ValueError("side B has pieces that go on past a space")
+        if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces) or SPACE not in pieces:
+            raise ValueError("side B has pieces that go on past a space or over a line's end")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(SPACE, " ").encode() for k, p in enumerate(pieces)]
         self.alone = self.b.piece_to_id(SPACE)
         self.a_size, self.b_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
@@ -116,9 +117,9 @@ class Coder:
         self.odd: tuple[set[str], set[str]] = (set(), set())  # known pieces that don't give back their bytes
 
     def pieces(self, text: str) -> list[str]:
-        if kind(text) == 2:
+        if (of := kind(text)) == 2:
             return [text[x:y] for _, (x, y) in self.a.pre_tokenizer.pre_tokenize_str(text)]
-        return self.split(text)
+        return self.split[of](text)
 
     def _learn(self, side: int, cut: list[list[str]]) -> None:
         new = set().union(*cut).difference(self.known[side])
@@ -130,11 +131,14 @@ class Coder:
         if side == 0:
             found = [x.ids for x in self.a.encode_batch(todo, add_special_tokens=False)] if todo else []
         else:
-            found = self.b.encode([w[1:] for w in todo], num_threads=1) if todo else []
+            found = self.b.encode([w.removeprefix(" ") for w in todo], num_threads=1) if todo else []
         table = (self.a_bytes, self.b_bytes)[side]
         for piece, ids in zip(todo, found, strict=True):
-            ids = ids if side == 0 or piece != " " else [self.alone]
-            self.known[side][piece] = np.array(ids, "<i4").tobytes()
+            if side and piece[0] == "\n":
+                ids = ids[1:]  # without the space that the model puts first
+            elif side and piece == " ":
+                ids = [self.alone]
+            self.known[side][piece] = array("i", ids).tobytes()
             if b"".join([table[i] for i in ids]) != piece.encode():
                 self.odd[side].add(piece)
 
@@ -147,7 +151,7 @@ class Coder:
             self._learn(side, cut)
             known, odd = self.known[side], self.odd[side]
             bad = [bool(odd) and not odd.isdisjoint(c) for c in cut]
-            sides.append([b"" if x else b"".join([known[p] for p in c]) for c, x in zip(cut, bad, strict=True)])
+            sides.append([b"" if x else b"".join(map(known.__getitem__, c)) for c, x in zip(cut, bad, strict=True)])
         kept = [bool(a) and bool(b) for a, b in zip(*sides, strict=True)]
         return tuple([x if k else b"" for x, k in zip(s, kept, strict=True)] for s in sides)
 
