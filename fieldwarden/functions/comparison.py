@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from decimal import Decimal, localcontext
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Numbers of so many characters fit a Spark decimal exactly, whole part and fraction; longer ones are compared as keys.
@@ -34,12 +35,8 @@ def decimal_key(value: Column) -> Column:
 
 def literal_key(value: str) -> Column:
     """decimal_key of a numeric text that is known when the plan is made."""
-    body = value.lstrip("+-")
-    whole, fraction = body.partition(".")[0].lstrip("0"), body.partition(".")[2].rstrip("0")
-    digits, negative = whole + fraction, value.startswith("-")
-    sign = 0 if not digits else -1 if negative else 1
-    shown = digits.translate(str.maketrans("0123456789", "9876543210")) + "~" if sign < 0 else digits
-    return F.struct(F.lit(sign).alias("sign"), F.lit(sign * len(whole)).alias("size"), F.lit(shown).alias("digits"))
+    sign, whole, shown = _parts(value)
+    return F.struct(F.lit(sign).alias("sign"), F.lit(sign * whole).alias("size"), F.lit(shown).alias("digits"))
 
 
 @dataclass(frozen=True)
@@ -87,3 +84,80 @@ def compare(op: str, left: Column | str | Prepared, right: Column | str | Prepar
     mixed = (a.numeric != b.numeric) & (a.text != "") & (b.text != "")
     across = apply(a.text, b.text) if op in ("=", "<>") else F.lit(False)
     return F.when(a.numeric & b.numeric, F.coalesce(apply(a.short, b.short), apply(a.key, b.key))).when(mixed, across).otherwise(apply(a.text, b.text))
+
+
+@dataclass(frozen=True)
+class Named:
+    """A value whose forms are columns of a frame, named by its number: as `with_forms` adds them."""
+
+    number: int
+
+
+def with_forms(frame: DataFrame, values: list[tuple[Column, bool]]) -> DataFrame:
+    """Adds the forms of values as plain columns, each found once for all comparisons above: text, numeric, decimal, and the key, for all numbers
+    where wanted and else for those that are too long for a decimal."""
+    numbered = list(enumerate(values))
+    frame = frame.withColumns({f"_t{k}": trimmed(v) for k, (v, _) in numbered}) if values else frame
+    frame = frame.withColumns({f"_n{k}": is_numeric(F.col(f"_t{k}")) for k, _ in numbered}) if values else frame
+    for name in ("_s", "_k"):
+        made = {}
+        for k, (_, full) in numbered:
+            text, numeric = f"_t{k}", f"_n{k}"
+            if name == "_s":
+                made[f"_s{k}"] = F.expr(f"CASE WHEN {numeric} AND length({text}) <= {SHORT} THEN try_cast({text} AS {DECIMAL}) END")
+            else:
+                made[f"_k{k}"] = F.when(F.col(numeric) if full else F.col(numeric) & F.col(f"_s{k}").isNull(), decimal_key(F.col(text)))
+        frame = frame.withColumns(made) if made else frame
+    return frame
+
+
+def quoted(text: str) -> str:
+    """A text as a literal of Spark SQL."""
+    return "'" + "".join("\\" + c if c in "\\'" else f"\\u{ord(c):04x}" if ord(c) < 32 else c for c in text) + "'"
+
+
+def constant(op: str, left: str, right: str) -> bool:
+    """The comparison of two texts that are known when the plan is made."""
+    a, b = left.strip(" \t\r\n"), right.strip(" \t\r\n")
+    numbers = [bool(re.match(NUMERIC.replace(r"\z", r"\Z"), x)) for x in (a, b)]
+    apply = OPS[op]
+    if all(numbers):
+        with localcontext() as exact:
+            exact.prec = 2 * (len(a) + len(b))
+            return bool(apply(Decimal(a), Decimal(b)))
+    return apply(a, b) if numbers[0] == numbers[1] or not a or not b or op in ("=", "<>") else False
+
+
+def compare_sql(op: str, left: Named | str, right: Named | str) -> str:
+    """`compare` as SQL over columns of `with_forms`, so that a rule is one text for Spark's parser and not a call for each of its parts."""
+    if isinstance(left, str) and isinstance(right, str):
+        return str(constant(op, left, right)).lower()
+    if isinstance(left, str):
+        return compare_sql(TURNED.get(op, op), right, left)
+    k, equality = left.number, op in ("=", "<>")
+    if isinstance(right, str):
+        b = right.strip(" \t\r\n")
+        plain = f"_t{k} {op} {quoted(b)}"
+        if not re.match(NUMERIC.replace(r"\z", r"\Z"), b):
+            return f"({plain})" if equality or b == "" else f"(NOT _n{k} AND {plain})"
+        exact = f"_k{k} {op} {literal_sql(b)}"
+        number = f"coalesce(_s{k} {op} CAST({quoted(b)} AS {DECIMAL}), {exact})" if len(b) <= SHORT else exact
+        return f"(CASE WHEN _n{k} THEN {number} ELSE {plain if equality else f"_t{k} = '' AND {plain}"} END)"
+    j = right.number
+    across = f"_t{k} {op} _t{j}"
+    mixed = f"WHEN _n{k} <> _n{j} AND _t{k} <> '' AND _t{j} <> '' THEN false " if not equality else ""
+    return f"(CASE WHEN _n{k} AND _n{j} THEN coalesce(_s{k} {op} _s{j}, _k{k} {op} _k{j}) {mixed}ELSE {across} END)"
+
+
+def literal_sql(value: str) -> str:
+    """decimal_key of a numeric text as SQL."""
+    sign, whole, shown = _parts(value)
+    return f"named_struct('sign', {sign}, 'size', {sign * whole}, 'digits', {quoted(shown)})"
+
+
+def _parts(value: str) -> tuple[int, int, str]:
+    body, negative = value.lstrip("+-"), value.startswith("-")
+    whole, fraction = body.partition(".")[0].lstrip("0"), body.partition(".")[2].rstrip("0")
+    digits = whole + fraction
+    sign = 0 if not digits else -1 if negative else 1
+    return sign, len(whole), digits.translate(str.maketrans("0123456789", "9876543210")) + "~" if sign < 0 else digits

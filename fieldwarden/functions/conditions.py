@@ -9,11 +9,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldwarden.functions.comparison import SHORT, Prepared, compare
+from fieldwarden.functions.comparison import SHORT, Named, compare, compare_sql
 
 #: Bounds of a condition: characters, references and depth.
 MOST_CHARACTERS, MOST_REFERENCES, MOST_DEPTH = 500, 20, 10
@@ -202,21 +203,27 @@ def full_keys(tree: Node) -> set[Ref]:
     return set().union(*(full_keys(x) for x in items))
 
 
-def to_column(tree: Node, columns: Mapping[str, Column], checkboxes: frozenset[str] | set[str] = frozenset(), prepared: Mapping[Ref, Prepared] | None = None) -> Column:
-    """The tree as a boolean column over the columns of the fields, or over their forms where these are prepared."""
+def to_column(tree: Node, columns: Mapping[str, Column], checkboxes: frozenset[str] | set[str] = frozenset()) -> Column:
+    """The tree as a boolean column over the columns of the fields."""
     if isinstance(tree, Constant):
         return F.lit(tree.value)
     if isinstance(tree, Not):
-        return ~to_column(tree.item, columns, checkboxes, prepared)
+        return ~to_column(tree.item, columns, checkboxes)
     if isinstance(tree, Group):
-        out = to_column(tree.items[0], columns, checkboxes, prepared)
-        for x in tree.items[1:]:
-            other = to_column(x, columns, checkboxes, prepared)
-            out = out & other if tree.every else out | other
-        return out
-    made = prepared or {}
-    sides = [x.value if isinstance(x, Literal) else made[x] if x in made else value_of(x, columns, checkboxes) for x in (tree.left, tree.right)]
-    return compare(tree.op, *sides)
+        parts = [to_column(x, columns, checkboxes) for x in tree.items]
+        return reduce(lambda a, b: a & b if tree.every else a | b, parts)
+    return compare(tree.op, *[x.value if isinstance(x, Literal) else value_of(x, columns, checkboxes) for x in (tree.left, tree.right)])
+
+
+def to_sql(tree: Node, forms: Mapping[Ref, Named]) -> str:
+    """The tree as SQL over the forms of its references."""
+    if isinstance(tree, Constant):
+        return str(tree.value).lower()
+    if isinstance(tree, Not):
+        return f"(NOT {to_sql(tree.item, forms)})"
+    if isinstance(tree, Group):
+        return "(" + (" AND " if tree.every else " OR ").join(to_sql(x, forms) for x in tree.items) + ")"
+    return compare_sql(tree.op, *[x.value if isinstance(x, Literal) else forms[x] for x in (tree.left, tree.right)])
 
 
 @dataclass(frozen=True)

@@ -1,4 +1,4 @@
-"""Rules over contexts: all row-local rules are one projection, all uniqueness keys one aggregation and one join.
+"""Rules over contexts: all row-local rules are one projection, all uniqueness keys one aggregation and one join over candidates that are written once.
 
 A context is a row with `_record`, `_event`, `_instance`, `_form`, `_dag` and a column for each field (a string, or a map from
 code to '0'/'1' for a checkbox). `_states`, a map from field to 'missing', 'ambiguous' or 'unreadable', is optional.
@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field, fields, replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldwarden.functions import conditions, identifiers, patterns
-from fieldwarden.functions.comparison import Prepared, prepare
+from fieldwarden.functions.comparison import Named, quoted, with_forms
 from fieldwarden.operators import pooled
 from fieldwarden.operators.contexts import Events, hosted
+from fieldwarden.session import with_checkpoint_dir
 
 MODES = {"single": "check", "pooled": "check", "constraint": "constraint", "required": "required", "unique": "unique", "choices": "choices"}
 META = ("_record", "_event", "_instance", "_form", "_dag")
@@ -135,21 +135,28 @@ def resolve_branches(rules: list[Rule]) -> list[Rule]:
     return out
 
 
+NULL = "CAST(NULL AS string)"
+ITEM = "struct<rule:int,type:string,field:string,reason:string,value:string,key:array<string>>"
+#: White space of constraints' values, and of all others', as SQL.
+SPACES, BLANKS = r"' \t\r\n'", r"' \t\n\r\u0000\u000b'"
+
+
 class _Compiler:
-    """Builds the item column of rules: an array of findings, problems and candidates of a context."""
+    """Writes rules as SQL over a frame's columns: for each rule and field an item, a struct with a null reason where nothing is wrong.
+
+    What several rules read is found once, in columns below them: the forms of compared values, the hosts of forms, and the checks of identifiers.
+    """
 
     def __init__(self, frame: DataFrame, dictionary: Dictionary, events: Events | None = None):
-        self.forms, self.events = dictionary.forms, events
-        self.prepared: dict[conditions.Ref, Prepared] = {}
-        self.columns = {c: F.col(f"`{c}`") for c in frame.columns if c not in (*META, "_states")}
-        self.boxes = dictionary.checkboxes
+        self.forms, self.events, self.boxes = dictionary.forms, events, dictionary.checkboxes
+        self.columns = {c for c in frame.columns if c not in (*META, "_states")}
         self.has_states = "_states" in frame.columns
+        self.named: dict[conditions.Ref, Named] = {}
+        self.below: dict[str, Column] = {}
+        self.frame, self.several = frame, False
 
-    def condition(self, text: str) -> Column:
-        return conditions.to_column(conditions.parse(text), self.columns, self.boxes, self.prepared)
-
-    def prepare(self, rules: list[Rule]) -> Column:
-        """The forms of all values that conditions compare, as an array: each is found once, by one expression however many there are."""
+    def prepare(self, rules: list[Rule]) -> None:
+        """Adds the forms of all values that conditions compare."""
         refs: dict[conditions.Ref, bool] = {}
         for text in (t for r in rules for t in texts(r)):
             try:
@@ -159,134 +166,144 @@ class _Compiler:
             full = conditions.full_keys(tree)
             for x in conditions.references(tree):
                 refs[x] = refs.get(x, False) or x in full
-        self.prepared = {x: Prepared.of(F.get("_forms", F.lit(k))) for k, x in enumerate(refs)}
-        values = [F.struct(conditions.value_of(x, self.columns, self.boxes).alias("value"), F.lit(full).alias("full")) for x, full in refs.items()]
-        return F.transform(F.array(*values), lambda x: prepare(x["value"], x["full"])) if values else F.array(F.col("_instance"))
-
-    def unresolved(self, *texts: str) -> Column:
-        """Why a condition can't be judged in this context: a text, null if it can."""
-        if not self.has_states:
-            return F.lit(None).cast("string")
+        columns = {c: F.col(f"`{c}`") for c in self.columns}
+        self.frame = with_forms(self.frame, [(conditions.value_of(x, columns, self.boxes), full) for x, full in refs.items()])
+        self.named = {x: Named(k) for k, x in enumerate(refs)}
+
+    def is_several(self, rule: Rule, name: str) -> bool:
+        return rule.type == "choices" and name in self.boxes
+
+    def condition(self, text: str) -> str:
+        return conditions.to_sql(conditions.parse(text), self.named)
+
+    def unresolved(self, *texts: str) -> str | None:
+        """Why a condition can't be judged in this context: a text, null if it can; None if that is known now."""
         refs = dict.fromkeys(r.field for t in texts if t for r in conditions.references(conditions.parse(t)))
+        if not self.has_states or not refs:
+            return None
         why = {"missing": "is not collected in this event", "ambiguous": "has several values here", "unreadable": "could not be read"}
-        tests = []
-        for f in refs:
-            for state, said in why.items():
-                tests.append(F.when(F.col("_states")[f] == state, f"[{f}] {said}"))
-        return F.coalesce(*tests, F.lit(None).cast("string")) if tests else F.lit(None).cast("string")
+        tests = [f"CASE _states[{quoted(f)}] " + " ".join(f"WHEN {quoted(state)} THEN {quoted(f'[{f}] {said}')}" for state, said in why.items()) + " END" for f in refs]
+        return f"coalesce({', '.join(tests)}, {NULL})"
 
-    def value(self, name: str) -> Column:
-        return self.columns.get(name, F.lit(None).cast("string"))
+    def value(self, name: str) -> str:
+        return f"CAST(`{name}` AS string)" if name in self.columns and name not in self.boxes else NULL
 
-    def item(self, ordinal: int, kind: str, name: str, reason: Column, value: Column, key: Column | None = None) -> Column:
-        key = F.lit(None).cast("array<string>") if key is None else key
-        made = F.struct(F.lit(ordinal).alias("rule"), F.lit(kind).alias("type"), F.lit(name).alias("field"), reason.alias("reason"), value.cast("string").alias("value"), key.alias("key"))
-        return F.array(made)  # rows without a reason are dropped behind the explode, so that the reason stands in the plan once
+    def column(self, name: str, made: Column) -> str:
+        """The name of a column below the rules."""
+        self.below[name] = made
+        return name
 
-    def problem(self, ordinal: int, name: str, why: Column | str) -> Column:
-        return self.item(ordinal, "problem", name, F.lit(why) if isinstance(why, str) else why, F.lit(None))
+    def item(self, ordinal: int, kind: str, name: str, reason: str, value: str = NULL, key: str = "CAST(NULL AS array<string>)") -> str:
+        made = self.struct(ordinal, kind, name, reason, value, key)
+        return f"array({made})" if self.several else made
 
-    def placed(self, ordinal: int, rule: Rule, name: str) -> Column:
-        """The items of a rule in the contexts where its field lives; in others there are none."""
+    def struct(self, ordinal: int, kind: str, name: str, reason: str, value: str, key: str = "CAST(NULL AS array<string>)") -> str:
+        return f"named_struct('rule', {ordinal}, 'type', {quoted(kind)}, 'field', {quoted(name)}, 'reason', {reason}, 'value', {value}, 'key', {key})"
+
+    def problem(self, ordinal: int, name: str, why: str) -> str:
+        return self.item(ordinal, "problem", name, why)
+
+    def placed(self, ordinal: int, rule: Rule, name: str) -> str:
+        """The item of a rule in the contexts where its field lives, or an array of items if `several`; in others it is null."""
+        self.several = self.is_several(rule, name)
         if rule.error or self.events is None:
             return self.rule(ordinal, rule, name)
         if not (form := self.forms.get(name)):
-            return self.problem(ordinal, name, f"field [{name}] is on no form")
-        return F.when(hosted(form, self.events), self.rule(ordinal, rule, name)).otherwise(self.item(ordinal, rule.type, name, F.lit(None).cast("string"), F.lit(None)))
+            return self.problem(ordinal, name, quoted(f"field [{name}] is on no form"))
+        host = self.column(f"_host{sorted(set(self.forms.values())).index(form)}", hosted(form, self.events))
+        return f"CASE WHEN {host} THEN {self.rule(ordinal, rule, name)} END"
 
-    def key(self, rule: Rule, name: str) -> Column:
+    def key(self, rule: Rule, name: str) -> str:
         """What must not be the same in two records: the value, those it is unique with, and the scope."""
-        trim = lambda f: F.btrim(F.coalesce(self.value(f).cast("string"), F.lit("")), F.lit(BLANK))
-        scope = {"event": [F.concat(F.lit("event "), F.col("_event"))], "dag": [F.concat(F.lit("group "), F.coalesce("_dag", F.lit("")))]}.get(rule.scope, [])
-        return F.array(trim(name), *[trim(w) for w in rule.unique_with], *scope)
+        trim = lambda f: f"trim(BOTH {BLANKS} FROM coalesce({self.value(f)}, ''))"
+        scope = {"event": ["concat('event ', _event)"], "dag": ["concat('group ', coalesce(_dag, ''))"]}.get(rule.scope, [])
+        return f"array({', '.join([trim(name), *map(trim, rule.unique_with), *scope])})"
 
-    def rule(self, ordinal: int, rule: Rule, name: str) -> Column:
+    def rule(self, ordinal: int, rule: Rule, name: str) -> str:
         if rule.error:
-            return self.problem(ordinal, name, rule.error)
+            return self.problem(ordinal, name, quoted(rule.error))
         if rule.branches:
             return self.branches(ordinal, rule, name)
         try:
-            gate = self.condition(rule.when) if rule.when else F.lit(True)
+            gate, blocked = self.condition(rule.when) if rule.when else "true", self.unresolved(rule.when)
         except conditions.ConditionError as e:
-            return self.problem(ordinal, name, f"the condition cannot be evaluated: {e}")
-        blocked = self.unresolved(rule.when)
+            return self.problem(ordinal, name, quoted(f"the condition cannot be evaluated: {e}"))
         found = self.judge(ordinal, rule, name)
-        none = self.item(ordinal, rule.type, name, F.lit(None).cast("string"), F.lit(None))
-        return F.when(blocked.isNotNull(), self.problem(ordinal, name, blocked)).when(gate, found).otherwise(none)
+        tests = [f"WHEN {blocked} IS NOT NULL THEN {self.problem(ordinal, name, blocked)}"] if blocked else []
+        return f"CASE {' '.join(tests)} WHEN {gate} THEN {found} END" if tests or rule.when else found
 
-    def branches(self, ordinal: int, rule: Rule, name: str) -> Column:
+    def branches(self, ordinal: int, rule: Rule, name: str) -> str:
         plain = replace(rule, branches=())
         own = [(b.get("when", ""), replace(plain, **{k: v for k, v in b.items() if k != "when"})) for b in rule.branches]
         try:
             tests = [self.condition(w) for w, _ in own if w]
         except conditions.ConditionError as e:
-            return self.problem(ordinal, name, f"a branch condition cannot be evaluated: {e}")
-        active = reduce(lambda a, b: a + b, [t.cast("int") for t in tests], F.lit(0))
-        other = next((r for w, r in own if not w), None)
-        rest = self.rule(ordinal, other, name) if other else self.item(ordinal, rule.type, name, F.lit(None).cast("string"), F.lit(None))
+            return self.problem(ordinal, name, quoted(f"a branch condition cannot be evaluated: {e}"))
+        rest = next((f" ELSE {self.rule(ordinal, r, name)}" for w, r in own if not w), "")
         blocked = self.unresolved(*[w for w, _ in own])
-        out = F.when(blocked.isNotNull(), self.problem(ordinal, name, blocked)).when(active > 1, self.problem(ordinal, name, "more than one branch condition is true"))
-        for test, (_, r) in zip(tests, [x for x in own if x[0]], strict=True):
-            out = out.when(test, self.rule(ordinal, r, name))
-        return out.otherwise(rest)
-
-    def judge(self, ordinal: int, rule: Rule, name: str) -> Column:
-        value = self.value(name)
-        some = value.isNotNull() & (value != "") if name not in self.boxes else F.lit(False)
+        whens = [f"WHEN {blocked} IS NOT NULL THEN {self.problem(ordinal, name, blocked)}"] if blocked else []
+        if len(tests) > 1:
+            active = " + ".join(f"CAST({t} AS int)" for t in tests)
+            whens.append(f"WHEN {active} > 1 THEN {self.problem(ordinal, name, quoted('more than one branch condition is true'))}")
+        whens += [f"WHEN {test} THEN {self.rule(ordinal, r, name)}" for test, (_, r) in zip(tests, [x for x in own if x[0]], strict=True)]
+        return f"CASE {' '.join(whens)}{rest} END" if whens else rest.removeprefix(" ELSE ")
+
+    def judge(self, ordinal: int, rule: Rule, name: str) -> str:
+        value, box = self.value(name), name in self.boxes
+        blank = f"trim(BOTH {BLANKS} FROM coalesce({value}, ''))"
+        when = lambda test, reason: f"CASE WHEN {test} THEN {quoted(reason)} END"
         if rule.type == "required":
-            blank = F.btrim(F.coalesce(value, F.lit("")), F.lit(BLANK)) == "" if name not in self.boxes else F.lit(False)
-            return self.item(ordinal, rule.type, name, F.when(blank, "required-blank"), value if name not in self.boxes else F.lit(None))
+            return self.item(ordinal, rule.type, name, NULL if box else when(f"{blank} = ''", "required-blank"), value)
         if rule.type == "unique":  # a candidate, which the aggregation judges
-            filled = F.btrim(F.coalesce(value.cast("string"), F.lit("")), F.lit(BLANK)) != "" if name not in self.boxes else F.lit(False)
-            return self.item(ordinal, rule.type, name, F.when(filled, "duplicate-value"), value if name not in self.boxes else F.lit(None), self.key(rule, name))
+            return self.item(ordinal, rule.type, name, NULL if box else when(f"{blank} <> ''", "duplicate-value"), value, self.key(rule, name))
         if rule.type == "constraint":
             try:
-                holds = self.condition(rule.asserts)
+                holds, blocked = self.condition(rule.asserts), self.unresolved(rule.asserts)
             except conditions.ConditionError as e:
-                return self.problem(ordinal, name, f"the assertion cannot be evaluated: {e}")
-            blocked = self.unresolved(rule.asserts)
-            filled = F.btrim(value, F.lit(" \t\r\n")) != "" if name not in self.boxes else F.lit(False)
-            wrong = self.item(ordinal, rule.type, name, F.when(F.coalesce(filled, F.lit(False)) & ~holds, f"assert:{rule.asserts}"), value if name not in self.boxes else F.lit(None))
-            return F.when(blocked.isNotNull(), self.problem(ordinal, name, blocked)).otherwise(wrong)
+                return self.problem(ordinal, name, quoted(f"the assertion cannot be evaluated: {e}"))
+            filled = "false" if box else f"trim(BOTH {SPACES} FROM coalesce({value}, '')) <> ''"
+            wrong = self.item(ordinal, rule.type, name, when(f"{filled} AND NOT {holds}", f"assert:{rule.asserts}"), value)
+            return f"CASE WHEN {blocked} IS NOT NULL THEN {self.problem(ordinal, name, blocked)} ELSE {wrong} END" if blocked else wrong
         if rule.type == "choices":
-            hidden = rule.hidden()
-            if name in self.boxes:
-                hit = F.filter(F.array(*[F.lit(c) for c in hidden]), lambda c: F.coalesce(value[c], F.lit("0")) == "1")
-                return F.transform(hit, lambda c: F.struct(F.lit(ordinal).alias("rule"), F.lit("choices").alias("type"), F.lit(name).alias("field"), F.lit("hidden-choice").alias("reason"), c.alias("value"), F.lit(None).cast("array<string>").alias("key")))
-            return self.item(ordinal, rule.type, name, F.when(some & F.btrim(value, F.lit(BLANK)).isin(hidden), "hidden-choice"), value)
+            hidden = ", ".join(map(quoted, rule.hidden()))
+            if not hidden:
+                return self.item(ordinal, rule.type, name, NULL, value)
+            if box:  # an item for each hidden code that is ticked
+                ticked = f"filter(array({hidden}), c -> coalesce(`{name}`[c], '0') = '1')"
+                return f"transform({ticked}, c -> {self.struct(ordinal, rule.type, name, quoted('hidden-choice'), 'c')})"
+            return self.item(ordinal, rule.type, name, when(f"{value} <> '' AND trim(BOTH {BLANKS} FROM {value}) IN ({hidden})", "hidden-choice"), value)
         if rule.algorithm not in identifiers.ALGORITHMS:
-            return self.problem(ordinal, name, f"unknown algorithm {rule.algorithm}")
+            return self.problem(ordinal, name, quoted(f"unknown algorithm {rule.algorithm}"))
+        here = f"{len(self.below)}"
+        some = f"{value} <> ''"
+        text = F.col(f"`{name}`").cast("string") if name in self.columns and not box else F.lit(None).cast("string")
         if rule.type == "pooled":
             pool = pooled.Pool(rule.algorithm, rule.source, rule.strip, rule.pattern or None, rule.lengths, rule.least, rule.most, rule.keep, rule.expected)
             if why := pool.problem():
-                return self.problem(ordinal, name, why)
-            cut = pooled.segments(value, pool)
-            wrong = self.item(ordinal, rule.type, name, F.when(some, F.nullif(pooled.reasons(cut, pool), F.lit(""))), value)
-            return F.when(some & cut.isNull(), self.problem(ordinal, name, "the value is too long to be searched for IDs")).otherwise(wrong)
-        wrong = F.when(some & ~patterns.matches(value, rule.pattern), "format").when(some & ~identifiers.validate_id(rule.algorithm, value, rule.source, rule.strip), "check-character")
-        return self.item(ordinal, rule.type, name, wrong, value)
+                return self.problem(ordinal, name, quoted(why))
+            reason = self.column(f"_pool{here}", pooled.reasons(pooled.segments(text, pool), pool))
+            long = quoted("the value is too long to be searched for IDs")
+            return f"CASE WHEN {some} AND {reason} IS NULL THEN {self.problem(ordinal, name, long)} WHEN {some} THEN {self.item(ordinal, rule.type, name, f"nullif({reason}, '')", value)} END"
+        wrong = F.when(~patterns.matches(text, rule.pattern), "format").when(~identifiers.validate_id(rule.algorithm, text, rule.source, rule.strip), "check-character")
+        return self.item(ordinal, rule.type, name, self.column(f"_id{here}", F.when(text != "", wrong)), value)
 
 
 def _items(contexts: DataFrame, rules: list[Rule], dictionary: Dictionary, events: Events | None, unique: bool) -> DataFrame:
-    """The items of all uniqueness rules, or of all others, from one projection.
-
-    Compared values are brought into their forms once, below the rules. The count over an array, which Spark runs outside of whole-stage
-    code, keeps the projection out of it too: its one method would outgrow the JVM's limit, while the code of a projection alone is cut
-    into methods, however many rules there are.
-    """
+    """The items of all uniqueness rules, or of all others, from one projection over the columns that several of them read."""
     twice = duplicate_claims(rules)
     made = _Compiler(contexts, dictionary, events)
-    contexts = contexts.withColumn("_forms", made.prepare([r for r in rules if (r.type == "unique") == unique]))
-    items = []
+    made.prepare([r for r in rules if (r.type == "unique") == unique])
+    single, several = [], []
     for k, r in enumerate(rules, 1):
         for f in dict.fromkeys(r.fields or ("",)):
             if not r.dropped and (r.type == "unique" and not r.error) == unique and (r.mode, f) not in twice:
-                items.append(made.placed(k, r, f))
-    if not items:
+                (several if made.is_several(r, f) else single).append(made.placed(k, r, f))
+    if not single and not several:
         return contexts.sparkSession.createDataFrame([], f"{PLACE}, rule int, type string, field string, reason string, value string, key array<string>")
-    apart = F.size(F.filter(F.array("_instance"), lambda x: x.isNull()))
-    listed = contexts.select(*META, F.concat(*items).alias("items"), apart.alias("apart"))
-    return listed.select(*META, F.explode(F.when(F.col("apart") >= 0, F.col("items"))).alias("f")).select(*META, "f.*").where("reason is not null")
+    frame = made.frame.withColumns(made.below) if made.below else made.frame
+    own = [f"array({', '.join(single)})"] * bool(single) + [f"coalesce({x}, CAST(array() AS array<{ITEM}>))" for x in several]
+    items = own[0] if len(own) == 1 else f"concat({', '.join(own)})"
+    return frame.select(*META, F.expr(f"explode({items})").alias("f")).where("f.reason is not null").select(*META, "f.*")
 
 
 def row_local(contexts: DataFrame, rules: list[Rule], dictionary: Dictionary, events: Events | None = None) -> DataFrame:
@@ -299,13 +316,12 @@ def candidates(contexts: DataFrame, rules: list[Rule], dictionary: Dictionary, e
     return _items(contexts, rules, dictionary, events, True)
 
 
-def unique(contexts: DataFrame, rules: list[Rule], dictionary: Dictionary, events: Events | None = None) -> DataFrame:
-    """Findings of values that two or more records share, for all uniqueness rules and fields at once, and problems as type 'problem'.
+def duplicates(items: DataFrame) -> DataFrame:
+    """Findings of the candidates whose key two or more records share, and the problems among the items. The items are read three times: write them before.
 
     A key's least and greatest record are aggregated with partial sums; where they differ, its rows are joined back. A value that a
     third of all rows hold is thus no single task's work.
     """
-    items = _items(contexts, rules, dictionary, events, True)
     names = ["rule", "field", "key"]
     shared = items.where("type = 'unique'").groupBy(*names).agg(F.min("_record").alias("_a"), F.max("_record").alias("_b")).where("_a <> _b").select(*names)
     found = items.where("type = 'unique'").join(shared, names, "left_semi").dropDuplicates(["rule", "field", "_record", "_event", "_instance", "_form"])
@@ -313,6 +329,16 @@ def unique(contexts: DataFrame, rules: list[Rule], dictionary: Dictionary, event
     return found.select(*columns).unionByName(items.where("type = 'problem'").select(*columns))
 
 
+def unique(contexts: DataFrame, rules: list[Rule], dictionary: Dictionary, events: Events | None = None) -> DataFrame:
+    """Findings of values that two or more records share, for all uniqueness rules and fields at once, and problems as type 'problem'. The candidates
+    are written once, to the folder of checkpoints."""
+    items = candidates(contexts, rules, dictionary, events)
+    if any(r.type == "unique" and not r.dropped for r in rules):
+        with_checkpoint_dir(contexts.sparkSession)
+        items = items.checkpoint()
+    return duplicates(items)
+
+
 def scan(contexts: DataFrame, rules: list[Rule], dictionary: Dictionary, events: Events | None = None) -> tuple[DataFrame, DataFrame]:
     """Findings, and rule problems without repeats, of all rules. With events, each rule is judged in the contexts where its field lives."""
     items = row_local(contexts, rules, dictionary, events).unionByName(unique(contexts, rules, dictionary, events))
