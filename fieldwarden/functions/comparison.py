@@ -9,8 +9,10 @@ from decimal import Decimal, localcontext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Numbers of so many characters fit a Spark decimal exactly, whole part and fraction; longer ones are compared as keys.
-SHORT, DECIMAL = 18, "decimal(38,18)"
+#: Numbers of so many characters keep their order and identity as doubles, which tell all decimals of 15 digits apart; longer ones are compared as keys.
+SHORT, NUMBER = 15, "double"
+#: White space around compared values, as SQL.
+SPACES = r"' \t\r\n'"
 NUMERIC = r"\A[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)\z"
 
 
@@ -45,7 +47,7 @@ class Prepared:
 
     text: Column
     numeric: Column
-    short: Column  # as a decimal, null if it is too long
+    short: Column  # as a double, null if it is too long
     key: Column
 
     @staticmethod
@@ -54,9 +56,9 @@ class Prepared:
 
 
 def prepare(value: Column, full: Column) -> Column:
-    """The forms of a value as a struct. The key is made for numbers that are too long for a decimal, and with `full` for all."""
+    """The forms of a value as a struct. The key is made for numbers that are too long for a double, and with `full` for all."""
     text = trimmed(value)
-    short = F.when(is_numeric(text) & (F.length(text) <= SHORT), text.try_cast(DECIMAL))
+    short = F.when(is_numeric(text) & (F.length(text) <= SHORT), text.try_cast(NUMBER))
     return F.struct(text.alias("text"), is_numeric(text).alias("numeric"), short.alias("short"), F.when(is_numeric(text) & (full | short.isNull()), decimal_key(text)).alias("key"))
 
 
@@ -79,7 +81,7 @@ def compare(op: str, left: Column | str | Prepared, right: Column | str | Prepar
             return apply(a.text, F.lit(b)) if op in ("=", "<>") or b == "" else ~a.numeric & apply(a.text, F.lit(b))
         mixed = apply(a.text, F.lit(b)) if op in ("=", "<>") else (a.text == "") & apply(a.text, F.lit(b))
         exact = apply(a.key, literal_key(b))
-        return F.when(a.numeric, F.coalesce(apply(a.short, F.lit(b).cast(DECIMAL)), exact) if len(b) <= SHORT else exact).otherwise(mixed)
+        return F.when(a.numeric, F.coalesce(apply(a.short, F.lit(b).cast(NUMBER)), exact) if len(b) <= SHORT else exact).otherwise(mixed)
     b = plain(right)
     mixed = (a.numeric != b.numeric) & (a.text != "") & (b.text != "")
     across = apply(a.text, b.text) if op in ("=", "<>") else F.lit(False)
@@ -88,27 +90,29 @@ def compare(op: str, left: Column | str | Prepared, right: Column | str | Prepar
 
 @dataclass(frozen=True)
 class Named:
-    """A value whose forms are columns of a frame, named by its number: as `with_forms` adds them."""
+    """A value whose forms are at a place of the arrays that `with_forms` adds."""
 
     number: int
 
+    def form(self, name: str) -> str:
+        return f"_{name}[{self.number}]"
 
-def with_forms(frame: DataFrame, values: list[tuple[Column, bool]]) -> DataFrame:
-    """Adds the forms of values as plain columns, each found once for all comparisons above: text, numeric, decimal, and the key, for all numbers
-    where wanted and else for those that are too long for a decimal."""
-    numbered = list(enumerate(values))
-    frame = frame.withColumns({f"_t{k}": trimmed(v) for k, (v, _) in numbered}) if values else frame
-    frame = frame.withColumns({f"_n{k}": is_numeric(F.col(f"_t{k}")) for k, _ in numbered}) if values else frame
-    for name in ("_s", "_k"):
-        made = {}
-        for k, (_, full) in numbered:
-            text, numeric = f"_t{k}", f"_n{k}"
-            if name == "_s":
-                made[f"_s{k}"] = F.expr(f"CASE WHEN {numeric} AND length({text}) <= {SHORT} THEN try_cast({text} AS {DECIMAL}) END")
-            else:
-                made[f"_k{k}"] = F.when(F.col(numeric) if full else F.col(numeric) & F.col(f"_s{k}").isNull(), decimal_key(F.col(text)))
-        frame = frame.withColumns(made) if made else frame
-    return frame
+
+def with_forms(frame: DataFrame, values: list[tuple[str, bool]]) -> DataFrame:
+    """Adds the forms of values (SQL, and whether all numbers need a key), each found once for all comparisons above: arrays of their texts `_text`,
+    whether they are numeric `_numeric`, as doubles `_short`, and the keys `_key` of numbers that are too long for one.
+
+    Four columns hold them however many values there are: the optimizer relates each column to every other one.
+    """
+    if not values:
+        return frame
+    array = lambda make: F.expr(f"array({', '.join(make(Named(k), *v) for k, v in enumerate(values))})")
+    frame = frame.withColumn("_text", array(lambda n, value, full: f"trim(BOTH {SPACES} FROM {value})"))
+    frame = frame.withColumn("_numeric", array(lambda n, value, full: f"{n.form('text')} RLIKE r'{NUMERIC}'"))
+    frame = frame.withColumn("_short", array(lambda n, value, full: f"CASE WHEN {n.form('numeric')} AND length({n.form('text')}) <= {SHORT} THEN try_cast({n.form('text')} AS {NUMBER}) END"))
+    frame = frame.withColumn("_long", array(lambda n, value, full: f"CASE WHEN {n.form('numeric')}{'' if full else f' AND {n.form("short")} IS NULL'} THEN {n.form('text')} END"))
+    some = F.coalesce(*[F.expr(Named(k).form("long")) for k in range(len(values))])
+    return frame.withColumn("_key", F.when(some.isNotNull(), F.transform("_long", lambda x: F.when(x.isNotNull(), decimal_key(x)))))
 
 
 def quoted(text: str) -> str:
@@ -134,19 +138,21 @@ def compare_sql(op: str, left: Named | str, right: Named | str) -> str:
         return str(constant(op, left, right)).lower()
     if isinstance(left, str):
         return compare_sql(TURNED.get(op, op), right, left)
-    k, equality = left.number, op in ("=", "<>")
+    equality, (text, numeric, short, key) = op in ("=", "<>"), map(left.form, FORMS)
     if isinstance(right, str):
         b = right.strip(" \t\r\n")
-        plain = f"_t{k} {op} {quoted(b)}"
+        plain = f"{text} {op} {quoted(b)}"
         if not re.match(NUMERIC.replace(r"\z", r"\Z"), b):
-            return f"({plain})" if equality or b == "" else f"(NOT _n{k} AND {plain})"
-        exact = f"_k{k} {op} {literal_sql(b)}"
-        number = f"coalesce(_s{k} {op} CAST({quoted(b)} AS {DECIMAL}), {exact})" if len(b) <= SHORT else exact
-        return f"(CASE WHEN _n{k} THEN {number} ELSE {plain if equality else f"_t{k} = '' AND {plain}"} END)"
-    j = right.number
-    across = f"_t{k} {op} _t{j}"
-    mixed = f"WHEN _n{k} <> _n{j} AND _t{k} <> '' AND _t{j} <> '' THEN false " if not equality else ""
-    return f"(CASE WHEN _n{k} AND _n{j} THEN coalesce(_s{k} {op} _s{j}, _k{k} {op} _k{j}) {mixed}ELSE {across} END)"
+            return f"({plain})" if equality or b == "" else f"(NOT {numeric} AND {plain})"
+        exact = f"{key} {op} {literal_sql(b)}"
+        number = f"coalesce({short} {op} CAST({quoted(b)} AS {NUMBER}), {exact})" if len(b) <= SHORT else exact
+        return f"(CASE WHEN {numeric} THEN {number} ELSE {plain if equality else f"{text} = '' AND {plain}"} END)"
+    text2, numeric2, short2, key2 = map(right.form, FORMS)
+    mixed = f"WHEN {numeric} <> {numeric2} AND {text} <> '' AND {text2} <> '' THEN false " if not equality else ""
+    return f"(CASE WHEN {numeric} AND {numeric2} THEN coalesce({short} {op} {short2}, {key} {op} {key2}) {mixed}ELSE {text} {op} {text2} END)"
+
+
+FORMS = ("text", "numeric", "short", "key")
 
 
 def literal_sql(value: str) -> str:

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldwarden.functions.comparison import SHORT, Named, compare, compare_sql
+from fieldwarden.functions.comparison import SHORT, Named, compare, compare_sql, quoted
 
 #: Bounds of a condition: characters, references and depth.
 MOST_CHARACTERS, MOST_REFERENCES, MOST_DEPTH = 500, 20, 10
@@ -194,8 +194,17 @@ def value_of(ref: Ref | Literal, columns: Mapping[str, Column], checkboxes: froz
     return F.lit("0") if ref.code is not None else F.coalesce(columns[ref.field].cast("string"), F.lit(""))
 
 
+def value_sql(ref: Ref, columns: set[str], checkboxes: frozenset[str] | set[str] = frozenset()) -> str:
+    """`value_of` as SQL over columns of the fields' names."""
+    if ref.field not in columns:
+        return "'0'" if ref.code is not None else "''"
+    if ref.field in checkboxes:
+        return "''" if ref.code is None else f"CASE WHEN `{ref.field}`[{quoted(ref.code)}] = '1' THEN '1' ELSE '0' END"
+    return "'0'" if ref.code is not None else f"coalesce(CAST(`{ref.field}` AS string), '')"
+
+
 def full_keys(tree: Node) -> set[Ref]:
-    """The references that are compared with another one, or with a number that no decimal holds."""
+    """The references that are compared with another one, or with a number that no double tells apart."""
     if isinstance(tree, Compare):
         two = [tree.left, tree.right]
         return {x for x in two if isinstance(x, Ref)} if not any(isinstance(x, Literal) and len(x.value.strip()) <= SHORT for x in two) else set()

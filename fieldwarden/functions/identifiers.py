@@ -177,10 +177,55 @@ def append_check(algorithm: str, value: Column, source: str = "normalized_id", s
     return F.concat(value, F.lit(delimiter), check_characters(algorithm, apply_source(normalize(value, strip), source)))
 
 
+def _cycle(*weights: int):
+    return lambda a, d, i: a + d * F.get(F.array(*map(F.lit, weights)), i % len(weights))
+
+
+def _radix(m: int, r: int):
+    return lambda a, d, i: ((a + d) * r) % m
+
+
+def _double_add(m: int):
+    return lambda a, d, i: (F.when(a == 0, m).otherwise(a) * 2 % (m + 1) + d % m) % m
+
+
+def _turned(a: Column, d: Column, i: Column) -> Column:
+    powers = [list(range(10))]
+    for _ in range(7):
+        powers.append([VERHOEFF[x] for x in powers[-1]])
+    product = _table([[dihedral(x, y) for y in range(10)] for x in range(10)])
+    return F.get(product, a * 10 + F.get(_table(powers), (i + 1) % 8 * 10 + d))
+
+
+#: By algorithm: the state before the first character, the next state by (state, value, turn), and whether characters are taken from the right.
+STEPS = {
+    "iso7064_mod11_2": (0, _radix(11, 2), False), "iso7064_mod37_2": (0, _radix(37, 2), False), "iso7064_mod97_10": (0, _radix(97, 10), False),
+    "iso7064_mod11_10": (5, _double_add(10), False), "iso7064_mod37_36": (18, _double_add(36), False), "iso7064_letters1": (13, _double_add(26), False), "iso7064_letters2": (18, _double_add(36), False),
+    "damm": (0, lambda a, d, i: F.get(_table(DAMM), a * 10 + d), False), "verhoeff": (0, _turned, True),
+    "luhn": (0, lambda a, d, i: a + F.when(i % 2 == 1, d).when(d > 4, d * 2 - 9).otherwise(d * 2), True), "gs1_mod10": (0, _cycle(3, 1), True),
+    "aba_mod10": (0, _cycle(3, 7, 1), False), "mrz_mod10": (0, _cycle(7, 3, 1), False), "weighted_mod11": (0, lambda a, d, i: a + d * (i + 2), True),
+}
+
+
 def explain(algorithm: str, payload: Column) -> Column:
-    """The check characters of every prefix of the payload: the trace of a computation, as an array of (character, check)."""
-    prefix = lambda i: F.substr(payload, F.lit(1), i + 1)
-    return F.transform(F.split(payload, ""), lambda c, i: F.struct(c.alias("character"), check_characters(algorithm, prefix(i)).alias("check")))
+    """The steps by which the check characters of a payload are found, in the order in which its characters are taken: an array of (position from 1, character,
+    value, state after the step), from one fold that carries the states along. Empty for no algorithm; null where there are no check characters."""
+    kind = "array<struct<position:int,character:string,value:int,state:int>>"
+    if algorithm == "none":
+        return F.array().cast(kind)
+    alphabet = ALGORITHMS[algorithm][0]
+    start, step, backwards = STEPS[algorithm]
+    characters = F.split(F.reverse(payload) if backwards else payload, "")
+
+    def add(done: Column, x: Column) -> Column:
+        i, value = x["i"], F.instr(F.lit(alphabet), x["c"]) - 1
+        before = F.coalesce(F.try_element_at(done, F.lit(-1))["state"], F.lit(start))
+        place = F.length(payload) - i if backwards else i + 1
+        made = F.struct(place.cast("int").alias("position"), x["c"].alias("character"), value.cast("int").alias("value"), step(before, value, i).cast("int").alias("state"))
+        return F.concat(done, F.array(made))
+
+    numbered = F.transform(characters, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
+    return F.when(payload.rlike(f"\\A[{alphabet}]+\\z"), F.aggregate(numbered, F.array().cast(kind), add))
 
 
 def suggestion(algorithm: str, value: Column, strip: str = STRIP) -> Column:

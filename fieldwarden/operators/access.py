@@ -113,7 +113,7 @@ def with_severity(findings: DataFrame, rules: list[R.Rule], dictionary: R.Dictio
 def collision(contexts: DataFrame, rule: R.Rule, name: str, values: Mapping[str, str], record: str | None, event: str | None = None, group: str | None = None) -> DataFrame:
     """record, dag of at most one other record that holds the same value and the same values beside it. A blank value never collides.
 
-    Equality stays a filter on the columns read, so that a partitioned or sorted table is pruned by it.
+    Values are compared in their trimmed form, so that all rows are read; `incremental.UniqueState.holders` reads the stored keys of one value only.
     """
     trim = lambda f: F.btrim(F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")), F.lit(R.BLANK))
     said = lambda f: (values.get(f) or "").strip(R.BLANK)
@@ -136,11 +136,37 @@ class Answer:
     error: str = ""
 
 
+def branch_of(contexts: DataFrame, rule: R.Rule, dictionary: R.Dictionary, record: str | None, event: str | None = None, form: str | None = None, instance: int = 1) -> R.Rule | None:
+    """The rule as its one active branch has it, by the saved values of the record's context (none for a new record); without an active branch, as the one without a
+    condition has it. None if several are active, none is, or a condition can't be read."""
+    if not rule.branches:
+        return rule
+    try:
+        trees = [conditions.parse(b["when"]) if b.get("when") else None for b in rule.branches]
+    except conditions.ConditionError:
+        return None
+    asked = [t for t in trees if t is not None]
+    columns = {x.field: F.col(f"`{x.field}`") for t in asked for x in conditions.references(t) if x.field in contexts.columns}
+    tests = lambda known: [conditions.to_column(t, known, dictionary.checkboxes).alias(f"_{k}") for k, t in enumerate(asked)]
+    row = None
+    if record is not None and asked:
+        here = F.col("_form").eqNullSafe(F.lit(form)) & (F.col("_instance") == instance)
+        own = contexts.where((F.col("_record") == record) & (F.lit(event is None) | F.col("_event").eqNullSafe(F.lit(event))) & (here | F.col("_form").isNull()))
+        row = own.orderBy(here.desc()).limit(1).select(*tests(columns)).first()
+    if row is None:
+        row = contexts.sparkSession.range(1).select(F.lit(0), *tests({})).first()[1:]
+    holds = iter(row)
+    active = [b for b, t in zip(rule.branches, trees, strict=True) if t is not None and next(holds)]
+    chosen = active or [b for b, t in zip(rule.branches, trees, strict=True) if t is None]
+    return replace(rule, branches=(), when="", **{k: v for k, v in chosen[0].items() if k != "when"}) if len(active) < 2 and chosen else None
+
+
 def is_used(
     contexts: DataFrame, rules: list[R.Rule], dictionary: R.Dictionary, name: str, values: Mapping[str, str], record: str | None = None, event: str | None = None,
-    group: str | None = None, signed_in: bool = True, survey: bool = False,
+    group: str | None = None, signed_in: bool = True, survey: bool = False, form: str | None = None, instance: int = 1,
 ) -> Answer:
-    """Whether another record holds a value that must be unique.
+    """Whether another record holds a value that must be unique. Of a rule with branches, the one that is active on the saved values says how; if none can be
+    told, nothing is answered.
 
     Only someone signed in, outside of surveys, learns which record, and of a group only that of the own group. Others need a rule that
     opens itself to surveys and holds no identifying field.
@@ -150,6 +176,9 @@ def is_used(
         return Answer(error="not a field that must be unique")
     if len(values) > MOST_VALUES or any(len(v.encode()) > MOST_BYTES for v in values.values()):
         return Answer(error="too many or too long values")
+    rule = branch_of(contexts, rule, dictionary, record, event, form, instance)
+    if rule is None:
+        return Answer(error="no single branch of the rule applies")
     if not signed_in and (not rule.surveys or {name, *rule.unique_with} & dictionary.identifiers):
         return Answer(error="not enabled on surveys")
     saved = [f for f in rule.unique_with if f not in values]
@@ -166,7 +195,8 @@ def is_used(
 def single(rows: DataFrame, fields: list[str], record: str, event: str, form: str | None = None, instance: int = 1) -> DataFrame:
     """One context of a record, as a row: the instance of a repeating form or event laid over its event's base row, or the base row where
     there is no such instance yet. No other event is looked at."""
-    own = rows.where((F.col("record").cast("string") == record) & (F.col("event_id").cast("string") == event))
+    kinds = dict(rows.dtypes)  # literals of the columns' types, so that a scan gets them as filters
+    own = rows.where((F.col("record") == F.lit(record).try_cast(kinds["record"])) & (F.col("event_id") == F.lit(event).try_cast(kinds["event_id"])))
     mine: Column = F.col("_form").eqNullSafe(F.lit(form)) & (F.col("_instance") == instance)
     found = C.contexts(own, fields).where(mine | F.col("_form").isNull())
     return found.orderBy(mine.desc()).limit(1)

@@ -11,7 +11,7 @@ from the records as they are now.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,6 +75,17 @@ class UniqueState:
     def _hashed(self, columns: list[str], n: int) -> Column:
         return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
 
+    def holders(self, ordinal: int, rule: R.Rule, name: str, values: Mapping[str, str], record: str | None = None, event: str | None = None, group: str | None = None) -> DataFrame:
+        """record, dag of the other records that hold a value: one partition of keys is read, with rule and field as pushed filters."""
+        said = lambda f: (values.get(f) or "").strip(R.BLANK)
+        key = [said(name), *map(said, rule.unique_with)]
+        key += {"event": [f"event {event}"], "dag": [f"group {group or ''}"]}.get(rule.scope, [])
+        made = F.array(*map(F.lit, key))
+        bucket = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(ordinal), F.lit(name), made), F.lit(self.buckets)).cast("int")).first()[0]
+        rows = self._read("candidates", CANDIDATES, [bucket]).where((F.col("rule") == ordinal) & (F.col("field") == name) & (F.col("key") == made) & F.lit(key[0] != ""))
+        others = rows if record is None else rows.where(F.col("_record") != record)
+        return others.select(F.col("_record").alias("record"), F.col("_dag").alias("dag")).distinct()
+
     def findings(self) -> DataFrame:
         return self._read("findings", FINDINGS).drop("bucket", "slice", "key")
 

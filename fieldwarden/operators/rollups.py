@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldwarden.functions.text import reason_code
@@ -31,3 +31,25 @@ def groups(candidates: DataFrame, key: list[str]) -> DataFrame:
 
 def states(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("state").agg(F.count("*").alias("n"))
+
+
+def counters(rows: DataFrame, by: list[str], sample: str, blocking: Column, most: int = 3) -> DataFrame:
+    """by, n, samples, blocks: how many rows, the first `most` different samples in order, and whether any row blocks the claim of a clean scan.
+
+    Samples are limited in each task before the shuffle (a ranked limit by group), so that a group of any size sends a few of each.
+    """
+    counted = rows.groupBy(*by).agg(F.count("*").alias("n"), F.max(blocking).alias("blocks"))
+    return _sampled(counted, rows.where(F.col(sample).isNotNull()).select(*by, F.col(sample).alias("_sample")), by, most)
+
+
+def merged(counters: DataFrame, by: list[str], most: int = 3) -> DataFrame:
+    """Counters of several runs or parts as one: counts are added, samples stay the first in order, and what blocks one blocks all."""
+    counted = counters.groupBy(*by).agg(F.sum("n").alias("n"), F.max("blocks").alias("blocks"))
+    return _sampled(counted, counters.select(*by, F.explode("samples").alias("_sample")), by, most)
+
+
+def _sampled(counted: DataFrame, samples: DataFrame, by: list[str], most: int) -> DataFrame:
+    ranked = samples.distinct().withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("_sample"))).where(F.col("_rank") <= most)
+    few = ranked.groupBy(*by).agg(F.sort_array(F.collect_list("_sample")).alias("samples"))  # no more than `most`
+    same = [counted[c].eqNullSafe(few[c]) for c in by]
+    return counted.join(few, same, "left").select(*[counted[c] for c in by], "n", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"), "blocks")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldwarden.functions import conditions, identifiers, patterns
-from fieldwarden.functions.comparison import Named, quoted, with_forms
+from fieldwarden.functions.comparison import SPACES, Named, quoted, with_forms
 from fieldwarden.operators import pooled
 from fieldwarden.operators.contexts import Events, hosted
 from fieldwarden.session import with_checkpoint_dir
@@ -137,8 +137,8 @@ def resolve_branches(rules: list[Rule]) -> list[Rule]:
 
 NULL = "CAST(NULL AS string)"
 ITEM = "struct<rule:int,type:string,field:string,reason:string,value:string,key:array<string>>"
-#: White space of constraints' values, and of all others', as SQL.
-SPACES, BLANKS = r"' \t\r\n'", r"' \t\n\r\u0000\u000b'"
+#: BLANK as SQL.
+BLANKS = r"' \t\n\r\u0000\u000b'"
 
 
 class _Compiler:
@@ -166,8 +166,7 @@ class _Compiler:
             full = conditions.full_keys(tree)
             for x in conditions.references(tree):
                 refs[x] = refs.get(x, False) or x in full
-        columns = {c: F.col(f"`{c}`") for c in self.columns}
-        self.frame = with_forms(self.frame, [(conditions.value_of(x, columns, self.boxes), full) for x, full in refs.items()])
+        self.frame = with_forms(self.frame, [(conditions.value_sql(x, self.columns, self.boxes), full) for x, full in refs.items()])
         self.named = {x: Named(k) for k, x in enumerate(refs)}
 
     def is_several(self, rule: Rule, name: str) -> bool:
@@ -251,27 +250,28 @@ class _Compiler:
     def judge(self, ordinal: int, rule: Rule, name: str) -> str:
         value, box = self.value(name), name in self.boxes
         blank = f"trim(BOTH {BLANKS} FROM coalesce({value}, ''))"
-        when = lambda test, reason: f"CASE WHEN {test} THEN {quoted(reason)} END"
+        when = lambda test, reason, *key: f"CASE WHEN {test} THEN {self.item(ordinal, rule.type, name, quoted(reason), value, *key)} END"
+        never = self.item(ordinal, rule.type, name, NULL)
         if rule.type == "required":
-            return self.item(ordinal, rule.type, name, NULL if box else when(f"{blank} = ''", "required-blank"), value)
+            return never if box else when(f"{blank} = ''", "required-blank")
         if rule.type == "unique":  # a candidate, which the aggregation judges
-            return self.item(ordinal, rule.type, name, NULL if box else when(f"{blank} <> ''", "duplicate-value"), value, self.key(rule, name))
+            return never if box else when(f"{blank} <> ''", "duplicate-value", self.key(rule, name))
         if rule.type == "constraint":
             try:
                 holds, blocked = self.condition(rule.asserts), self.unresolved(rule.asserts)
             except conditions.ConditionError as e:
                 return self.problem(ordinal, name, quoted(f"the assertion cannot be evaluated: {e}"))
             filled = "false" if box else f"trim(BOTH {SPACES} FROM coalesce({value}, '')) <> ''"
-            wrong = self.item(ordinal, rule.type, name, when(f"{filled} AND NOT {holds}", f"assert:{rule.asserts}"), value)
+            wrong = when(f"NOT {holds} AND {filled}", f"assert:{rule.asserts}")
             return f"CASE WHEN {blocked} IS NOT NULL THEN {self.problem(ordinal, name, blocked)} ELSE {wrong} END" if blocked else wrong
         if rule.type == "choices":
             hidden = ", ".join(map(quoted, rule.hidden()))
             if not hidden:
-                return self.item(ordinal, rule.type, name, NULL, value)
+                return never
             if box:  # an item for each hidden code that is ticked
                 ticked = f"filter(array({hidden}), c -> coalesce(`{name}`[c], '0') = '1')"
                 return f"transform({ticked}, c -> {self.struct(ordinal, rule.type, name, quoted('hidden-choice'), 'c')})"
-            return self.item(ordinal, rule.type, name, when(f"{value} <> '' AND trim(BOTH {BLANKS} FROM {value}) IN ({hidden})", "hidden-choice"), value)
+            return when(f"{value} <> '' AND trim(BOTH {BLANKS} FROM {value}) IN ({hidden})", "hidden-choice")
         if rule.algorithm not in identifiers.ALGORITHMS:
             return self.problem(ordinal, name, quoted(f"unknown algorithm {rule.algorithm}"))
         here = f"{len(self.below)}"
@@ -285,7 +285,8 @@ class _Compiler:
             long = quoted("the value is too long to be searched for IDs")
             return f"CASE WHEN {some} AND {reason} IS NULL THEN {self.problem(ordinal, name, long)} WHEN {some} THEN {self.item(ordinal, rule.type, name, f"nullif({reason}, '')", value)} END"
         wrong = F.when(~patterns.matches(text, rule.pattern), "format").when(~identifiers.validate_id(rule.algorithm, text, rule.source, rule.strip), "check-character")
-        return self.item(ordinal, rule.type, name, self.column(f"_id{here}", F.when(text != "", wrong)), value)
+        reason = self.column(f"_id{here}", F.when(text != "", wrong))
+        return f"CASE WHEN {reason} IS NOT NULL THEN {self.item(ordinal, rule.type, name, reason, value)} END"
 
 
 def _items(contexts: DataFrame, rules: list[Rule], dictionary: Dictionary, events: Events | None, unique: bool) -> DataFrame:
@@ -303,7 +304,9 @@ def _items(contexts: DataFrame, rules: list[Rule], dictionary: Dictionary, event
     frame = made.frame.withColumns(made.below) if made.below else made.frame
     own = [f"array({', '.join(single)})"] * bool(single) + [f"coalesce({x}, CAST(array() AS array<{ITEM}>))" for x in several]
     items = own[0] if len(own) == 1 else f"concat({', '.join(own)})"
-    return frame.select(*META, F.expr(f"explode({items})").alias("f")).where("f.reason is not null").select(*META, "f.*")
+    # the outer kind: for the other one the optimizer tests the array's size below, and would make it twice
+    listed = frame.select(*META, F.expr(items).alias("items")).select(*META, F.explode_outer("items").alias("f"))
+    return listed.where("f.reason is not null").select(*META, "f.*")
 
 
 def row_local(contexts: DataFrame, rules: list[Rule], dictionary: Dictionary, events: Events | None = None) -> DataFrame:

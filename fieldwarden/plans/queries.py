@@ -9,13 +9,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldwarden.functions import comparison, identifiers, text
 from fieldwarden.operators import access, contexts, incremental, pooled, reports, rollups, scans
 from fieldwarden.operators import rules as R
-from fieldwarden.session import table, with_checkpoint_dir
+from fieldwarden.session import parts_of, table, with_checkpoint_dir
 from fieldwarden.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -346,11 +346,14 @@ def comparison_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("decimal_order", _NUMBERS + "SELECT p_partkey::VARCHAR AS record, dense_rank() OVER (ORDER BY a::DECIMAL(30, 4)) AS place FROM n")
 def decimal_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    # dense ranks of distinct values: one row for each price and not for each record
+    # dense ranks of distinct values by ranges: a place in its range, behind all of the ranges before
     rows = _numbers(spark, sf_dir).withColumn("key", comparison.decimal_key(F.col("a")))
-    ranked = rows.select("key").distinct().select("key", F.dense_rank().over(Window.orderBy("key")).cast("long").alias("place"))
+    keys = rows.select("key").distinct().repartitionByRange(parts_of(rows), "key").withColumn("part", F.spark_partition_id())
+    with_checkpoint_dir(spark)
+    keys = keys.checkpoint()
+    sizes = {r.part: r["count"] for r in keys.groupBy("part").count().collect()}  # a number for each range
+    before = F.element_at(F.create_map(*[F.lit(x) for p in sizes for x in (p, sum(n for q, n in sizes.items() if q < p))]), F.col("part")) if sizes else F.lit(0)
+    ranked = keys.select("key", (before + F.row_number().over(Window.partitionBy("part").orderBy("key"))).cast("long").alias("place"))
     return rows.join(ranked, "key").select(F.col("_record").alias("record"), "place")
 
 
@@ -455,11 +458,12 @@ def unique_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.scan(rows, rules, _dictionary(rows))[0].select(F.col("_record").alias("record"), "value")
 
 
-@query("unique_claims", "SELECT 0::BIGINT AS n FROM customer HAVING count(*) >= 0")
+@query("unique_claims", "SELECT 3 AS rule, c_mktsegment AS value, count(*) AS n FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY c_mktsegment")
 def unique_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A field that two rules of a mode claim is judged by neither."""
+    """A field that two rules of a mode claim is judged by neither; a rule of another field beside them is."""
     rows = _people(spark, sf_dir)
-    return R.scan(rows, [R.Rule("unique", ("code",)), R.Rule("unique", ("code",), scope="event")], _dictionary(rows))[0].agg(F.count("*").alias("n"))
+    rules = [R.Rule("unique", ("code",)), R.Rule("unique", ("code",), scope="event"), R.Rule("choices", ("segment",), hide=("BUILDING", "MACHINERY"))]
+    return R.scan(rows, rules, _dictionary(rows))[0].groupBy("rule", "value").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -709,6 +713,52 @@ def watch_hosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{home}/items").where("type <> 'problem'").select(F.col("_record").alias("record"), "rule", "value")
 
 
+@query(
+    "finding_counters",
+    _ALL_FORMAT + """SELECT dag, type AS "check", count(*) AS n, array_to_string(list_slice(list(DISTINCT c_custkey::VARCHAR ORDER BY c_custkey::VARCHAR), 1, 3), ',') AS samples, max(type = 'constraint') AS blocks
+       FROM f GROUP BY dag, type""",
+)
+def finding_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by group and kind of check with three samples each, counted for two halves of the records apart and then made one."""
+    found = _some_findings(spark, sf_dir)
+    half = F.pmod(F.xxhash64("_record"), F.lit(2))
+    parts = [rollups.counters(found.where(half == k), ["_dag", "type"], "_record", F.col("type") == "constraint") for k in (0, 1)]
+    one = rollups.merged(parts[0].unionByName(parts[1]), ["_dag", "type"])
+    return one.select(F.col("_dag").alias("dag"), F.col("type").alias("check"), "n", F.array_join("samples", ",").alias("samples"), "blocks")
+
+
+@query(
+    "live_branches",
+    """WITH c AS (SELECT c_custkey, c_nationkey, c_mktsegment, 'k' || (c_custkey % 97)::VARCHAR AS code FROM customer), asked AS (SELECT * FROM c WHERE c_custkey IN (7, 8, 9, 10, 11, 12))
+       SELECT a.c_custkey::VARCHAR AS record, CASE WHEN a.c_mktsegment = 'BUILDING' THEN EXISTS (SELECT 1 FROM c WHERE c.code = a.code AND c.c_custkey <> a.c_custkey)
+         WHEN a.c_mktsegment = 'MACHINERY' THEN EXISTS (SELECT 1 FROM c WHERE c.code = a.code AND c.c_custkey <> a.c_custkey AND c.c_nationkey = a.c_nationkey) ELSE false END AS used,
+         a.c_mktsegment IN ('BUILDING', 'MACHINERY') AS answered FROM asked a""",
+)
+def live_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live lookups of six records: the branch that is active on the saved values says whether all records or those of the group count; with no active branch
+    nothing is answered."""
+    rows = _people(spark, sf_dir).withColumn("code", F.trim("code"))
+    rules = R.resolve_branches([R.Rule("unique", ("code",), when="[segment]='BUILDING'"), R.Rule("unique", ("code",), when="[segment]='MACHINERY'", scope="dag"), R.Rule("unique", ("code",), when="[segment]='MACHINERY' and [code]=''")])
+    out = []
+    for r in rows.where(F.col("_record").isin([str(k) for k in range(7, 13)])).collect():  # the records that are asked for
+        said = access.is_used(rows, rules, _dictionary(rows), "code", {"code": r.code}, r._record, r._event, r._dag)
+        out.append((r._record, said.used, not said.error))
+    return spark.createDataFrame(out, "record string, used boolean, answered boolean")
+
+
+@query(
+    "stored_holders",
+    """SELECT c_custkey::VARCHAR AS record, c_nationkey::VARCHAR AS dag FROM customer WHERE c_custkey % 97 = 5 AND c_custkey <> 5""",
+)
+def stored_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers that hold the code k5, from stored keys: one partition is read."""
+    rows = _people(spark, sf_dir)
+    state = incremental.UniqueState(spark, _folder(spark, "holders"), buckets=64, slices=1)
+    rule = R.Rule("unique", ("code",))
+    state.apply(rows.select("_record"), rows, [rule], _dictionary(rows), 1)
+    return state.holders(1, rule, "code", {"code": " k5"}, "5")
+
+
 @query("fence_bounds", "SELECT min(event_id) AS first, max(event_id) AS last FROM events")
 def fence_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.fence(table(spark, sf_dir, "events"), "event_id")
@@ -768,9 +818,13 @@ def finding_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.identified(_some_findings(spark, sf_dir), b"key of the registered queries", 7).select("finding", F.col("_record").alias("record"), "type", "reason")
 
 
-@query("outcome_words")
+@query(
+    "outcome_words",
+    """SELECT c_nationkey AS run, CASE WHEN c_nationkey % 9 = 4 THEN 'cancelled' WHEN count(*) FILTER (WHERE c_custkey % 100 = 7) > 1 THEN 'blocked' WHEN c_nationkey % 5 = 1 THEN 'manifest-complete'
+       WHEN count(*) FILTER (WHERE c_acctbal < -900) = 0 THEN 'clean' ELSE 'complete' END AS word FROM customer GROUP BY c_nationkey""",
+)
 def outcome_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The word for a run over the customers, by what is known of it; a driver function, tested as a table of cases."""
-    n = table(spark, sf_dir, "customer").count()
-    cases = [changes.Run(examined=n), changes.Run(examined=n, findings=2), changes.Run(examined=n, blocked=1), changes.Run(examined=n, fenced=False), changes.Run(), changes.Run(failed=True, cancelled=True)]
-    return spark.createDataFrame([(k, changes.outcome(r)) for k, r in enumerate(cases)], "n int, word string")
+    """The word for a scan of each nation's customers, by what was found and what is known of the run."""
+    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("run")).agg(F.count("*").alias("examined"), F.count_if(F.col("c_acctbal") < -900).alias("findings"), F.count_if(F.col("c_custkey") % 100 == 7).alias("odd"))
+    known = {"examined": F.col("examined"), "findings": F.col("findings"), "blocked": F.greatest(F.col("odd") - 1, F.lit(0)), "cancelled": F.col("run") % 9 == 4, "fenced": F.col("run") % 5 != 1}
+    return c.select("run", changes.outcome_of(known).alias("word"))

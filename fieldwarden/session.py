@@ -19,6 +19,7 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", "6g")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call site for each expression
+        .config("spark.sql.constraintPropagation.enabled", "false")  # relates each of a wide frame's columns to every other one
         .getOrCreate()
     )
 

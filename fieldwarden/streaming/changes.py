@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
@@ -156,6 +156,14 @@ def outcome(run: Run) -> str:
     return "clean" if run.findings == 0 else "complete"
 
 
+def outcome_of(run: Mapping[str, Column]) -> Column:
+    """`outcome` for many runs at once: columns by the names of Run's fields; those that are not given have its defaults."""
+    of = lambda name: run.get(name, F.lit(getattr(Run(), name)))
+    tests = (("failed", of("failed")), ("cancelled", of("cancelled")), ("expired", of("expired")), ("blocked", of("blocked") > 0), ("manifest-incomplete", ~of("manifest_complete")))
+    tests += (("incomplete", of("examined") == 0), ("manifest-complete", ~of("fenced")), ("truncated", of("truncated")), ("clean", of("findings") == 0))
+    return F.coalesce(*[F.when(test, name) for name, test in tests], F.lit("complete"))
+
+
 ITEMS = f"{PLACE}, rule int, type string, field string, reason string, value string"
 
 

@@ -113,3 +113,21 @@ def test_catch_up_without_the_log(spark):
     manifest = spark.createDataFrame([("e", 1, "done", 0)], changes.MANIFEST)
     out = changes.catch_up(manifest, spark.createDataFrame([(9, "e")], "log_id long, record string"), lambda: manifest, lambda r: r, 3)
     assert not out.fenced and not out.settled
+
+
+def test_live_lookups_by_the_active_branch(spark):
+    place = "_record string, _event string, _instance int, _form string, _dag string, code string, kind string"
+    rows = [("1", "1", 1, None, "g", "x", "a"), ("2", "1", 1, None, "h", "x", "b"), ("3", "1", 1, None, "h", "y", "c"), ("4", "1", 1, None, "g", "x", "both"), ("1", "1", 1, "f", "g", "x", "b")]
+    contexts = spark.createDataFrame(rows, place)
+    dictionary = R.Dictionary({"code": "text", "kind": "text"})
+    branches = ({"when": "[kind]='a' or [kind]='both'"}, {"when": "[kind]='b' or [kind]='both'", "scope": "dag"}, {"unique_with": ("kind",)})
+    rule = R.Rule("unique", ("code",), branches=branches)
+    ask = lambda record, own=rule, **k: access.is_used(contexts, [own], dictionary, "code", {"code": "x"}, record, "1", **{"group": None, **k})
+    assert ask("1").used  # the first branch: any record
+    assert not ask("2", group="k").used and ask("2", group="g").used  # the second: in the group
+    assert ask("1", form="f").used is False and ask("1", form="f", group="h").used  # an instance's own values
+    assert not ask("3").used  # the branch without a condition: with kind c, which no other record has
+    assert ask("4") == access.Answer(error="no single branch of the rule applies")
+    assert access.branch_of(contexts, rule, dictionary, None).unique_with == ("kind",)  # a new record has no values
+    closed = R.Rule("unique", ("code",), branches=branches[:2])
+    assert ask("3", closed).error and access.branch_of(contexts, R.Rule("unique", ("code",), branches=({"when": "[kind"},)), dictionary, "1") is None

@@ -1,16 +1,19 @@
 """Parts of the validation engine held against plain Python: conditions, hashes, outcomes, authoring, contexts, writers, streams."""
 
 import csv
+import dataclasses
+import functools
 import glob
 import hashlib
 import hmac
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from fieldwarden.functions import conditions, identifiers, patterns, text
 from fieldwarden.operators import contexts as C
-from fieldwarden.operators import reports, scans
+from fieldwarden.operators import reports, rollups, scans
 from fieldwarden.operators import rules as R
 from fieldwarden.sources import authoring, tables
 from fieldwarden.streaming import changes
@@ -52,6 +55,26 @@ def test_hmac_and_identity_as_pythons(spark):
     assert reports.identified(finding, KEY, 7).first().finding == hmac.new(KEY, f"v1\0finding\x007\0{told}".encode(), hashlib.sha256).hexdigest()
 
 
+def test_outcomes_of_many_runs(spark):
+    draw = random.Random(1)
+    runs = [changes.Run(*(draw.random() < 0.2 for _ in range(3)), draw.choice([0, 0, 2]), draw.random() < 0.8, draw.random() < 0.8, draw.random() < 0.2, draw.choice([0, 5, 5]), draw.choice([0, 1])) for _ in range(300)]
+    frame = spark.createDataFrame([(k, *dataclasses.astuple(r)) for k, r in enumerate(runs)], "k int, failed boolean, cancelled boolean, expired boolean, blocked int, fenced boolean, manifest_complete boolean, truncated boolean, examined int, findings int")
+    got = {r.k: r.word for r in frame.select("k", changes.outcome_of({c: F.col(c) for c in frame.columns[1:]}).alias("word")).collect()}
+    assert got == {k: changes.outcome(r) for k, r in enumerate(runs)} and len(set(got.values())) > 7
+
+
+def test_counters_of_parts_are_those_of_the_whole(spark, rows_of):
+    rows = spark.range(500).selectExpr("if(id % 7 = 0, null, cast(id % 3 as string)) as g", "cast(id * 37 % 101 as string) as s", "id % 50 = 0 as b")
+    whole = rollups.counters(rows, ["g"], "s", F.col("b"))
+    parts = [rollups.counters(rows.where(F.xxhash64("s") % 3 == k), ["g"], "s", F.col("b")) for k in (-2, -1, 0, 1, 2)]
+    assert rows_of(rollups.merged(functools.reduce(lambda a, b: a.unionByName(b), parts), ["g"])) == rows_of(whole)
+    told = {r.g: (r.n, r.samples, r.blocks) for r in whole.collect()}
+    data = rows.collect()
+    for g in (None, "0", "1", "2"):
+        own = [r for r in data if r.g == g]
+        assert told[g] == (len(own), sorted({r.s for r in own})[:3], any(r.b for r in own))
+
+
 def test_outcomes_and_phases():
     of = lambda **k: changes.outcome(changes.Run(**k))
     assert [of(), of(examined=3), of(examined=3, findings=1), of(examined=3, blocked=1), of(examined=3, fenced=False), of(examined=3, truncated=True)] == ["incomplete", "clean", "complete", "blocked", "manifest-complete", "truncated"]

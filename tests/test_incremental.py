@@ -112,3 +112,15 @@ def test_nothing_changed(spark, tmp_path):
     made = state.apply(nothing.select("_record"), nothing, RULES, DICTIONARY, 1)
     assert made.added.isEmpty() and made.retracted.isEmpty() and state.findings().isEmpty() and made.buckets == 0
     assert state.findings().where(F.col("rule") == 1).count() == 0
+
+
+def test_holders_read_one_partition(spark, tmp_path):
+    state = I.UniqueState(spark, f"{tmp_path}/state", buckets=8, slices=2)
+    rows = spark.createDataFrame([("1", "1", 1, None, "g", " x ", "a"), ("2", "1", 1, None, "h", "x", "a"), ("3", "1", 1, None, "g", "y", "a"), ("4", "2", 1, None, "g", "x", "b")], PLACE)
+    rules = [R.Rule("unique", ("code",)), R.Rule("unique", ("kind",), unique_with=("code",), scope="dag")]
+    state.apply(rows.select("_record"), rows, rules, DICTIONARY, 1)
+    of = lambda *a, **k: sorted(r.record for r in state.holders(*a, **k).collect())
+    assert of(1, rules[0], "code", {"code": "x"}) == ["1", "2", "4"] and of(1, rules[0], "code", {"code": "x\n"}, record="2") == ["1", "4"]
+    assert of(1, rules[0], "code", {"code": " "}) == [] and of(2, rules[1], "kind", {"kind": "a", "code": "x"}, group="h") == ["2"]
+    plan = state.holders(1, rules[0], "code", {"code": "x"})._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan and "EqualTo(rule,1)" in plan and "EqualTo(field,code)" in plan
