@@ -1,3 +1,4 @@
+import collections
 import math
 import random
 
@@ -167,3 +168,35 @@ def test_a_very_long_text(spark):
     text = " ".join(f"w{k * k}" for k in range(200_000))
     docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "short")], "doc_id long, text string")
     assert sorted(r.doc_id for r in S.keep_one(docs).collect()) == [1, 3]
+
+
+def test_all_pairs_of_ten_thousand(spark):
+    """One document stays of each class of all pairs alike in 0.8, found by the rarest fifth of each text's shingles, of which such a pair shares one."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    sets = [frozenset(brute_set(r.text)) for r in rows]
+    often = collections.Counter(g for s in sets for g in s)
+    index, root = collections.defaultdict(list), list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def join(a, b):
+        a, b = find(a), find(b)
+        root[max(a, b, key=lambda k: rows[k].doc_id)] = min(a, b, key=lambda k: rows[k].doc_id)
+
+    empty = [k for k, s in enumerate(sets) if not s]
+    for k in empty[1:]:
+        join(empty[0], k)
+    for i, s in enumerate(sets):
+        near = set()
+        for g in sorted(s, key=lambda g: (often[g], g))[: len(s) - math.ceil(0.8 * len(s)) + 1]:
+            near.update(index[g])
+            index[g].append(i)
+        for j in near:
+            if len(s & sets[j]) >= 0.8 * len(s | sets[j]):
+                join(i, j)
+    least = sorted(rows[k].doc_id for k in range(len(rows)) if find(k) == k)
+    assert sorted(r.doc_id for r in S.keep_one(docs).select("doc_id").collect()) == least and len(least) < 0.95 * len(rows)
