@@ -19,9 +19,10 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from html import unescape
 
 import numpy as np
@@ -125,6 +126,19 @@ def read(page: str) -> Block:
     """The tree of block elements; text of hidden elements is left out."""
     root = at = Block("body", None)
     link, hidden, done, n = False, 0, 0, len(page)
+    opened: Counter[str] = Counter()  # blocks that are open by tag, so that only what is open is looked for
+
+    def above(wanted: tuple | frozenset, scope: frozenset) -> Block | None:
+        return _above(at, wanted, scope) if any(opened[w] for w in wanted) else None
+
+    def behind(up: Block) -> Block:
+        """Where the page goes on once a block is closed, and all that is open inside it."""
+        inner = at
+        while inner is not up.parent:
+            opened[inner.tag] -= 1
+            inner = inner.parent
+        return up.parent
+
     while done < n:
         m = TAG.search(page, done)
         start = m.start() if m else n
@@ -157,24 +171,25 @@ def read(page: str) -> Block:
             if name == "a":
                 link = not closing
             elif name == "hr" and not hidden:  # stands between blocks
-                at = up.parent if (up := _above(at, ("p",), SCOPES)) else at
+                at = behind(up) if (up := above(("p",), SCOPES)) else at
                 at.items.append(Block(name, at))
             elif name in VOID and not hidden:
                 at.items.append(" ")
         elif closing:
             link = False
-            if up := _above(at, (name,), frozenset()):
-                at = up.parent
+            if up := above((name,), frozenset()):
+                at = behind(up)
         else:
             link, hidden = False, 0
-            if name in CLOSES_P and (up := _above(at, ("p",), SCOPES)):
-                at = up.parent
-            if name in SIBLINGS and (up := _above(at, SIBLINGS[name], HOLDERS)):
-                at = up.parent
+            if name in CLOSES_P and (up := above(("p",), SCOPES)):
+                at = behind(up)
+            if name in SIBLINGS and (up := above(SIBLINGS[name], HOLDERS)):
+                at = behind(up)
                 while name == "tr" and at.tag in ("tr", "td", "th"):
-                    at = at.parent
+                    at = behind(at)
             new = Block(name, at, signs(m[3]) if "=" in m[3] else 0)
             at.items.append(new)
+            opened[name] += 1
             at = new
     return root
 
@@ -203,19 +218,23 @@ class Table:
     features: np.ndarray
     roots: np.ndarray
 
+    @cached_property
+    def levels(self) -> list[np.ndarray]:
+        """The blocks of each depth from 1 on, in page order; sorted once, so that deep pages take no longer a block."""
+        order = np.argsort(self.depth, kind="stable")
+        return np.split(order, np.flatnonzero(np.diff(self.depth[order])) + 1)[1:]
+
     def upward(self, values: np.ndarray) -> np.ndarray:
         """Sums over each block's subtree."""
         total = values.astype(np.float64)
-        for d in range(int(self.depth.max(initial=0)), 0, -1):
-            at = np.flatnonzero(self.depth == d)
+        for at in reversed(self.levels):
             np.add.at(total, self.parent[at], total[at])
         return total
 
     def downward(self, bits: np.ndarray) -> np.ndarray:
         """The bits of all blocks above each one."""
         above = np.zeros_like(bits)
-        for d in range(1, int(self.depth.max(initial=0)) + 1):
-            at = np.flatnonzero(self.depth == d)
+        for at in self.levels:
             above[at] = above[self.parent[at]] | bits[self.parent[at]]
         return above
 
@@ -320,13 +339,11 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 5, rate: f
 def decode(t: Table, score: np.ndarray) -> np.ndarray:
     """Which blocks are kept: the choice of greatest total score in which no kept block is below a dropped one."""
     best = score.copy()
-    for d in range(int(t.depth.max(initial=0)), 0, -1):
-        at = np.flatnonzero(t.depth == d)
+    for at in reversed(t.levels):
         np.add.at(best, t.parent[at], np.maximum(best[at], 0))
     kept = best > 0
     kept[t.roots] = True  # a root without text of its own takes nothing; with text, it is asked below
-    for d in range(1, int(t.depth.max(initial=0)) + 1):
-        at = np.flatnonzero(t.depth == d)
+    for at in t.levels:
         kept[at] &= kept[t.parent[at]]
     alone = np.diff([*t.roots, len(t.found)]) == 1
     kept[t.roots] = (score[t.roots] > 0) | alone

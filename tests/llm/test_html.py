@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from html import unescape
 
 import numpy as np
@@ -130,3 +131,11 @@ def test_rows(spark, trees):
     rows = H.extract(pages, trees).collect()
     assert sorted((r.page_id, r.n_chars) for r in rows) == [(1, len("\n".join(TEXT)))] * 2 + [(2, 0)]
     assert H.extract(pages.limit(0), trees).count() == 0
+
+
+def test_deep_nesting_takes_no_longer_a_block(trees):
+    deep = lambda n: "<html><body>" + "<div>" * n + "<p>Hello there, this is the one sentence of it.</p>" + "</div>" * n + "</body></html>"
+    began = time.process_time()
+    assert H.tabulate([deep(3), deep(50_000)]).parent.size == 4 + 50_002 + 1
+    assert time.process_time() - began < 30
+    assert H.texts([deep(3), "<p>x</p>", deep(40)], trees) == [H.texts([deep(k)], trees)[0] if k else H.texts(["<p>x</p>"], trees)[0] for k in (3, 0, 40)]
