@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from fieldwarden.functions import text
@@ -72,12 +72,40 @@ def log_rows(findings: DataFrame, mode: str, key: bytes, project: int) -> DataFr
 
 
 def active(findings: DataFrame, form: str | None = None, reason: str | None = None, group: str | None = None, kind: str | None = None) -> DataFrame:
-    """Findings by report filter; each that is given becomes a pushed-down predicate."""
+    """Findings by report filter. Form, group and kind are compared as they are stored, so that a scan gets them as filters; a reason by its code, which is computed."""
     for column, wanted in (("_form", form), ("_dag", group), ("type", kind)):
         findings = findings if wanted is None else findings.where(F.col(column) == wanted)
     return findings if reason is None else findings.where(text.reason_code(F.col("reason")) == reason)
 
 
+#: The order in which findings are read page by page; no two findings of one scan agree in all of it.
+READ_ORDER = ("_record", "_event", "_instance", "_form", "rule", "field", "reason", "value")
+
+
+def page(findings: DataFrame, after: Row | None, size: int) -> DataFrame:
+    """The next `size` findings (5,000 at most) behind one that was read, in READ_ORDER with nulls first: a filter and a limited sort, never an offset."""
+    if after is not None:
+        behind, tied = F.lit(False), F.lit(True)
+        for c in READ_ORDER:
+            last = F.lit(after[c])
+            behind |= tied & (F.col(c).isNotNull() if after[c] is None else F.coalesce(F.col(c) > last, F.lit(False)))
+            tied &= F.col(c).eqNullSafe(last)
+        findings = findings.where(behind)
+    return findings.orderBy(*READ_ORDER).limit(max(1, min(size, 5000)))
+
+
+# What a person reads above each column of a report; the file's header has the keys, which programs rely on.
+LABELS = {
+    "issue": "Kind of issue", "record": "Record", "dag": "Group", "event": "Event", "instrument": "Form", "instance": "Instance", "field": "Field", "field_label": "Field's label", "value": "Saved value",
+    "check": "Check", "reason": "Reason", "rule": "Rule number", "rule_label": "Rule", "problem": "Condition", "wording": "What to do",
+}
+
+
+def legend(columns: list[str]) -> str:
+    """The comment line of a report file: `key=label` of each column; a column without a label stands for itself."""
+    return "# columns: " + ", ".join(f"{c}={LABELS.get(c, c)}" for c in columns)
+
+
 def expire_values(findings: DataFrame, before: Column) -> DataFrame:
     """Findings found before a time lose their value, never their row."""
     return findings.withColumn("value", F.when(F.col("found_at") < before, None).otherwise(F.col("value")))

@@ -26,9 +26,19 @@ def write_findings(findings: DataFrame, path: str, run: str) -> None:
     findings.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
 
 
-def write_csv(report: DataFrame, path: str) -> None:
-    """A report as CSV files whose cells no spreadsheet runs; each line is one text, so the writer quotes nothing again."""
-    head = ",".join(f'"{c}"' for c in report.columns)
+AUDIT = "project int, run string, event string, actor string, detail string, created_at timestamp"
+
+
+def append_audit(events: DataFrame, path: str) -> None:
+    """Adds events (project, run, event, actor, detail) with the time to the audit log, which nothing is ever taken from."""
+    columns = ["project", "run", "event", "actor", "detail"]
+    events.select(*columns, F.current_timestamp().alias("created_at")).write.mode("append").partitionBy("project").parquet(path)
+
+
+def write_csv(report: DataFrame, path: str, comment: str = "") -> None:
+    """A report as CSV files whose cells no spreadsheet runs; each line is one text, so the writer quotes nothing again. A comment is the first line of each file."""
+    head = comment.replace("\n", " ") + "\r\n" * bool(comment)
+    head += ",".join(f'"{c}"' for c in report.columns)
     lines = report.select(F.concat_ws(",", *[csv_cell(F.col(c)) for c in report.columns]).alias("value"))
     # each file begins with the names, as Spark's own CSV writer has it
     numbered = lines.withColumn("_first", F.monotonically_increasing_id() % (1 << 33) == 0)

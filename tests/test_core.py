@@ -55,6 +55,28 @@ def test_hmac_and_identity_as_pythons(spark):
     assert reports.identified(finding, KEY, 7).first().finding == hmac.new(KEY, f"v1\0finding\x007\0{told}".encode(), hashlib.sha256).hexdigest()
 
 
+def test_findings_are_read_page_by_page(spark):
+    draw = random.Random(3)
+    rows = list({(draw.choice("abc"), draw.choice(["1", None]), draw.randint(1, 2), draw.choice([None, "f"]), None, draw.randint(1, 3), "single", draw.choice("xy"), "format", draw.choice([None, "v"])) for _ in range(120)})
+    findings, got, after = spark.createDataFrame(rows, tables.FINDINGS).repartition(3), [], None
+    while found := reports.page(findings, after, 17).collect():
+        got += [tuple(r) for r in found]
+        after = found[-1]
+    assert sorted(got, key=str) == sorted(rows, key=str)
+    assert got == sorted(rows, key=lambda r: [(x is not None, x or 0) if isinstance(x, int) else (x is not None, x or "") for x in (*r[:4], r[5], r[7], r[8], r[9])])
+
+
+def test_legend_and_audit_log(spark, tmp_path):
+    report = spark.createDataFrame([("1", "=x")], "record string, value string").coalesce(1)
+    tables.write_csv(report, f"{tmp_path}/csv", reports.legend([*report.columns, "own"]))
+    lines = "".join(open(f, newline="").read() for f in glob.glob(f"{tmp_path}/csv/*.txt")).split("\r\n")
+    assert lines[0] == "# columns: record=Record, value=Saved value, own=own" and lines[1] == '"record","value"' and lines[2].startswith('"1",')
+    for word in ("started", "ended"):
+        tables.append_audit(spark.createDataFrame([(7, "r1", word, "ann", None)], tables.AUDIT.rsplit(",", 1)[0]), f"{tmp_path}/audit")
+    log = spark.read.schema(tables.AUDIT).parquet(f"{tmp_path}/audit").orderBy("created_at").collect()
+    assert [(r.project, r.event) for r in log] == [(7, "started"), (7, "ended")] and all(r.created_at for r in log)
+
+
 def test_outcomes_of_many_runs(spark):
     draw = random.Random(1)
     runs = [changes.Run(*(draw.random() < 0.2 for _ in range(3)), draw.choice([0, 0, 2]), draw.random() < 0.8, draw.random() < 0.8, draw.random() < 0.2, draw.choice([0, 5, 5]), draw.choice([0, 1])) for _ in range(300)]
