@@ -31,11 +31,11 @@ def from_long(cells: DataFrame, fields: list[str], checkboxes: set[str] = frozen
 def contexts(rows: DataFrame, fields: list[str]) -> DataFrame:
     """One row for each base row and each repeat instance: an instance's blanks are filled from its event's base row.
 
-    The records' groups come first: a record's group is the first one that any of its rows has.
+    The records' groups come first: a record's group is the first one that any of its rows has, by event, form and instance.
     """
     clean = lambda c: F.nullif(F.col(c), F.lit("")) if dict(rows.dtypes)[c] == "string" else F.col(c)
     rows = rows.select("record", "event_id", "repeat_key", F.coalesce("instance", F.lit(1)).alias("instance"), "dag", *[clean(f).alias(f) for f in fields])
-    groups = rows.where("dag is not null and dag <> ''").groupBy("record").agg(F.min("dag").alias("_group"))
+    groups = rows.where("dag is not null and dag <> ''").groupBy("record").agg(F.min_by("dag", F.struct("event_id", F.coalesce("repeat_key", F.lit("")), "instance", "dag")).alias("_group"))
     base, repeat = rows.where("repeat_key is null"), rows.where("repeat_key is not null").alias("r")
     under = base.select("record", "event_id", *[F.col(f).alias(f"_base_{f}") for f in fields])
     over = repeat.join(under, ["record", "event_id"], "left").select("record", "event_id", "repeat_key", "instance", *[F.coalesce(F.col(f"r.{f}"), F.col(f"_base_{f}")).alias(f) for f in fields])

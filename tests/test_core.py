@@ -66,6 +66,12 @@ def test_findings_are_read_page_by_page(spark):
     assert got == sorted(rows, key=lambda r: [(x is not None, x or 0) if isinstance(x, int) else (x is not None, x or "") for x in (*r[:4], r[5], r[7], r[8], r[9])])
 
 
+def test_a_records_group_is_that_of_its_first_row(spark):
+    rows = [("r", 2, None, 1, "a", "1"), ("r", 1, "f", 2, "b", "1"), ("r", 1, "f", 1, "c", "1"), ("r", 1, None, 1, "", "1"), ("s", 1, None, 1, None, "1")]
+    found = C.contexts(spark.createDataFrame(rows, "record string, event_id long, repeat_key string, instance int, dag string, v string"), ["v"])
+    assert {(r._record, r._dag) for r in found.collect()} == {("r", "c"), ("s", None)}
+
+
 def test_legend_and_audit_log(spark, tmp_path):
     report = spark.createDataFrame([("1", "=x")], "record string, value string").coalesce(1)
     tables.write_csv(report, f"{tmp_path}/csv", reports.legend([*report.columns, "own"]))
