@@ -33,17 +33,18 @@ from fieldwarden.llm.hashing import chunks
 
 LESSONS, SEED = 1000, 5
 
-# Fixed values of the HTML standard: elements by how they are read.
+# Fixed values of the HTML standard: elements by how they are read. One that is on no list is read as an inline one, unless a block element is the first thing in it.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 WHOLE = frozenset("script style noscript template iframe noembed noframes xmp title textarea".split())
 HIDDEN = frozenset("head svg object audio video canvas datalist map annotation annotation-xml".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output picture progress q rb rp rt rtc ruby s samp slot small span strike strong sub sup time tt u var wbr "
     "math mi mo mn ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()
 )
+BLOCKS = CLOSES_P | frozenset("button caption colgroup dd dt legend li listing marquee optgroup option select tbody td tfoot th thead tr".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
 SCOPES = frozenset("table td th".split())
 HOLDERS = frozenset("ul ol dl table select menu".split())
@@ -55,6 +56,7 @@ ATTRIBUTE = re.compile(_ATTRIBUTE)
 TAG = re.compile(
     r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|([/]?)([a-zA-Z][^\s/>]*+)((?:" + _ATTRIBUTE.replace("([^", "(?:[^", 1).replace("(\"", "(?:\"", 1) + r")*+[\s/]*+)>|[!?/][^>]*+>|[a-zA-Z!?/][^>]*+\Z)", re.DOTALL
 )
+FIRST = re.compile(r"\s*<([a-zA-Z][^\s/>]*)")
 NAMED = frozenset("class id role aria-label itemprop".split())
 TOKEN = re.compile(r"[a-z]+")
 
@@ -139,6 +141,10 @@ def read(page: str) -> Block:
             inner = inner.parent
         return up.parent
 
+    def holds_block(after: int) -> bool:
+        first = FIRST.match(page, after)
+        return bool(first) and first[1].lower() in BLOCKS
+
     while done < n:
         m = TAG.search(page, done)
         start = m.start() if m else n
@@ -166,7 +172,7 @@ def read(page: str) -> Block:
             hidden = 0
         elif hidden and name not in CLOSES_P:
             continue
-        elif name in INLINE or name in VOID:
+        elif name in INLINE or name in VOID or name not in BLOCKS and not (opened[name] if closing else holds_block(done)):
             at.tags += not closing
             if name == "a":
                 link = not closing

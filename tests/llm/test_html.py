@@ -56,6 +56,9 @@ PARAGRAPHS = "".join(f"<p>Paragraph {k}. {LONG}</p>" for k in range(4))
         ("<p>If <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p>", ["If x=2 holds."]),
         ("Above the rule<hr>below it", ["Above the rule", "below it"]),
         ("<p>One<hr>two</p>", ["One", "two"]),
+        ("<p>Hello <x-tip>brave</x-tip> <blink>new</blink> world</p>", ["Hello brave new world"]),
+        ("<p>It took <output>5</output> of <meter value=1>nine</meter> <progress>steps</progress> <picture><source><img></picture> in all</p>", ["It took 5 of nine steps in all"]),
+        ("<x-part> <p>Inside one.</p></x-part><x-part><p>Inside <x-tip>two</x-tip>.</p></x-part>", ["Inside one.", "Inside two."]),
         ("<p =a b==c / d>Odd attributes.</p/>", ["Odd attributes."]),
         ("<p><!--> not hidden --><!-- hidden --!>shown</p>", ["not hidden -->shown"]),
     ],
