@@ -5,8 +5,9 @@ in the counts of that language's training texts; languages that hardly ever use
 labels of a text's words are the sequence with the greatest sum of scores less `switch` for each change of language, so
 mixed texts fall into spans. A very long text is cut into blocks whose best ways from label to label are found side by side. The text's language is the one whose spans have most letters, the score their share.
 
-Training counts come from at most about `per_language` texts of each language (drawn by a hash of doc_id); the counts are
-added on executors and only the finished table, of a fixed size for each language, goes to the driver and is broadcast.
+The classifier is fitted on the `LANGUAGES` most frequent values of lang (of equally frequent ones the first by code point) and on about `per_language` texts of
+each, drawn by a hash of doc_id and text, so that equal rows are drawn together. The counts are added on executors; only the finished table goes to the driver
+and is broadcast, with 512 KB for each language: 100 MB at most, however many values lang has.
 
 Null texts, empty ones and those without a letter are `und` with score 0; so is every text if nothing could be learned.
 Of languages with equal shares the first by code point counts. Repeated rows get equal results; extra columns are ignored.
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from fieldwarden.llm.hashing import chunks, mix
 
 PER_LANGUAGE = 3_000
+#: Values of lang that are learned at most.
+LANGUAGES = 200
 #: Trigram buckets of a language's table, by their logarithm, and the rows that a table is sent in.
 BITS, SLICES = 17, 16
 #: Cost of a change of language between two words, and of a word in a script its language hardly uses.
@@ -137,28 +140,33 @@ def _add(groups):
     return out
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Learns from the texts of docs (doc_id, text, lang) with a language."""
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
+    """Learns from the texts of docs (doc_id, text, lang) with one of the most frequent languages."""
     known = docs.where("lang is not null and text is not null")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    share = F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = known.join(F.broadcast(sizes), "lang").where(share * F.col("n") < per_language).select("lang", "text")
     schema = "lang string, slice int, scripts binary, grams binary"
     rows = drawn.mapInArrow(_count, schema).groupBy("lang", "slice").applyInPandas(_add, schema).collect()
     names = sorted({r.lang for r in rows})
     if not names:
         return Model([], np.zeros((1, 0)), np.zeros((1, 0)))
-    grams, scripts = np.zeros((1 << BITS, len(names))), np.zeros((len(SCRIPTS) + 1, len(names)))
+    number, size = {name: k for k, name in enumerate(names)}, (1 << BITS) // SLICES
+    grams, scripts, total = np.zeros((1 << BITS, len(names)), np.float32), np.zeros((len(SCRIPTS) + 1, len(names))), np.zeros(len(names))
     for r in rows:
-        k, size = names.index(r.lang), (1 << BITS) // SLICES
-        grams[r.slice * size : (r.slice + 1) * size, k] = np.frombuffer(r.grams, np.int64)
+        k, counts = number[r.lang], np.frombuffer(r.grams, np.int64)
+        grams[r.slice * size : (r.slice + 1) * size, k] = counts
+        total[k] += counts.sum()
         if r.slice == 0:
             scripts[:, k] = np.frombuffer(r.scripts, np.int64)
     smooth = 0.05
-    table = np.log((grams + smooth) / (grams.sum(0) + smooth * len(grams)))
+    table = grams
+    table += np.float32(smooth)
+    np.log(table, out=table)
+    table -= np.log(total + smooth * len(table)).astype(np.float32)
     used = scripts >= 0.01 * np.maximum(1, scripts.sum(0))
     cost = np.where(used | ~used.any(1, keepdims=True), 0.0, -FOREIGN)
-    return Model(names, table.astype(np.float32), cost)
+    return Model(names, table, cost)
 
 
 def _run(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch: float, before: np.ndarray | None = None, last: np.ndarray | None = None, label: np.ndarray | None = None) -> np.ndarray:

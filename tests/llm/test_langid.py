@@ -64,6 +64,70 @@ def test_spans_scripts_and_edge_cases(spark):
     assert len(got) == 7
 
 
+def test_the_most_frequent_languages_are_learned(spark):
+    """However many values lang has, the table is as large as the bound allows; of equally frequent values the first by code point count."""
+    often = [(None, f"{TEXTS[lang]} {k}", lang) for lang in ("de", "en") for k in range(5)]
+    rare = [(None, f"word{k} only", f"x{k:03}") for k in range(300)]
+    docs = spark.createDataFrame(often + rare, "doc_id long, text string, lang string")
+    assert L.train(docs, languages=4).names == ["de", "en", "x000", "x001"]
+    model = L.train(docs, per_language=10**9, languages=20)
+    assert model.grams.dtype == np.float32 and model.grams.shape == (1 << L.BITS, 20)
+    assert L.identify(spark.createDataFrame([(1, TEXTS["de"])], "doc_id long, text string"), model).first().lang_pred == "de"
+
+
+def test_scores_by_plain_counting(spark):
+    """Languages and scores of all documents against counts, log-likelihoods and labellings that loops make."""
+    docs = [(k, " ".join(TEXTS[lang].split()[k % 7 :] + TEXTS[other].split()[: k % 5 * 2]) + "!" * (k % 3), None if k % 4 == 0 else lang) for k, (lang, other) in enumerate([(a, b) for a in TEXTS for b in TEXTS] * 3)]
+    docs += [(90, None, "en"), (91, "", "de"), (92, "12 3", "de"), (93, "x", None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = L.train(frame)
+
+    def words(text):
+        out, word = [], ""
+        for c in (text or "") + " ":
+            if c.isalpha():
+                word += c
+            elif word:
+                out.append(word)
+                word = ""
+        return out
+
+    def grams(word):
+        low = f"\0{word.lower()}\0"
+        return [int(L.mix(np.array([ord(low[i]) << 42 | ord(low[i + 1]) << 21 | ord(low[i + 2])], np.uint64))[0]) >> 64 - L.BITS for i in range(len(word))]
+
+    counts, scripts = {}, {}
+    for _, text, lang in docs:
+        if lang and text is not None:
+            c, s = counts.setdefault(lang, {}), scripts.setdefault(lang, {"Latin": 0, "Cyrillic": 0})
+            for w in words(text):
+                s["Latin" if ord(w[0]) < 0x250 else "Cyrillic"] += len(w)
+                for g in grams(w):
+                    c[g] = c.get(g, 0) + 1
+    names = sorted(counts)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.identify(frame, model).collect()}
+    for doc_id, text, _ in docs:
+        found = words(text)
+        if not found:
+            assert got[doc_id] == ("und", 0.0)
+            continue
+        scores = []
+        for w in found:
+            script = "Latin" if ord(w[0]) < 0x250 else "Cyrillic"
+            row = [sum(np.log((counts[a].get(g, 0) + 0.05) / (sum(counts[a].values()) + 0.05 * (1 << L.BITS))) for g in grams(w)) for a in names]
+            scores.append([x - L.FOREIGN * (scripts[a][script] < 0.01 * sum(scripts[a].values())) for x, a in zip(row, names, strict=True)])
+        best, ways = scores[0], []
+        for row in scores[1:]:
+            came = [max(range(len(names)), key=lambda k: (best[k] - L.SWITCH * (k != j), k == j)) for j in range(len(names))]
+            best, ways = [best[came[j]] - L.SWITCH * (came[j] != j) + row[j] for j in range(len(names))], [*ways, came]
+        label = [max(range(len(names)), key=best.__getitem__)]
+        for came in reversed(ways):
+            label.append(came[label[-1]])
+        letters = [sum(len(w) for w, k in zip(found, reversed(label), strict=True) if k == j) for j in range(len(names))]
+        top = max(range(len(names)), key=letters.__getitem__)
+        assert got[doc_id][0] == names[top] and abs(got[doc_id][1] - letters[top] / sum(letters)) < 1e-12
+
+
 def test_nothing_to_learn(spark):
     model = L.train(spark.createDataFrame([(1, "abc", None), (2, None, "en")], "doc_id long, text string, lang string"))
     docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
