@@ -73,7 +73,7 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
 
 
-PURPOSES = ("record", "group", "finding", "value")
+PURPOSES = ("record", "finding", "value", "unique")
 
 
 def purpose_hash(key: bytes, purpose: str, project: int, data: Column) -> Column:
@@ -83,7 +83,6 @@ def purpose_hash(key: bytes, purpose: str, project: int, data: Column) -> Column
     return hmac_sha256(key, F.concat(F.lit(f"v1\0{purpose}\0{project}\0"), data))
 
 
-def tuple_text(*parts: Column) -> Column:
-    """A canonical text of a tuple: each part as its length, a colon, the part and a zero."""
-    each = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
-    return F.concat(*[F.concat(F.octet_length(p).cast("string"), F.lit(":"), p, F.lit("\0")) for p in each])
+def identifier_hash(key: bytes | None, project: int, value: Column) -> Column:
+    """A project's keyed hash of an identifier, as log rows have it. Without a key there is none: an unkeyed hash of a short id can be looked up."""
+    return hmac_sha256(key + f"|{project}".encode(), F.coalesce(value, F.lit(""))) if key else F.lit(None).cast("string")

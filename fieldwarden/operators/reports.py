@@ -40,8 +40,9 @@ def wording(kind: Column, reason: Column, rule: Column, messages: Mapping[int, s
 
 
 def identified(findings: DataFrame, key: bytes, project: int) -> DataFrame:
-    """Adds `finding`, a keyed hash of what and where a finding is. The value is no part of it, so an edit keeps the identity."""
-    where = text.tuple_text(*[F.col(c) for c in ("_record", "_event", "_instance", "_form", "field", "rule", "type", "reason")])
+    """Adds `finding`, a keyed hash of where a finding is, its rule and its reason's code. The value is no part of it, so an edit keeps the identity."""
+    parts = [*(F.col(c).cast("string") for c in ("_record", "_event", "_instance", "_form", "field", "rule")), text.reason_code(F.col("reason"))]
+    where = F.concat_ws("\0", *[F.coalesce(p, F.lit("")) for p in parts])
     return findings.withColumn("finding", text.purpose_hash(key, "finding", project, where))
 
 
@@ -63,10 +64,10 @@ def report(
     return findings.select(*out)
 
 
-def log_rows(findings: DataFrame, mode: str, key: bytes, project: int) -> DataFrame:
-    """Audit rows: the value as a keyed hash, as nothing, or as it is; with mode 'none' the record is hashed too."""
-    record = text.purpose_hash(key, "record", project, F.col("_record")) if mode == "none" else F.col("_record")
-    value = {"hashed": text.purpose_hash(key, "value", project, F.coalesce("value", F.lit(""))), "raw": F.col("value")}.get(mode, F.lit(None).cast("string"))
+def log_rows(findings: DataFrame, mode: str, key: bytes | None, project: int) -> DataFrame:
+    """Audit rows: the value as a keyed hash, with mode 'none' as nothing, with 'raw' as it is; with mode 'none' the record is hashed too. Without a key what would be hashed is left out."""
+    record = text.identifier_hash(key, project, F.col("_record")) if mode == "none" else F.col("_record")
+    value = {"raw": F.col("value"), "none": F.lit(None).cast("string")}.get(mode, text.identifier_hash(key, project, F.col("value")))
     rows = findings.select(F.lit("invalid-id-saved").alias("message"), record.alias("record"), *META[1:4], "field", "type", "reason", value.alias("value"))
     return rows.limit(0) if mode == "off" else rows
 

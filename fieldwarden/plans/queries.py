@@ -287,14 +287,21 @@ def host_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "rule_problems",
-    """SELECT 1 AS rule, 'ordered' AS field, '[shipped] has several values here' AS why UNION ALL SELECT 2, 'ordered', '[absent] is not collected in this event'
-       UNION ALL SELECT 3, 'ordered', 'unknown algorithm nope'""",
+    """SELECT rule, 'ordered' AS field, why, count(*) AS n FROM orders,
+       (VALUES (1, '[shipped] has several values here'), (2, '[absent] is not collected in this event'), (3, 'unknown algorithm nope')) AS p(rule, why)
+       WHERE rule <> 1 OR strftime(o_orderdate, '%Y') >= '1995' GROUP BY rule, why""",
 )
 def rule_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = {"ordered": "order", "shipped": "line", "absent": "other"}
     rows = contexts.with_states(_dates(spark, sf_dir).where("_form is null"), forms, {"1": {"order", "line"}}, {("1", "line")})
-    rules = [R.Rule("constraint", ("ordered",), asserts="[ordered]<=[shipped]"), R.Rule("required", ("ordered",), when="[absent]='1'"), R.Rule("single", ("ordered",), algorithm="nope")]
-    return R.scan(rows, rules, _dictionary(rows))[1]
+    late = R.Rule("constraint", ("ordered",), asserts="[ordered]<=[shipped]", when="[ordered]>='1995-01-01'")
+    rules = [late, R.Rule("required", ("ordered",), when="[absent]='1'"), R.Rule("single", ("ordered",), algorithm="nope")]
+    return _unjudged(R.row_local(rows, rules, _dictionary(rows)))
+
+
+def _unjudged(items: DataFrame) -> DataFrame:
+    """Problems, each with the number of contexts that were left unjudged for it."""
+    return items.where("type = 'problem'").groupBy("rule", "field", F.col("reason").alias("why")).agg(F.count("*").alias("n"))
 
 
 _PROJECT = R.Dictionary({"ordered": "text", "shipped": "text"}, {"ordered": "order", "shipped": "line"})
@@ -468,14 +475,15 @@ def unique_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "unique_problems",
-    "SELECT 1 AS rule, 'code' AS field, 'unparsed' AS why UNION ALL SELECT 2, 'segment', '[absent] is not collected in this event'",
+    """SELECT rule, field, why, count(*) AS n FROM customer, (VALUES (1, 'code', 'unparsed'), (2, 'segment', '[absent] is not collected in this event')) AS p(rule, field, why)
+       GROUP BY rule, field, why""",
 )
 def unique_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conditions that cannot be read, or not in this event, make problem rows and no findings."""
     rows = contexts.with_states(_people(spark, sf_dir), {"absent": "other"}, {"9": {"other"}}, set())
     rules = [R.Rule("unique", ("code",), when="[segment"), R.Rule("unique", ("segment",), when="[absent]='1'")]
-    problems = R.scan(rows, rules, _dictionary(rows))[1]
-    return problems.select("rule", "field", F.when(F.col("why").startswith("the condition cannot be evaluated"), "unparsed").otherwise(F.col("why")).alias("why"))
+    problems = _unjudged(R.unique(rows, rules, _dictionary(rows)))
+    return problems.select("rule", "field", "n", F.when(F.col("why").startswith("the condition cannot be evaluated"), "unparsed").otherwise(F.col("why")).alias("why"))
 
 
 @query(
@@ -764,6 +772,20 @@ def fence_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.fence(table(spark, sf_dir, "events"), "event_id")
 
 
+@query(
+    "group_scope",
+    """WITH r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_nationkey::VARCHAR END AS dag FROM customer UNION ALL SELECT c_custkey, 'x' FROM customer WHERE c_custkey % 11 = 0),
+       g AS (SELECT k, CASE WHEN min(dag) = max(dag) AND min(dag) <> '' THEN min(dag) END AS dag FROM r GROUP BY k)
+       SELECT (2 * c_custkey)::VARCHAR AS record, coalesce(dag = '3', false) AS in_scope FROM customer LEFT JOIN g ON k = 2 * c_custkey""",
+)
+def group_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which ids a run of group 3 takes: half of them are no records, some records have no group, and some have rows of two."""
+    c = table(spark, sf_dir, "customer")
+    record = F.col("c_custkey").cast("string").alias("record")
+    records = c.select(record, F.when(F.col("c_custkey") % 7 != 0, F.col("c_nationkey").cast("string")).alias("dag")).unionByName(c.where("c_custkey % 11 = 0").select(record, F.lit("x").alias("dag")))
+    return changes.admitted(c.select((F.col("c_custkey") * 2).cast("string").alias("record")), records, "3")
+
+
 @query("existence_probe", "SELECT c_custkey::VARCHAR AS record, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS exists FROM customer")
 def existence_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("record"))
@@ -805,17 +827,45 @@ def reason_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", text.reason_code(reason).alias("code"), text.reason_bits(reason).alias("bits"))
 
 
-@query("record_hash_hmac")
+_KEY = b"key of the registered queries"
+
+
+def _hmac(key: bytes, *parts: str) -> str:
+    """DuckDB SQL of the keyed hash of texts, joined by NUL."""
+    inner, outer = (bytes(b ^ pad for b in key.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+    message = " || '\\x00'::BLOB || ".join(f"encode({p})" for p in parts)
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || {message})))"
+
+
+@query("record_hash_hmac", f"SELECT c_custkey, {_hmac(_KEY, "'v1'", "'record'", "'7'", 'c_custkey::VARCHAR')} AS hash FROM customer")
 def record_hash_hmac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyed hashes; DuckDB has no HMAC, so the tests hold them against Python's."""
-    hashed = text.purpose_hash(b"key of the registered queries", "record", 7, F.col("c_custkey").cast("string"))
+    hashed = text.purpose_hash(_KEY, "record", 7, F.col("c_custkey").cast("string"))
     return table(spark, sf_dir, "customer").select("c_custkey", hashed.alias("hash"))
 
 
-@query("finding_identity")
+_PLACED = """, p AS (SELECT *, CASE type WHEN 'constraint' THEN 'balance' WHEN 'required' THEN 'note' ELSE 'name' END AS field,
+  CASE type WHEN 'constraint' THEN '1' WHEN 'required' THEN '2' ELSE '3' END AS rule FROM f) """
+
+
+@query(
+    "finding_identity",
+    _ALL_FORMAT + _PLACED + f"""SELECT {_hmac(_KEY, "'v1'", "'finding'", "'7'", 'c_custkey::VARCHAR', "'1'", "'1'", "''", 'field', 'rule', 'reason')} AS finding,
+        c_custkey::VARCHAR AS record, type, CASE type WHEN 'constraint' THEN 'assert:[balance]>=0' ELSE reason END AS reason FROM p""",
+)
 def finding_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings with their identities; the tests hold them against Python's HMAC."""
-    return reports.identified(_some_findings(spark, sf_dir), b"key of the registered queries", 7).select("finding", F.col("_record").alias("record"), "type", "reason")
+    return reports.identified(_some_findings(spark, sf_dir), _KEY, 7).select("finding", F.col("_record").alias("record"), "type", "reason")
+
+
+@query(
+    "log_hashes",
+    f"""SELECT {_hmac(_KEY + b"|7", 'c_custkey::VARCHAR')} AS record, NULL AS value, 'none' AS mode FROM customer WHERE c_custkey % 4 = 0
+        UNION ALL SELECT c_custkey::VARCHAR, {_hmac(_KEY + b"|7", 'c_name')}, 'hashed' FROM customer""",
+)
+def log_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log rows of blank notes with their records hashed, and of names (whose pattern in lower case none matches) with their values hashed."""
+    found = _some_findings(spark, sf_dir)
+    parts = [reports.log_rows(found.where(F.col("type") == kind), mode, _KEY, 7).select("record", "value", F.lit(mode).alias("mode")) for kind, mode in (("required", "none"), ("single", "hashed"))]
+    return parts[0].unionByName(parts[1])
 
 
 @query(

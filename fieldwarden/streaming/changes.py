@@ -108,6 +108,20 @@ def exists(ids: DataFrame, records: DataFrame) -> DataFrame:
     return ids.join(here, "record", "left").select("record", F.coalesce("_here", F.lit(False)).alias("exists"))
 
 
+def groups_of(ids: DataFrame, records: DataFrame) -> DataFrame:
+    """The ids, each with its record's group (record, dag) as `dag`: null if it has none or a blank one, if there is no such record, or if its rows don't agree."""
+    told = F.coalesce(F.col("dag"), F.lit(""))
+    known = records.groupBy("record").agg(F.when(F.min(told) == F.max(told), F.nullif(F.min(told), F.lit(""))).alias("dag"))
+    return ids.select("record").join(known, "record", "left")
+
+
+def admitted(ids: DataFrame, records: DataFrame, group: str | None) -> DataFrame:
+    """The ids, each with whether it is in a run of a group as `in_scope`. A record whose group can't be told is out; a run of no group takes all."""
+    if group is None:
+        return ids.select("record", F.lit(True).alias("in_scope"))
+    return groups_of(ids, records).select("record", F.coalesce(F.col("dag") == group, F.lit(False)).alias("in_scope"))
+
+
 def in_scope(rows: DataFrame, group: str | None) -> DataFrame:
     """Rows of a group; with a group given, rows of none are out."""
     return rows if group is None else rows.where(F.col("_dag").eqNullSafe(F.lit(group)))

@@ -50,11 +50,20 @@ def test_hmac_and_identity_as_pythons(spark):
     long = b"k" * 100
     assert frame.select(text.hmac_sha256(long, F.col("v")).alias("h")).first().h == hmac.new(long, b"", hashlib.sha256).hexdigest()
     finding = spark.createDataFrame([("r1", "1", 2, "line", None, 3, "single", "ident", "format", "v")], tables.FINDINGS)
-    parts = ["r1", "1", "2", "line", "ident", "3", "single", "format"]
-    told = "".join(f"{len(p.encode())}:{p}\0" for p in parts)
+    told = "\0".join(["r1", "1", "2", "line", "ident", "3", "format"])  # place, rule and code of the reason
     assert reports.identified(finding, KEY, 7).first().finding == hmac.new(KEY, f"v1\0finding\x007\0{told}".encode(), hashlib.sha256).hexdigest()
 
 
+def test_groups_of_ids(spark):
+    records = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "1"), ("b", None), ("c", ""), ("d", "2"), (None, "1")], "record string, dag string")
+    ids = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), ("d",), ("e",), (None,)], "record string")
+    dags = sorted(changes.groups_of(ids, records).collect(), key=str)
+    assert [tuple(r) for r in dags] == sorted([("a", "1"), ("a", "1"), ("b", None), ("c", None), ("d", "2"), ("e", None), (None, None)], key=lambda r: f"Row(record={r[0]!r}")
+    kept = lambda group: sorted(r.record for r in changes.admitted(ids, records, group).where("in_scope and record is not null").collect())
+    assert kept("1") == ["a", "a"] and kept("2") == ["d"] and kept("") == [] and kept(None) == ["a", "a", "b", "c", "d", "e"]
+    assert changes.admitted(ids, records.limit(0), "1").where("in_scope").count() == 0
+
+
 def test_findings_are_read_page_by_page(spark):
     draw = random.Random(3)
     rows = list({(draw.choice("abc"), draw.choice(["1", None]), draw.randint(1, 2), draw.choice([None, "f"]), None, draw.randint(1, 3), "single", draw.choice("xy"), "format", draw.choice([None, "v"])) for _ in range(120)})
@@ -204,8 +213,9 @@ def test_log_rows_and_expiry(spark):
     findings = spark.createDataFrame([("r1", "1", 1, None, None, 1, "single", "a", "format", "secret")], tables.FINDINGS)
     of = lambda mode: reports.log_rows(findings, mode, KEY, 7).collect()
     assert of("off") == [] and of("raw")[0].value == "secret" and of("none")[0].value is None
-    assert of("hashed")[0].value == hmac.new(KEY, b"v1\0value\x007\0secret", hashlib.sha256).hexdigest()
-    assert of("none")[0].record == hmac.new(KEY, b"v1\0record\x007\0r1", hashlib.sha256).hexdigest()
+    assert of("hashed")[0].value == hmac.new(KEY + b"|7", b"secret", hashlib.sha256).hexdigest()
+    assert of("none")[0].record == hmac.new(KEY + b"|7", b"r1", hashlib.sha256).hexdigest()
+    assert reports.log_rows(findings, "none", None, 7).first().record is None and reports.log_rows(findings, "hashed", None, 7).first().value is None
     aged = findings.select("*", F.explode(F.array(F.lit(1), F.lit(9))).alias("found_at"))
     assert {r.found_at: r.value for r in reports.expire_values(aged, F.lit(5)).collect()} == {1: None, 9: "secret"}
 
