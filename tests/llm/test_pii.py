@@ -5,6 +5,7 @@ import pytest
 
 from fieldwarden.llm import pii
 from fieldwarden.llm import pii as P
+from fieldwarden.llm import queries
 
 KEY = b"test key"
 names = pii.Pseudonyms(KEY)
@@ -117,3 +118,44 @@ def test_names_in_other_letters():
     for mail in ("ü@example.org", "Žofie@example.org", "иван.петров@example.org", "李@example.org"):
         new = names.replace(mail)[0]
         assert new != mail and new.endswith("@example.org") and len(new) == len(mail) and P.reveal(new, b"key") == mail
+
+
+# Plain forms of values that stand alone between spaces and marks, and how a reader would check them.
+PLAIN = {
+    "email": (r"[a-z0-9.]+@[a-z0-9.]+\.[a-z]{2,}", lambda v: True),
+    "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", lambda v: v[:3] not in ("000", "666") and v[0] != "9" and v[4:6] != "00" and v[7:] != "0000"),
+    "card": (r"(?:[0-9]{4} ){3}[0-9]{4}|[0-9]{16}", lambda v: sum(sum(divmod(int(d) * (2 - k % 2), 10)) for k, d in enumerate(re.sub(r"\D", "", v))) % 10 == 0),
+    "ip": (r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", lambda v: all(x == str(int(x)) and int(x) < 256 for x in v.split("."))),
+}
+
+
+def test_all_documents(spark):
+    """The query's rows for a whole table: every plainly written value has gone, the same value has one pseudonym everywhere and no two share one, all
+    else stands as it was, and whoever holds the key gets every text back."""
+    sf = "/root/testdata/sf0.01"
+    given = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = P.found(spark.read.parquet(f"{sf}/documents.parquet"), queries.PII_KEY).collect()
+    asked = {r.doc_id: r.text for r in queries.op6_pii_pseudonyms(spark, sf).select("doc_id", "text").collect()}
+    assert sorted(given) == sorted(r.doc_id for r in rows) and asked == {r.doc_id: r.text for r in rows}
+    to, back, seen = {}, {}, 0
+    for r in rows:
+        old, shift, at, inside = given[r.doc_id], 0, 0, set()
+        for s in r.spans:
+            assert old[at : s.start] == r.text[at + shift : s.start + shift]
+            at, rest = s.end, old[s.end :]
+            following = next((x for x in r.spans if x.start >= s.end), None)
+            tail = rest if following is None else old[s.end : following.start]
+            end = len(r.text) - len(tail) if following is None else r.text.index(tail, s.start + shift) if tail else s.end + shift
+            new = r.text[s.start + shift : end]
+            shift = end - s.end
+            key = (s.kind, old[s.start : s.end])
+            assert to.setdefault(key, new) == new and back.setdefault((s.kind, new), key[1]) == key[1] and new != key[1]
+            inside.add((s.kind, key[1]))
+        assert (old or "")[at:] == (r.text or "")[at + shift :]
+        for kind, (pattern, valid) in PLAIN.items():
+            for m in re.finditer(rf"(?<![^\s(,;:])(?:{pattern})(?=[\s,;)]|\Z)", old or "", re.ASCII):
+                if valid(m[0]):
+                    seen += 1
+                    assert any(m[0] in v for _, v in inside), (r.doc_id, kind, m[0])
+        assert old is None or P.reveal(r.text, queries.PII_KEY) == old
+    assert seen > 50 and len(to) > 50
